@@ -28,7 +28,9 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def at(array: Column | str, position: Column | int) -> Column:
     """An item counted from 1, or from the end; NULL beyond it."""
-    return F.try_element_at(array, F.lit(position) if isinstance(position, int) else position)
+    if isinstance(position, int):
+        return F.try_element_at(array, F.lit(position))
+    return F.try_element_at(array, F.nullif(position, F.lit(0)))
 
 
 def fields(v: Column) -> Column:
@@ -405,10 +407,10 @@ def decorate(m: Column, now: Column) -> Column:
 def instant_text(ts: Column) -> Column:
     """ISO-8601 text of an instant in UTC, whatever the session's time zone."""
     micros = F.unix_micros(ts)
+    rest = F.pmod(micros, F.lit(86_400_000_000))
     day = F.date_add(
-        F.lit("1970-01-01").cast("date"), F.floor(micros / F.lit(86_400_000_000)).cast("int")
+        F.lit("1970-01-01").cast("date"), ((micros - rest) / F.lit(86_400_000_000)).cast("int")
     )
-    rest = F.pmod(micros, F.lit(86_400_000_000))
     part = lambda unit, size: (F.floor(rest / F.lit(unit)) % size).cast("int")
     return F.format_string(
         "%sT%02d:%02d:%02d.%06dZ",

@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 BLOCK = 1_000_000
 
 
+def _block(order: str, width: int) -> Column:
+    """Number of the block an order value falls into, in whole-number arithmetic."""
+    return F.expr(f"`{order}` div {width}L")
+
+
 def carry_last(
     df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK
 ) -> DataFrame:
     """Add ``name``: the last non-NULL ``value`` on an earlier row of the same key."""
-    rows = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(order) / F.lit(block)))
+    rows = df.withColumn("__v", value).withColumn("__b", _block(order, block))
     before = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("__in", F.last("__v", ignorenulls=True).over(before))
 
@@ -37,17 +42,17 @@ def carry_last(
 
 def number_rows(df: DataFrame, order: str, name: str, start: int = 0, block: int = BLOCK) -> DataFrame:
     """Add ``name``: a gapless number along ``order``, beginning at ``start``."""
-    rows = df.withColumn("__b", F.floor(F.col(order) / F.lit(block)))
+    rows = df.withColumn("__b", _block(order, block))
     inside = rows.withColumn(
-        "__n", F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
+        "__i", F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
     )
     # one row per block: this is the only global scan
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__k")).select(
-        "__b", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__s")
+    shift = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).select(
+        "__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s")
     )
     return (
         inside.join(shift, "__b")
-        .withColumn(name, (F.col("__n") + F.col("__s") + F.lit(start)).cast("bigint"))
-        .drop("__b", "__n", "__s")
+        .withColumn(name, (F.col("__i") + F.col("__s") + F.lit(start)).cast("bigint"))
+        .drop("__b", "__i", "__s")
     )

@@ -56,7 +56,8 @@ def _states(path: Column) -> Column:
         )
         return F.array_append(states, nxt)
 
-    return F.aggregate(path, F.array(F.lit("Thing")), after)
+    # the cast admits NULL items: a step outside the vocabulary has no state
+    return F.aggregate(path, F.array(F.lit("Thing")).cast("array<string>"), after)
 
 
 def blank_label(id_: Column, path: Column) -> Column:
@@ -75,10 +76,11 @@ def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> D
         "id", "n.path", F.col("n.node").alias("node")
     )
     # where the value hangs: the path without trailing array positions, then without its key
-    last_key = F.aggregate(
-        F.sequence(F.lit(1), F.size("path")),
+    last_key = F.coalesce(
+        F.array_max(
+            F.transform("path", lambda e, i: F.when(e.startswith("."), i + 1).otherwise(F.lit(0)))
+        ),
         F.lit(0),
-        lambda n, i: F.when(D.at("path", i).startswith("."), i).otherwise(n),
     )
     trimmed = F.slice("path", 1, last_key)
     placed = (
@@ -281,7 +283,8 @@ def assemble(quads: DataFrame, max_quads: int = 1_000_000) -> tuple[DataFrame, D
     terms = F.broadcast(_reverse_terms(spark))  # the fixed term table
     names = quads.where(
         F.col("p").isin(*[iri(x) for x in {*NAME_PREDICATE.values(), DEFAULT_NAME_PREDICATE}])
-    ).select("g", F.col("s").alias("child"), F.col("o").alias("child_name"))
+    )
+    names = names.groupBy("g", F.col("s").alias("o")).agg(F.min("o").alias("child_name"))
 
     empty_ord = F.array().cast(D.ORD)
     front = roots.select(
@@ -301,9 +304,7 @@ def assemble(quads: DataFrame, max_quads: int = 1_000_000) -> tuple[DataFrame, D
             front.join(quads, ["g", "s"])
             .join(terms, ["ctx", "p"])
             .where(_fits(F.col("key"), F.col("spec"), F.col("o")))
-            .join(names, (names.g == front.g) & (F.col("child") == F.col("o")), "left")
-            .drop(names.g)
-            .drop("child")
+            .join(names, ["g", "o"], "left")
         )
         same = Window.partitionBy("g", "s", "key").orderBy("o", "o_lang")
         total = Window.partitionBy("g", "s", "key")

@@ -6,8 +6,9 @@ with a constant predicate is a plain column scan and never builds the other quad
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,16 @@ class Prop:
 class Entity:
     """A table whose rows are subjects. Different entities have different subjects."""
 
-    table: DataFrame
+    load: Callable[[], DataFrame]
     graph: Column
     subject: Column
     props: dict[str, Prop] = field(default_factory=dict)
 
+    @cached_property
+    def table(self) -> DataFrame:
+        """The table, opened when a pattern first needs it."""
+        return self.load()
+
 
 class MappedGraph:
     """Relational tables seen as quads through one :class:`Entity` per table."""
@@ -194,7 +200,7 @@ def business_graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
         named = {COL + k if ":" not in k else k: v for k, v in props.items()}
         named[RDF_TYPE] = Prop(F.lit(f"urn:class:{name}"), kind="iri")
         return Entity(
-            spark.read.parquet(f"{sf_dir}/{name}.parquet"),
+            lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"),
             F.lit(f"urn:graph:{name}"),
             F.concat(F.lit(f"urn:{name}:"), F.col(key)) if subject is None else subject,
             named,
