@@ -9,8 +9,8 @@ from ..functions import terms as T
 from ..operators import aggregates as agg
 from ..operators import algebra as al
 from ..operators import property_paths as pp
-from ..sources.graphs import COL, NEXT, PART_OF, business_graph, conversation_links, dedup
-from ..vocab import RDF_TYPE, XSD
+from ..sources.graphs import COL, PART_OF, business_graph, conversation_links, dedup
+from ..vocab import RDF_TYPE
 from .patterns import bgp, lang, num, time, triple
 from .registry import query
 
@@ -725,4 +725,3 @@ def quads_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup(quads.unionByName(quads)).groupBy("p").agg(agg.count().alias("n"))
 
 
-__all__ = ["NEXT", "XSD"]
