@@ -103,7 +103,7 @@ def test_walk_print_and_null_removal_agree_with_plain_recursion(spark):
     rng = random.Random(7)
     docs = [{"id": f"d{i}", "v": any_json(rng), "w": any_json(rng)} for i in range(60)]
     df = docs_df(spark, *docs)
-    bound = D.container_bound(F.col("body"))
+    bound = D.nesting_depth(F.col("body"))
     got = {r.id: json.loads(r.j) for r in df.select("id", D.remove_nulls(F.col("doc"), bound).alias("j")).collect()}
     assert got == {d["id"]: strip(d) for d in docs}
     again = {r.id: json.loads(r.body) for r in assemble_nodes(flatten(df)).collect()}

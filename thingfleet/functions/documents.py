@@ -50,14 +50,18 @@ def text_of(v: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """object, array, string, number, boolean or null."""
-    return bind(
-        F.schema_of_variant(v),
-        lambda shape: F.when(shape.startswith("OBJECT"), "object")
+    return bind(F.schema_of_variant(v), kind_of_shape)
+
+
+def kind_of_shape(shape: Column) -> Column:
+    """The kind of a value from its ``schema_of_variant``."""
+    return (
+        F.when(shape.startswith("OBJECT"), "object")
         .when(shape.startswith("ARRAY"), "array")
         .when(shape == "STRING", "string")
         .when(shape == "BOOLEAN", "boolean")
         .when(shape == "VOID", "null")
-        .when(shape.isNotNull(), "number"),
+        .when(shape.isNotNull(), "number")
     )
 
 
@@ -72,9 +76,18 @@ def text_variant(value: Column | str) -> Column:
     return value.cast("variant")
 
 
-def container_bound(text: Column) -> Column:
-    """A cheap upper limit of the nesting depth of JSON ``text``: its number of brackets."""
-    return F.length(text) - F.length(F.translate(text, "{[", ""))
+def nesting_depth(text: Column) -> Column:
+    """How deep objects and arrays nest in valid JSON ``text``."""
+    # drop escapes, then strings, then all but the brackets
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', "")
+    marks = F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "[]", "{}")
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(marks, "(?!^)"), start, step)["most"]
 
 
 # ---------------------------------------------------------------- walking
@@ -84,8 +97,8 @@ def walk(doc: Column, bound: Column) -> Column:
     """All nodes of a document, level by level, as one array.
 
     Each node is ``struct<path, ord, node>``. A path element is ``.key`` below an object and
-    ``[i]`` below an array; ``ord`` sorts nodes into document order. The walk ends by itself
-    when a level has no children; ``bound`` only limits the number of (then empty) rounds.
+    ``[i]`` below an array; ``ord`` sorts nodes into document order. ``bound`` is the depth of the
+    document, or more: further rounds find nothing to do.
     """
     node_type = f"struct<path:array<string>,ord:{ORD},node:variant>"
 
@@ -122,9 +135,13 @@ def walk(doc: Column, bound: Column) -> Column:
     )
 
     def level(acc: Column, _: Column) -> Column:
-        below = F.flatten(F.transform(acc["front"], children))
         return F.when(F.size(acc["front"]) == 0, acc).otherwise(
-            F.struct(below.alias("front"), F.concat(acc["seen"], below).alias("seen"))
+            bind(
+                F.flatten(F.transform(acc["front"], children)),
+                lambda below: F.struct(
+                    below.alias("front"), F.concat(acc["seen"], below).alias("seen")
+                ),
+            )
         )
 
     start = F.struct(root.alias("front"), root.alias("seen"))
@@ -491,9 +508,13 @@ class Path:
 
         def step(nodes: Column, bound: Column) -> Column:
             def round_(acc: Column, _: Column) -> Column:
-                below = _all_children(acc["front"])
                 return F.when(F.size(acc["front"]) == 0, acc).otherwise(
-                    F.struct(below.alias("front"), F.concat(acc["seen"], below).alias("seen"))
+                    bind(
+                        _all_children(acc["front"]),
+                        lambda below: F.struct(
+                            below.alias("front"), F.concat(acc["seen"], below).alias("seen")
+                        ),
+                    )
                 )
 
             start = F.struct(nodes.alias("front"), nodes.alias("seen"))
@@ -536,7 +557,7 @@ class Path:
 
     def nodes(self, doc: Column, bound: Column | None = None) -> Column:
         """The nodes reached from ``doc``; ``bound`` as for :func:`walk`, needed by ``deep``."""
-        bound = container_bound(F.to_json(doc)) if bound is None else bound
+        bound = nesting_depth(F.to_json(doc)) if bound is None else bound
         out = F.array(doc)
         for step in self._steps:
             out = step(out, bound)

@@ -171,7 +171,7 @@ def fold(ops: DataFrame, things: DataFrame, stamp: bool = False) -> DataFrame:
         )
     )
     merged = F.to_json(D.overlay(start, over))
-    text = D.remove_nulls(F.parse_json(merged), D.container_bound(merged))
+    text = D.remove_nulls(F.parse_json(merged), D.nesting_depth(merged))
     rows = rows.withColumn(
         "body",
         F.when(F.size("live") == 0, F.to_json(F.parse_json("start"))).otherwise(text),

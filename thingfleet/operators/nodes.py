@@ -2,31 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
 
 
-def flatten(docs: DataFrame, doc: str = "doc", bound=None) -> DataFrame:
-    """One row per node of each document in column ``doc``, keyed by ``id``.
+FAST_LEVELS = 8
 
-    The walk happens inside the row and is exploded once: no join, no shuffle, any depth.
+
+def step() -> Column:
+    """The step to a child made by :func:`children`: ``.key`` or ``[i]``."""
+    return F.when(F.col("__k").isNotNull(), F.concat(F.lit("."), F.col("__k"))).otherwise(
+        F.concat(F.lit("["), F.col("__p").cast("string"), F.lit("]"))
+    )
+
+
+def children(rows: DataFrame) -> DataFrame:
+    """Every row as it is (``own``), and one row per child of each ``open`` row's ``node``.
+
+    A child row has its position ``__p`` or key ``__k`` and its value ``__v`` beside the columns
+    of its parent.
+    """
+    twice = F.when(F.col("open"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    rows = rows.withColumn("own", F.explode(twice))
+    parent = F.when(~F.col("own"), F.col("node")).outer()
+    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(parent).toDF("__p", "__k", "__v"))
+    # an own row has no children, a row for children is dropped where there are none
+    return rows.where(F.col("own") | F.col("__v").isNotNull())
+
+
+def explode_nodes(docs: DataFrame, doc: str = "doc", levels: int = FAST_LEVELS) -> DataFrame:
+    """One row per node of each document in column ``doc``: the other columns, ``path``, ``ord``
+    and ``node``.
+
+    One pass over the documents: each of the first ``levels`` levels is a generator that keeps a
+    node and adds its children. What nests deeper is walked inside its row, so any depth is
+    complete; ``levels`` only decides where the faster way ends.
     """
-    limit = D.container_bound(F.to_json(doc)) if bound is None else bound
-    nodes = docs.select("id", F.explode(D.walk(F.col(doc), limit)).alias("n"))
-    last = D.at("n.ord", -1)
-    depth = F.size("n.path")
+    keep = [c for c in docs.columns if c != doc]
+    rows = docs.where(F.col(doc).isNotNull()).select(
+        *keep,
+        F.array().cast("array<string>").alias("path"),
+        F.array().cast(D.ORD).alias("ord"),
+        F.col(doc).alias("node"),
+        F.lit(True).alias("open"),
+    )
+    for _ in range(levels):
+        rows = children(rows)
+        rank = F.struct(
+            F.when(F.col("__k").isNotNull(), -1).otherwise(F.col("__p")).cast("int").alias("pos"),
+            F.coalesce("__k", F.lit("")).alias("key"),
+        )
+        grown = lambda old, new: F.when(F.col("own"), F.col(old)).otherwise(new).alias(old)
+        rows = rows.select(
+            *keep,
+            grown("path", F.array_append("path", step())),
+            grown("ord", F.array_append("ord", rank)),
+            grown("node", F.col("__v")),
+            (~F.col("own")).alias("open"),
+        )
+    rest = D.walk(F.col("node"), D.nesting_depth(F.to_json("node")))
+    wide = rows.withColumn("__n", F.explode_outer(F.when(F.col("open"), rest)))
+    pick = lambda old, new: F.when(F.col("open"), new).otherwise(F.col(old)).alias(old)
+    return wide.select(
+        *keep,
+        pick("path", F.concat("path", "__n.path")),
+        pick("ord", F.concat("ord", "__n.ord")),
+        pick("node", F.col("__n.node")),
+    )
+
+
+def flatten(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """The node table of the documents in column ``doc``, keyed by ``id``. Nothing shuffles."""
+    nodes = explode_nodes(docs.select("id", doc), doc).withColumn(
+        "shape", F.schema_of_variant("node")
+    )
+    last = D.at("ord", -1)
+    depth = F.size("path")
     out = nodes.select(
         "id",
-        F.col("n.path").alias("path"),
+        "path",
         depth.alias("depth"),
-        F.when(depth > 0, F.slice("n.path", 1, F.greatest(depth - 1, F.lit(0)))).alias("parent"),
+        F.when(depth > 0, F.slice("path", 1, F.greatest(depth - 1, F.lit(0)))).alias("parent"),
         F.when((depth > 0) & (last["pos"] < 0), last["key"]).alias("key"),
         F.when((depth > 0) & (last["pos"] >= 0), last["pos"]).alias("pos"),
-        D.kind_of(F.col("n.node")).alias("kind"),
-        F.col("n.node").alias("node"),
-        F.col("n.ord").alias("ord"),
+        D.kind_of_shape(F.col("shape")).alias("kind"),
+        "node",
+        "ord",
     )
     return out.select(
         "id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..schema import QUAD_COLS
 from ..session import cut
+from .nodes import FAST_LEVELS, children, step
 from ..vocab import (
     DEFAULT_NAME_PREDICATE,
     GRAPH_PREFIX,
@@ -43,106 +44,161 @@ def _transitions() -> dict[str, str]:
     return out
 
 
-def _states(path: Column) -> Column:
-    """The state before the path and after each of its steps."""
-    table = _literal_map(_transitions())
+def _label(id_: Column, at: Column) -> Column:
+    """The name of a node: the document's id for its root, else one that is stable for its place."""
+    return F.when(at == "", id_).otherwise(F.concat(F.lit("_:"), F.sha1(F.concat(id_, F.lit("|"), at))))
 
-    def after(states: Column, step: Column) -> Column:
-        here = D.at(states, -1)
-        nxt = (
-            F.when(step.startswith("["), here)
-            .when(here.startswith("map:"), F.substr(here, F.lit(5)))
-            .otherwise(F.try_element_at(table, F.concat(here, step)))
-        )
-        return F.array_append(states, nxt)
 
-    # the cast admits NULL items: a step outside the vocabulary has no state
-    return F.aggregate(path, F.array(F.lit("Thing")).cast("array<string>"), after)
+def _advance(
+    id_: Column, cur, item: Column, key: Column, step_: Column, found: Column
+) -> dict[str, Column]:
+    """What is known of a child, from what is known of the value around it.
+
+    ``state`` is the kind of node the value is, or the map or text table it is; ``owner`` and
+    ``term`` are the node it belongs to and the vocabulary entry there; ``name`` its key in a map;
+    ``at`` its place. The child is an array ``item`` or has a ``key``; ``found`` is the state the
+    vocabulary gives the child of a node.
+    """
+    state = cur["state"]
+    in_map, in_texts = state.startswith("map:"), state == "texts"
+    is_node = state.isNotNull() & ~in_map & ~in_texts
+    same = item | in_map | in_texts
+    return {
+        "state": F.when(item, state).when(in_map, F.substr(state, F.lit(5))).when(is_node, found),
+        "owner": F.when(same, cur["owner"]).when(is_node, _label(id_, cur["at"])),
+        "term": F.when(same, cur["term"]).when(is_node, F.concat(state, F.lit("."), key)),
+        "name": F.when(item, cur["name"]).when(in_map | in_texts, key),
+        "at": F.concat(cur["at"], F.lit("/"), step_),
+    }
 
 
-def blank_label(id_: Column, path: Column) -> Column:
-    """A node name that is stable for a document and a place in it."""
-    return F.concat(F.lit("_:"), F.sha1(F.concat_ws("|", id_, F.array_join(path, "/"))))
+_KNOWN = ["state", "owner", "term", "name", "at"]
 
 
 def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> DataFrame:
     """Quads of each document (``id`` and a VARIANT column), one graph per document.
 
-    Every row is worked out from its own place in the document: the explode of the in-row walk is
-    the only generator, and nothing shuffles until the set is made distinct.
+    The document is taken apart level by level in one pass; each level looks up its keys in the
+    vocabulary (a fixed table, broadcast) and drops what the vocabulary does not know. Nothing
+    shuffles until the set is made distinct. Nested nodes are blank nodes named after their place.
     """
-    bound = D.container_bound(F.to_json(doc))
-    nodes = docs.select("id", F.explode(D.walk(F.col(doc), bound)).alias("n")).select(
-        "id", "n.path", F.col("n.node").alias("node")
+    spark = docs.sparkSession
+    table = _transitions()
+    words = F.broadcast(spark.createDataFrame(list(table.items()), "__w string, __found string"))
+    none = F.lit(None).cast("string")
+    rows = docs.where(F.col(doc).isNotNull()).select(
+        "id",
+        F.lit("Thing").alias("state"),
+        none.alias("owner"),
+        none.alias("term"),
+        none.alias("name"),
+        F.lit("").alias("at"),
+        F.col(doc).alias("node"),
+        F.lit(True).alias("open"),
     )
-    # where the value hangs: the path without trailing array positions, then without its key
-    last_key = F.coalesce(
-        F.array_max(
-            F.transform("path", lambda e, i: F.when(e.startswith("."), i + 1).otherwise(F.lit(0)))
-        ),
-        F.lit(0),
+    for _ in range(FAST_LEVELS):
+        rows = children(rows)
+        word = F.when(~F.col("own") & F.col("__k").isNotNull(), F.concat("state", F.lit("."), "__k"))
+        rows = rows.withColumn("__q", word).join(words, F.col("__q") == F.col("__w"), "left")
+        cur = {c: F.col(c) for c in _KNOWN}
+        child = _advance(
+            F.col("id"), cur, F.col("__k").isNull(), F.col("__k"), step(), F.col("__found")
+        )
+        rows = rows.select(
+            "id",
+            *[F.when(F.col("own"), F.col(c)).otherwise(child[c]).alias(c) for c in _KNOWN],
+            F.when(F.col("own"), F.col("node")).otherwise(F.col("__v")).alias("node"),
+            (~F.col("own")).alias("open"),
+        ).where(F.col("term").isNotNull() | (F.col("at") == ""))
+    rows = _deeper(rows, table)
+    return _emit(rows, prefix)
+
+
+def _deeper(rows: DataFrame, table: dict[str, str]) -> DataFrame:
+    """Rows as they are, and everything below those still open, worked out inside the row."""
+    lookup = _literal_map(table)
+    kind = "struct<" + ",".join(f"{c}:string" for c in _KNOWN) + ">"
+    here = F.struct(*[F.col(c) for c in _KNOWN]).cast(kind)
+
+    def known(path: Column) -> Column:
+        def forward(cur: Column, taken: Column) -> Column:
+            found = F.try_element_at(lookup, F.concat(cur["state"], taken))
+            key = F.substr(taken, F.lit(2))
+            nxt = _advance(F.col("id"), cur, taken.startswith("["), key, taken, found)
+            return F.struct(*[nxt[c].alias(c) for c in _KNOWN]).cast(kind)
+
+        return F.aggregate(path, here, forward)
+
+    below = F.transform(
+        D.walk(F.col("node"), D.nesting_depth(F.to_json("node"))),
+        lambda n: F.struct(known(n["path"]).alias("k"), n["node"].alias("node")),
     )
-    trimmed = F.slice("path", 1, last_key)
-    placed = (
-        nodes.where(F.size("path") > 0)
-        .withColumn("at", trimmed)
-        .where(F.size("at") > 0)
-        .withColumn("states", _states(F.col("at")))
-        .withColumn("depth", F.size("at"))
-        .withColumn("key", D.at("at", -1))
-        .withColumn("around", D.at("states", F.col("depth")))
-        .where(F.col("around").isNotNull())
-        .withColumn("kind", D.kind_of(F.col("node")))
-        .where("kind not in ('array', 'null')")
+    wide = rows.withColumn("__n", F.explode_outer(F.when(F.col("open"), below)))
+    pick = lambda c, inner: F.when(F.col("open"), F.col(inner)).otherwise(F.col(c)).alias(c)
+    return wide.select(
+        "id", *[pick(c, f"__n.k.{c}") for c in _KNOWN], pick("node", "__n.node")
+    ).where(F.col("term").isNotNull())
+
+
+def _emit(rows: DataFrame, prefix: str) -> DataFrame:
+    """The quads of each value: a literal or address, or the link to a node and its name."""
+    spark = rows.sparkSession
+    entries = [
+        (f"{c}.{k}", iri(p), spec) for c, terms in TERMS.items() for k, (p, spec) in terms.items()
+    ]
+    names = {iri(k): iri(v) for k, v in NAME_PREDICATE.items()}
+    terms = F.broadcast(spark.createDataFrame(entries, "term string, p string, spec string"))
+    told = (
+        rows.withColumn("shape", F.schema_of_variant("node"))
+        .withColumn("kind", D.kind_of_shape(F.col("shape")))
+        .join(terms, "term")
     )
-    in_map = F.col("around").startswith("map:")
-    in_texts = F.col("around") == "texts"
-    nested = in_map | in_texts
-    owner_depth = F.when(nested, F.col("depth") - 2).otherwise(F.col("depth") - 1)
-    term_key = F.when(
-        nested,
-        F.concat(
-            D.at("states", F.col("depth") - 1), D.at("at", F.col("depth") - 1)
+    told = told.withColumn(
+        "word",
+        F.when(F.col("kind") == "string", F.try_variant_get("node", "$", "string")).when(
+            ~F.col("kind").isin("object", "array") | (F.col("spec") == "any"), F.to_json("node")
         ),
-    ).otherwise(F.concat("around", "key"))
-    predicates = {f"{c}.{k}": iri(p) for c, terms in TERMS.items() for k, (p, _) in terms.items()}
-    specs = {f"{c}.{k}": s for c, terms in TERMS.items() for k, (_, s) in terms.items()}
-    sized = placed.withColumn("owner_len", owner_depth).withColumn("term", term_key)
-    # the trimmed path is a prefix of the full one, positions of outer arrays included
-    owner_path = F.slice("path", 1, F.greatest(F.col("owner_len"), F.lit(0)))
-    label = F.when(F.col("owner_len") == 0, F.col("id")).otherwise(
-        blank_label(F.col("id"), owner_path)
-    )
+    ).drop("node", "shape")
+    # one column at a time, so that none is worked out more than once per row
     told = (
-        sized.withColumn("p", F.try_element_at(_literal_map(predicates), F.col("term")))
-        .where(F.col("p").isNotNull())
-        .withColumn("spec", F.try_element_at(_literal_map(specs), F.col("term")))
-        .withColumn("s", label)
-        .withColumn("word", F.coalesce(D.text_of(F.col("node")), F.to_json("node")))
-        .withColumn("name", F.substr("key", F.lit(2)))
-        .withColumn("is_map", in_map)
+        told.withColumn("address", _address())
+        .withColumn("dt", F.when(F.col("address").isNull(), _datatype()))
+        .withColumn(
+            "tag",
+            F.when(F.col("spec") == "text", "en").when(F.col("spec") == "texts", F.lower("name")),
+        )
+    )
+    spec, kind = F.col("spec"), F.col("kind")
+    is_map = spec.startswith("*")
+    is_node = spec.startswith(">") | is_map
+    child = _label(F.col("id"), F.col("at"))
+    # one declared type for all, so that branches agree on which fields may be NULL
+    row = (
+        "struct<s:string,p:string,v:struct<o:string,o_kind:string,o_dt:string,o_lang:string,"
+        "o_num:double,o_ts:timestamp>>"
     )
-    child = blank_label(F.col("id"), F.col("path"))
-    node_spec = F.col("spec").startswith(">") | F.col("is_map")
+    triple = lambda s, p, v: F.struct(s.alias("s"), p.alias("p"), v.alias("v")).cast(row)
+    link = triple(F.col("owner"), F.col("p"), _value(child, "bnode"))
     name_predicate = F.coalesce(
-        F.try_element_at(
-            _literal_map({iri(k): iri(v) for k, v in NAME_PREDICATE.items()}), F.col("p")
-        ),
-        F.lit(iri(DEFAULT_NAME_PREDICATE)),
+        F.try_element_at(_literal_map(names), F.col("p")), F.lit(iri(DEFAULT_NAME_PREDICATE))
     )
-    link = F.struct(F.col("s"), F.col("p"), _value(child, "bnode").alias("v"))
-    name = F.struct(
-        child.alias("s"),
-        name_predicate.alias("p"),
-        _value(F.col("name"), "literal", F.lit(XSD + "string")).alias("v"),
+    name = triple(child, name_predicate, _value(F.col("name"), "literal", F.lit(XSD + "string")))
+    number = F.col("dt").isin(*[XSD + t for t in ("integer", "double", "unsignedInt")])
+    value = _value(
+        F.coalesce("address", "word"),
+        F.when(F.col("address").isNotNull(), "iri").otherwise("literal"),
+        F.col("dt"),
+        F.col("tag"),
+        F.when(number, F.col("word").try_cast("double")),
+        F.when(spec == "dateTime", F.col("word").try_cast("timestamp")),
     )
-    plain = F.struct(F.col("s"), F.col("p"), _object().alias("v"))
+    plain = triple(F.col("owner"), F.col("p"), value)
+    # the map or text table itself is no value, only what it holds
+    in_place = (~(is_map | (spec == "texts")) | F.col("name").isNotNull()) & ~kind.isin("array", "null")
     triples = (
-        F.when(node_spec & (F.col("kind") == "object") & F.col("is_map"), F.array(link, name))
-        .when(node_spec & (F.col("kind") == "object"), F.array(link))
-        .when(
-            ~node_spec & (~F.col("kind").isin("object") | (F.col("spec") == "any")), F.array(plain)
-        )
+        F.when(is_map & in_place & (kind == "object"), F.array(link, name))
+        .when(is_node & in_place & (kind == "object"), F.array(link))
+        .when(in_place & ~is_node & ((kind != "object") | (spec == "any")), F.array(plain))
     )
     return (
         told.select(F.concat(F.lit(prefix), "id").alias("g"), F.explode(triples).alias("t"))
@@ -182,46 +238,34 @@ def _expand_class(word: Column) -> Column:
     )
 
 
-def _object() -> Column:
-    spec, word, kind = F.col("spec"), F.col("word"), F.col("kind")
+def _address() -> Column:
+    """The address a word stands for, NULL where the vocabulary expects a literal."""
+    spec, word = F.col("spec"), F.col("word")
     vocabulary = lambda names: F.coalesce(
         F.try_element_at(_literal_map({k: iri(v) for k, v in names.items()}), word),
         F.concat(F.lit(TD), word),
     )
-    address = (
+    return (
         F.when(spec == "iri", word)
         .when(spec == "op", F.concat(F.lit(TD), word))
         .when(spec == "schemaType", vocabulary(SCHEMA_TYPES))
         .when(spec == "scheme", vocabulary(SECURITY_SCHEMES))
         .when(spec == "class", _expand_class(word))
     )
-    whole = word.rlike(r"^-?\d+$")
-    by_value = (
-        F.when(kind == "boolean", XSD + "boolean")
-        .when((kind == "number") & whole, XSD + "integer")
+
+
+def _datatype() -> Column:
+    """The datatype of a literal: the vocabulary's, or that of the JSON value."""
+    spec, word, kind = F.col("spec"), F.col("word"), F.col("kind")
+    return (
+        F.when(spec.isin("text", "texts"), LANG_STRING)
+        .when(~spec.isin("number", "any"), F.concat(F.lit(XSD), spec))
+        .when(kind == "boolean", XSD + "boolean")
+        .when((kind == "number") & word.rlike(r"^-?\d+$"), XSD + "integer")
         .when(kind == "number", XSD + "double")
         .when(kind == "object", RDF + "JSON")
         .otherwise(XSD + "string")
     )
-    dt = (
-        F.when(spec.isin("text", "texts"), LANG_STRING)
-        .when(spec.isin("number", "any"), by_value)
-        .otherwise(F.concat(F.lit(XSD), spec))
-    )
-    tag = F.when(spec == "text", "en").when(spec == "texts", F.lower("name"))
-    num = F.when(
-        dt.isin(*[XSD + t for t in ("integer", "double", "unsignedInt")]), word.try_cast("double")
-    )
-    ts = F.when(spec == "dateTime", word.try_cast("timestamp"))
-    is_address = address.isNotNull()
-    return F.struct(
-        F.coalesce(address, word).alias("o"),
-        F.when(is_address, "iri").otherwise("literal").alias("o_kind"),
-        F.when(~is_address, dt).alias("o_dt"),
-        F.when(~is_address, tag).alias("o_lang"),
-        F.when(~is_address, num).alias("o_num"),
-        F.when(~is_address, ts).alias("o_ts"),
-    )
 
 
 def ntriples(quads: DataFrame, with_graph: bool = False) -> DataFrame:
@@ -316,12 +360,12 @@ def assemble(quads: DataFrame, max_quads: int = 1_000_000) -> tuple[DataFrame, D
         )
         if told.isEmpty():
             break
-        step = lambda pos, key: F.struct(pos.cast("int").alias("pos"), key.alias("key"))
-        base = F.array_append("ord", step(F.lit(-1), F.col("key")))
+        place = lambda pos, key: F.struct(pos.cast("int").alias("pos"), key.alias("key"))
+        base = F.array_append("ord", place(F.lit(-1), F.col("key")))
         inner_key = F.when(F.col("spec") == "texts", F.col("o_lang")).otherwise(F.col("child_name"))
         ord_ = (
-            F.when(F.col("in_map"), F.array_append(base, step(F.lit(-1), inner_key)))
-            .when(F.col("is_list"), F.array_append(base, step(F.col("i"), F.lit(""))))
+            F.when(F.col("in_map"), F.array_append(base, place(F.lit(-1), inner_key)))
+            .when(F.col("is_list"), F.array_append(base, place(F.col("i"), F.lit(""))))
             .otherwise(base)
         )
         is_node = F.col("spec").substr(1, 1).isin(">", "*")

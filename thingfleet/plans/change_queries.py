@@ -161,7 +161,12 @@ def sse_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sf}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if table.inputFiles()[0].endswith("/events.parquet"):
+        # a table in a single file: a stream reads folders, so take the file from its folder
+        return reader.option("pathGlobFilter", "events.parquet").parquet(sf)
+    return reader.parquet(path)
 
 
 @query("""

@@ -15,7 +15,7 @@ from ..session import scratch
 from ..sources import catalog as C
 from ..sources import documents as intake
 from ..sources.fleet import RUN, customer_documents
-from ..sources.graphs import dedup
+from ..sources.graphs import dedup, stored
 from ..sources.sinks import binding, write_results
 from ..vocab import HCTL, JSONSCHEMA, RDF_TYPE, TD, WOTSEC
 from .registry import query
@@ -177,7 +177,7 @@ def remove_nulls(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = e.select(F.col("event_id").alias("e"), body.alias("b"))
     return rows.select(
-        "e", D.remove_nulls(F.parse_json("b"), D.container_bound(F.col("b"))).alias("body")
+        "e", D.remove_nulls(F.parse_json("b"), D.nesting_depth(F.col("b"))).alias("body")
     )
 
 
@@ -197,8 +197,8 @@ def flatten_nodes(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(',"l":["'), "event_type", F.lit('",'),
         (F.col("event_id") % 2 == 0).cast("string"), F.lit("]}}"),
     )
-    docs = e.select(F.col("event_id").alias("id"), F.parse_json(body).alias("doc"), body.alias("b"))
-    nodes = flatten(docs, bound=D.container_bound(F.col("b")))
+    docs = e.select(F.col("event_id").alias("id"), F.parse_json(body).alias("doc"))
+    nodes = flatten(docs)
     return nodes.select("id", path_text().alias("path"), "kind", "v_str", "v_num", "v_bool")
 
 
@@ -289,7 +289,7 @@ FROM customer
 """)
 def assemble_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents put back together from their quads, read through paths."""
-    docs, _ = assemble(dedup(_quads(spark, sf)))
+    docs, _ = assemble(stored(dedup(_quads(spark, sf))))
     m = docs.select("id", D.fields(F.parse_json("body")).alias("m"), F.parse_json("body").alias("doc"))
     doc = F.col("doc")
     first = lambda path: F.get(path.nodes(doc, F.lit(1)), F.lit(0))
@@ -319,7 +319,7 @@ FROM d
 """)
 def describe_things(spark: SparkSession, sf: str) -> DataFrame:
     """Titled things of one segment with all their nested nodes."""
-    quads = dedup(_quads(spark, sf))
+    quads = stored(dedup(_quads(spark, sf)))
     wanted = quads.where((F.col("p") == TD + "description") & (F.col("o") == "BUILDING account"))
     titled = quads.where(F.col("p") == TD + "title").select("s")
     about = describe(quads, wanted.join(titled, "s", "left_semi"))
@@ -367,7 +367,7 @@ SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 3 THEN 1 ELSE 2 END AS n FROM
 """)
 def path_deep(spark: SparkSession, sf: str) -> DataFrame:
     docs = _bodies(spark, sf).withColumn("doc", F.parse_json("body"))
-    found = D.Path().deep("href").nodes(F.col("doc"), D.container_bound(F.col("body")))
+    found = D.Path().deep("href").nodes(F.col("doc"), D.nesting_depth(F.col("body")))
     return docs.select("k", F.size(found).cast("bigint").alias("n"))
 
 
@@ -457,7 +457,7 @@ WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_custkey % 10 <> 3
 def xpath_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes by axes and text over the node table, then back to the documents by id."""
     docs = _bodies(spark, sf).withColumn("doc", F.parse_json("body"))
-    nodes = flatten(docs, bound=D.container_bound(F.col("body"))).withColumn(
+    nodes = flatten(docs).withColumn(
         "key", F.replace("key", F.lit("@"), F.lit(""))
     )
     text = nodes.where(

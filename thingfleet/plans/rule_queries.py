@@ -9,7 +9,7 @@ from ..operators import validate as V
 from ..operators.triples import triplify
 from ..sources import rules as R
 from ..sources.fleet import customer_documents
-from ..sources.graphs import COL, business_graph, dedup
+from ..sources.graphs import COL, business_graph, dedup, stored
 from ..functions import documents as D
 from ..vocab import LANG_STRING, RDF_TYPE, TD, WOTSEC
 from .registry import query
@@ -146,14 +146,14 @@ def validate_alt_path(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- the catalogue over documents
 
 
-def _stored(spark: SparkSession, sf: str) -> DataFrame:
+def _upgraded(spark: SparkSession, sf: str) -> DataFrame:
     docs = customer_documents(spark, sf).withColumn("m", D.fields(F.try_parse_json("body")))
     stored = D.bind(D.upgrade(F.col("m")), D.decorate_types)
     return docs.select("k", "id", F.to_variant_object(stored).alias("doc"))
 
 
 def _quads(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup(triplify(_stored(spark, sf)))
+    return dedup(triplify(_upgraded(spark, sf)))
 
 
 _FAULTS = f"""
@@ -168,7 +168,7 @@ _FAULTS = f"""
 SELECT 'urn:customer:' || k AS focus_node, 'Thing' AS shape, path, c AS "constraint" FROM ({_FAULTS})
 """)
 def validate_report(spark: SparkSession, sf: str) -> DataFrame:
-    found = V.validate(_quads(spark, sf), R.catalogue())
+    found = V.validate(stored(_quads(spark, sf)), R.catalogue())
     return found.select("focus_node", "shape", "path", "constraint")
 
 
@@ -177,7 +177,7 @@ SELECT 'http://example.com/graph/urn:customer:' || c.c_custkey AS g, count(f.k)
 FROM customer c LEFT JOIN ({_FAULTS}) f ON f.k = c.c_custkey GROUP BY c.c_custkey
 """)
 def conform_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    quads = _quads(spark, sf)
+    quads = stored(_quads(spark, sf))
     graphs = customer_documents(spark, sf).select(F.concat(F.lit("http://example.com/graph/"), "id").alias("g"))
     return V.verdict(graphs, V.validate(quads, R.catalogue()))
 
@@ -236,12 +236,12 @@ def validate_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT 'urn:documents:' || doc_id AS focus_node, lang AS value FROM documents
-WHERE NOT regexp_matches(lang, '^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$') OR source = 'web'
+WHERE NOT regexp_matches(lang, '^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$') OR source LIKE 'src1%'
 """)
 def validate_language_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Texts whose tag is no language tag; those of one source get an underscore in theirs."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    tag = F.when(F.col("source") == "web", F.concat("lang", F.lit("_"))).otherwise(F.col("lang"))
+    tag = F.when(F.col("source").startswith("src1"), F.concat("lang", F.lit("_"))).otherwise(F.col("lang"))
     quads = docs.select(
         F.lit("urn:graph:documents").alias("g"), F.concat(F.lit("urn:documents:"), "doc_id").alias("s"),
         F.lit(COL + "text").alias("p"), F.lit("").alias("o"), F.lit("literal").alias("o_kind"),

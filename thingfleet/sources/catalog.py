@@ -144,7 +144,7 @@ def page_meta(things: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) ->
 def search(things: DataFrame, path: D.Path) -> DataFrame:
     """Documents in which ``path`` reaches something. ``things`` has ``body`` text or ``doc``."""
     doc = F.col("doc") if "doc" in things.columns else F.try_parse_json("body")
-    bound = D.container_bound(F.col("body")) if "body" in things.columns else None
+    bound = D.nesting_depth(F.col("body")) if "body" in things.columns else None
     return things.where(path.found(doc, bound))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..vocab import CONTEXT_V10, CONTEXT_V11
 
 RUN = "2024-06-01T00:00:00Z"
@@ -30,7 +31,7 @@ def _object(*members: Column) -> Column:
 
 def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, id, body``: one description per customer."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"))
     k = F.col("c_custkey")
     case = lambda n: k % n
     context = (

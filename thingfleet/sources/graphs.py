@@ -160,6 +160,20 @@ def write_quads(quads: DataFrame, path: str, mode: str = "overwrite", chunks: in
     )
 
 
+def stored(quads: DataFrame) -> DataFrame:
+    """The quads as a table in the shared folder, for work that reads them many times.
+
+    Rows stay in the task that made them; sorted by predicate, a reader skips the row groups of
+    other predicates.
+    """
+    from ..session import scratch
+
+    spark = quads.sparkSession
+    path = scratch(spark, "quads")
+    quads.sortWithinPartitions("p", "s").write.parquet(path)
+    return spark.read.schema(quads.schema).parquet(path)
+
+
 def read_quads(spark: SparkSession, path: str) -> DataFrame:
     from ..schema import QUADS
 
