@@ -8,28 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 
 
-FAST_LEVELS = 8
+FAST_LEVELS = 7
 
-
-def step() -> Column:
-    """The step to a child made by :func:`children`: ``.key`` or ``[i]``."""
-    return F.when(F.col("__k").isNotNull(), F.concat(F.lit("."), F.col("__k"))).otherwise(
-        F.concat(F.lit("["), F.col("__p").cast("string"), F.lit("]"))
-    )
+# The step to a child made by :func:`children`: ``.key`` or ``[i]``.
+STEP = "if(__k IS NOT NULL, concat('.', __k), concat('[', __p, ']'))"
 
 
 def children(rows: DataFrame) -> DataFrame:
     """Every row as it is (``own``), and one row per child of each ``open`` row's ``node``.
 
     A child row has its position ``__p`` or key ``__k`` and its value ``__v`` beside the columns
-    of its parent.
+    of its parent. Plans of many levels are written as SQL text, which keeps building them cheap.
     """
-    twice = F.when(F.col("open"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    rows = rows.withColumn("own", F.explode(twice))
-    parent = F.when(~F.col("own"), F.col("node")).outer()
-    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(parent).toDF("__p", "__k", "__v"))
+    rows = rows.selectExpr("*", "explode(if(open, array(true, false), array(true))) AS own")
+    below = rows.sparkSession.tvf.variant_explode_outer(F.expr("if(own, NULL, node)").outer())
     # an own row has no children, a row for children is dropped where there are none
-    return rows.where(F.col("own") | F.col("__v").isNotNull())
+    return rows.lateralJoin(below.toDF("__p", "__k", "__v")).where("own OR __v IS NOT NULL")
 
 
 def explode_nodes(docs: DataFrame, doc: str = "doc", levels: int = FAST_LEVELS) -> DataFrame:
@@ -49,18 +43,13 @@ def explode_nodes(docs: DataFrame, doc: str = "doc", levels: int = FAST_LEVELS)
         F.lit(True).alias("open"),
     )
     for _ in range(levels):
-        rows = children(rows)
-        rank = F.struct(
-            F.when(F.col("__k").isNotNull(), -1).otherwise(F.col("__p")).cast("int").alias("pos"),
-            F.coalesce("__k", F.lit("")).alias("key"),
-        )
-        grown = lambda old, new: F.when(F.col("own"), F.col(old)).otherwise(new).alias(old)
-        rows = rows.select(
-            *keep,
-            grown("path", F.array_append("path", step())),
-            grown("ord", F.array_append("ord", rank)),
-            grown("node", F.col("__v")),
-            (~F.col("own")).alias("open"),
+        rank = "named_struct('pos', if(__k IS NULL, int(__p), -1), 'key', coalesce(__k, ''))"
+        rows = children(rows).selectExpr(
+            *[f"`{c}`" for c in keep],
+            f"if(own, path, array_append(path, {STEP})) AS path",
+            f"if(own, ord, array_append(ord, {rank})) AS ord",
+            "if(own, node, __v) AS node",
+            "NOT own AS open",
         )
     rest = D.walk(F.col("node"), D.nesting_depth(F.to_json("node")))
     wide = rows.withColumn("__n", F.explode_outer(F.when(F.col("open"), rest)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..schema import QUAD_COLS
 from ..session import cut
-from .nodes import FAST_LEVELS, children, step
+from .nodes import FAST_LEVELS, STEP, children
 from ..vocab import (
     DEFAULT_NAME_PREDICATE,
     GRAPH_PREFIX,
@@ -26,8 +26,17 @@ from ..vocab import (
 )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _map_text(pairs: dict[str, str]) -> str:
+    """A constant map as SQL text."""
+    return "map(" + ", ".join(_quoted(x) for kv in pairs.items() for x in kv) + ")"
+
+
 def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr(_map_text(pairs))
 
 
 def _transitions() -> dict[str, str]:
@@ -44,37 +53,35 @@ def _transitions() -> dict[str, str]:
     return out
 
 
-def _label(id_: Column, at: Column) -> Column:
+def _label(at: str) -> str:
     """The name of a node: the document's id for its root, else one that is stable for its place."""
-    return F.when(at == "", id_).otherwise(F.concat(F.lit("_:"), F.sha1(F.concat(id_, F.lit("|"), at))))
+    return f"if({at} = '', id, concat('_:', sha1(concat(id, '|', {at}))))"
+
+
+_KNOWN = ["state", "owner", "term", "name", "at"]
 
 
-def _advance(
-    id_: Column, cur, item: Column, key: Column, step_: Column, found: Column
-) -> dict[str, Column]:
-    """What is known of a child, from what is known of the value around it.
+def _advance(cur: str, item: str, key: str, step: str, found: str) -> dict[str, str]:
+    """What is known of a child, from what is known of the value around it, as SQL text.
 
     ``state`` is the kind of node the value is, or the map or text table it is; ``owner`` and
     ``term`` are the node it belongs to and the vocabulary entry there; ``name`` its key in a map;
     ``at`` its place. The child is an array ``item`` or has a ``key``; ``found`` is the state the
     vocabulary gives the child of a node.
     """
-    state = cur["state"]
-    in_map, in_texts = state.startswith("map:"), state == "texts"
-    is_node = state.isNotNull() & ~in_map & ~in_texts
-    same = item | in_map | in_texts
+    state, owner, term, name, at = (f"{cur}{c}" for c in _KNOWN)
+    in_map, in_texts = f"startswith({state}, 'map:')", f"{state} = 'texts'"
+    same = f"{item} OR {in_map} OR {in_texts}"
     return {
-        "state": F.when(item, state).when(in_map, F.substr(state, F.lit(5))).when(is_node, found),
-        "owner": F.when(same, cur["owner"]).when(is_node, _label(id_, cur["at"])),
-        "term": F.when(same, cur["term"]).when(is_node, F.concat(state, F.lit("."), key)),
-        "name": F.when(item, cur["name"]).when(in_map | in_texts, key),
-        "at": F.concat(cur["at"], F.lit("/"), step_),
+        "state": f"CASE WHEN {item} THEN {state} WHEN {in_map} THEN substr({state}, 5) "
+        f"WHEN {in_texts} THEN NULL ELSE {found} END",
+        "owner": f"CASE WHEN {same} THEN {owner} WHEN {state} IS NOT NULL THEN {_label(at)} END",
+        "term": f"CASE WHEN {same} THEN {term} ELSE concat({state}, '.', {key}) END",
+        "name": f"CASE WHEN {item} THEN {name} WHEN {in_map} OR {in_texts} THEN {key} END",
+        "at": f"concat({at}, '/', {step})",
     }
 
 
-_KNOWN = ["state", "owner", "term", "name", "at"]
-
-
 def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> DataFrame:
     """Quads of each document (``id`` and a VARIANT column), one graph per document.
 
@@ -85,59 +92,60 @@ def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> D
     spark = docs.sparkSession
     table = _transitions()
     words = F.broadcast(spark.createDataFrame(list(table.items()), "__w string, __found string"))
-    none = F.lit(None).cast("string")
-    rows = docs.where(F.col(doc).isNotNull()).select(
+    none = "cast(NULL AS string)"
+    rows = docs.where(f"`{doc}` IS NOT NULL").selectExpr(
         "id",
-        F.lit("Thing").alias("state"),
-        none.alias("owner"),
-        none.alias("term"),
-        none.alias("name"),
-        F.lit("").alias("at"),
-        F.col(doc).alias("node"),
-        F.lit(True).alias("open"),
+        "'Thing' AS state",
+        f"{none} AS owner",
+        f"{none} AS term",
+        f"{none} AS name",
+        "'' AS at",
+        f"`{doc}` AS node",
+        "true AS open",
     )
+    child = _advance("", "__k IS NULL", "__k", STEP, "__found")
     for _ in range(FAST_LEVELS):
-        rows = children(rows)
-        word = F.when(~F.col("own") & F.col("__k").isNotNull(), F.concat("state", F.lit("."), "__k"))
-        rows = rows.withColumn("__q", word).join(words, F.col("__q") == F.col("__w"), "left")
-        cur = {c: F.col(c) for c in _KNOWN}
-        child = _advance(
-            F.col("id"), cur, F.col("__k").isNull(), F.col("__k"), step(), F.col("__found")
+        rows = (
+            children(rows)
+            .selectExpr("*", "if(own, NULL, concat(state, '.', __k)) AS __w")
+            .join(words, "__w", "left")
+            .selectExpr(
+                "id",
+                *[f"if(own, {c}, {child[c]}) AS {c}" for c in _KNOWN],
+                "if(own, node, __v) AS node",
+                "NOT own AS open",
+            )
+            .where("term IS NOT NULL OR at = ''")
         )
-        rows = rows.select(
-            "id",
-            *[F.when(F.col("own"), F.col(c)).otherwise(child[c]).alias(c) for c in _KNOWN],
-            F.when(F.col("own"), F.col("node")).otherwise(F.col("__v")).alias("node"),
-            (~F.col("own")).alias("open"),
-        ).where(F.col("term").isNotNull() | (F.col("at") == ""))
-    rows = _deeper(rows, table)
-    return _emit(rows, prefix)
+    return _emit(_deeper(rows, table), prefix)
 
 
 def _deeper(rows: DataFrame, table: dict[str, str]) -> DataFrame:
     """Rows as they are, and everything below those still open, worked out inside the row."""
-    lookup = _literal_map(table)
+    taken = _advance(
+        "cur.",
+        "startswith(taken, '[')",
+        "substr(taken, 2)",
+        "taken",
+        f"try_element_at({_map_text(table)}, concat(cur.state, taken))",
+    )
     kind = "struct<" + ",".join(f"{c}:string" for c in _KNOWN) + ">"
-    here = F.struct(*[F.col(c) for c in _KNOWN]).cast(kind)
-
-    def known(path: Column) -> Column:
-        def forward(cur: Column, taken: Column) -> Column:
-            found = F.try_element_at(lookup, F.concat(cur["state"], taken))
-            key = F.substr(taken, F.lit(2))
-            nxt = _advance(F.col("id"), cur, taken.startswith("["), key, taken, found)
-            return F.struct(*[nxt[c].alias(c) for c in _KNOWN]).cast(kind)
-
-        return F.aggregate(path, here, forward)
-
-    below = F.transform(
-        D.walk(F.col("node"), D.nesting_depth(F.to_json("node"))),
-        lambda n: F.struct(known(n["path"]).alias("k"), n["node"].alias("node")),
+    pack = lambda values: "named_struct(" + ", ".join(f"'{c}', {values[c]}" for c in _KNOWN) + ")"
+    here = f"cast({pack({c: c for c in _KNOWN})} AS {kind})"
+    wide = rows.withColumn("__nodes", F.when(F.col("open"), D.walk(F.col("node"), D.nesting_depth(F.to_json("node")))))
+    below = (
+        f"transform(__nodes, n -> named_struct('k', aggregate(n.path, {here}, "
+        f"(cur, taken) -> cast({pack(taken)} AS {kind})), 'node', n.node))"
+    )
+    return (
+        wide.selectExpr("*", f"explode_outer({below}) AS __n")
+        .selectExpr(
+            "id",
+            *[f"if(open, __n.k.{c}, {c}) AS {c}" for c in _KNOWN],
+            "if(open, __n.node, node) AS node",
+        )
+        .where("term IS NOT NULL")
     )
-    wide = rows.withColumn("__n", F.explode_outer(F.when(F.col("open"), below)))
-    pick = lambda c, inner: F.when(F.col("open"), F.col(inner)).otherwise(F.col(c)).alias(c)
-    return wide.select(
-        "id", *[pick(c, f"__n.k.{c}") for c in _KNOWN], pick("node", "__n.node")
-    ).where(F.col("term").isNotNull())
 
 
 def _emit(rows: DataFrame, prefix: str) -> DataFrame:
@@ -171,7 +179,7 @@ def _emit(rows: DataFrame, prefix: str) -> DataFrame:
     spec, kind = F.col("spec"), F.col("kind")
     is_map = spec.startswith("*")
     is_node = spec.startswith(">") | is_map
-    child = _label(F.col("id"), F.col("at"))
+    child = F.expr(_label("at"))
     # one declared type for all, so that branches agree on which fields may be NULL
     row = (
         "struct<s:string,p:string,v:struct<o:string,o_kind:string,o_dt:string,o_lang:string,"
