@@ -64,6 +64,12 @@ def test_batch_equals_one_by_one(spark, seed):
     assert sorted((r.seq, r.id, r.code) for r in out.rejects.collect()) == rejects
 
 
+def test_empty_patch_cleans_the_document(spark):
+    ops = ops_df(spark, [("PUT", "a", {"id": "a", "n": None, "o": {"x": None}}), ("PATCH", "a", {})])
+    out = M.apply_ops(ops, spark.createDataFrame([], "id string, body string"))
+    assert json.loads(out.things.first().body) == {"id": "a", "o": {}}
+
+
 def test_intake_rejects(spark):
     rows = [
         (0, "PUT", None, "", None), (1, "PUT", None, "[1]", None), (2, "PUT", None, "{bad", None),

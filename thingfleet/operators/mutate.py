@@ -129,6 +129,9 @@ def event_rows(classified: DataFrame) -> DataFrame:
 def fold(ops: DataFrame, things: DataFrame, stamp: bool = False) -> DataFrame:
     """Documents after all of ``ops``: ``id, body``. Needs ``m``; invalid operations are gone.
 
+    A patch of a document that was not there needs no treatment: it lies before the reset that
+    decides, or there is nothing to lay it over.
+
     With ``stamp`` documents are upgraded and stamped as they would be one at a time.
     """
     resets = ops.where(F.col("op").isin(*RESETS))
@@ -141,7 +144,8 @@ def fold(ops: DataFrame, things: DataFrame, stamp: bool = False) -> DataFrame:
     )
     patches = ops.where("op = 'PATCH'")
     by_key = (
-        patches.select("id", "seq", "ts", F.explode(F.map_entries("m")).alias("e"))
+        # an empty patch has no key, but it cleans and stamps the document as well
+        patches.select("id", "seq", "ts", F.explode_outer(F.map_entries("m")).alias("e"))
         .select("id", "seq", "ts", F.col("e.key").alias("key"), F.to_json("e.value").alias("value"))
         .groupBy("id", "key")
         .agg(F.max(F.struct("seq", "value", "ts")).alias("p"))
@@ -150,12 +154,10 @@ def fold(ops: DataFrame, things: DataFrame, stamp: bool = False) -> DataFrame:
     by_id = by_key.groupBy("id").agg(
         F.collect_list(F.struct("key", "p.seq", "p.value", "p.ts")).alias("patch")
     )
-    last_ts = patches.groupBy("id").agg(F.max(F.struct("seq", "ts")).alias("lp"))
     base = things.select("id", F.col("body").alias("base"))
     rows = (
         base.join(last_reset, "id", "full")
         .join(by_id, "id", "full")
-        .join(last_ts, "id", "left")
         .withColumn(
             "start", F.when(F.col("r").isNull(), F.col("base")).when(F.col("r.op") != "DELETE", F.col("r.body"))
         )
@@ -167,10 +169,11 @@ def fold(ops: DataFrame, things: DataFrame, stamp: bool = False) -> DataFrame:
     start = D.fields(F.try_parse_json("start"))
     over = F.map_from_entries(
         F.transform(
-            "live", lambda k: F.struct(k["key"], F.parse_json(k["value"]).alias("value"))
+            F.filter("live", lambda k: k["key"].isNotNull()),
+            lambda k: F.struct(k["key"], F.parse_json(k["value"]).alias("value")),
         )
     )
-    merged = F.to_json(D.overlay(start, over))
+    merged = F.to_json(D.drop_null_fields(D.overlay(start, over)))
     text = D.remove_nulls(F.parse_json(merged), D.nesting_depth(merged))
     rows = rows.withColumn(
         "body",
@@ -186,7 +189,8 @@ def fold(ops: DataFrame, things: DataFrame, stamp: bool = False) -> DataFrame:
                 F.size(gone) > 0, D.decorate(x, F.get(gone, F.lit(0))["ts"])
             ).otherwise(x),
         )
-        stamped = D.bind(restarted, lambda x: D.decorate(x, F.col("lp.ts")))
+        last = F.array_max(F.transform("live", lambda k: F.struct(k["seq"], k["ts"])))
+        stamped = D.bind(restarted, lambda x: D.decorate(x, last["ts"]))
         rows = rows.withColumn(
             "body", F.when(F.size("live") == 0, F.col("body")).otherwise(F.to_json(stamped))
         )
@@ -226,7 +230,7 @@ def apply_ops(
     missing = told.where("op = 'PATCH' and not existed")
     bad = bad.unionByName(reject_rows(missing.withColumn("code", F.lit("not_found"))))
     kept = told.where("op <> 'PATCH' or existed")
-    return Outcome(fold(kept, things, stamp), event_rows(kept), bad)
+    return Outcome(fold(good, things, stamp), event_rows(kept), bad)
 
 
 def documents_to_check(ops: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.algebra import describe
 from ..operators.mutate import name_based_id
 from ..operators.nodes import flatten, path_text
 from ..operators.triples import assemble, ntriples, triplify
-from ..session import scratch
+from ..session import scratch, spread
 from ..sources import catalog as C
 from ..sources import documents as intake
 from ..sources.fleet import RUN, customer_documents
@@ -167,7 +167,7 @@ SELECT event_id AS e, '{"l":[null,{"x":null}],"n":{"b":' || event_id || ',"e":{}
   || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"src":"' || event_type || '"' END || '}' AS body FROM events
 """)
 def remove_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf}/events.parquet"))
     src = F.when(F.col("event_id") % 3 == 0, "null").otherwise(
         F.concat(F.lit('"'), "event_type", F.lit('"'))
     )
@@ -190,7 +190,7 @@ SELECT event_id AS id, unnest(['$', '$.k', '$.n', '$.n.v', '$.n.l', '$.n.l[0]',
 FROM events
 """)
 def flatten_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf}/events.parquet"))
     body = F.concat(
         F.lit('{"k":'), F.get_json_object("props", "$.k"),
         F.lit(',"n":{"v":'), F.to_json(F.col("value").cast("variant")),

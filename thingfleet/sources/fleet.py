@@ -99,8 +99,7 @@ def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, op, id, body, ts``: each event of a user as an operation on their description."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return as_operations(e)
+    return as_operations(spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def as_operations(e: DataFrame) -> DataFrame:
