@@ -1,6 +1,6 @@
 """Ordered batches of create, replace, patch and delete applied to a table of documents.
 
-The reference order is the order of ``seq``. The outcome is computed with aggregations: per id the
+Operations take effect in the order of ``seq``. The outcome is computed with aggregations: per id the
 last replace or delete wins, per id and top-level key the last patch after it. Both combine on the
 map side, so an id that holds a large share of all operations is no bottleneck. What an operation
 means at its own time (created or updated, patch of something that is gone) comes from

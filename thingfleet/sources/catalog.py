@@ -119,7 +119,7 @@ def list_things(
 ) -> DataFrame:
     """One page of documents, ordered, ties broken by id.
 
-    The reference accepts these arguments without applying them; here the page is a real one.
+    Limit, offset and order are applied, not only accepted.
     """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
