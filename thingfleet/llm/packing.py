@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of
-from .token_ids import Ids, path
+from .token_ids import path, shared_ids
 
 #: Context sizes; all are powers of two, so a full window of any tier needs no padding.
 TIERS = (256, 512, 1024, 2048)
@@ -127,7 +127,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, last = Ids(file or path(vocabulary)), np.array([end], dtype="<u4").tobytes()
+        ids, last = shared_ids(file or path(vocabulary)), np.array([end], dtype="<u4").tobytes()
         first, groups = TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
         keys: list[int | None] = []
         texts: list[bytes] = []

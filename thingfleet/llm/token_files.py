@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_batch, rows_of, running_start, stored
-from .token_ids import Ids, path
+from .token_ids import path, shared_ids
 
 #: Row groups small enough to skip, pages small enough to read alone; the writer adds column and page indexes.
 #: Ids of a vocabulary of tens of thousands repeat, so a dictionary page codes them in 16 bits or fewer;
@@ -37,7 +37,7 @@ def tokenized(docs: DataFrame, file: str | None = None, end: int = 2, vocabulary
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        ids = Ids(file or path(vocabulary))
+        ids = shared_ids(file or path(vocabulary))
         last = np.array([end], dtype="<u4").tobytes()
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -54,7 +54,7 @@ def tokenized(docs: DataFrame, file: str | None = None, end: int = 2, vocabulary
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange("doc_id", "text")
+        .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .withColumn("part", F.spark_partition_id())
     )

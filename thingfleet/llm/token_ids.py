@@ -25,7 +25,7 @@ class Ids:
     two generations of ``limit`` chunks. A text with white space outside ASCII is encoded as one piece.
     """
 
-    def __init__(self, file: str, limit: int = 200_000):
+    def __init__(self, file: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,6 +62,16 @@ class Ids:
         return out
 
 
+_KEPT: dict[str, Ids] = {}
+
+
+def shared_ids(file: str) -> Ids:
+    """One per Python worker: the chunks that earlier tasks of the worker have met stay known."""
+    if file not in _KEPT:
+        _KEPT[file] = Ids(file)
+    return _KEPT[file]
+
+
 def path(name: str) -> str:
     """Where the public vocabulary file of that name lies on this machine."""
     return public_tokenizers.path(name)
