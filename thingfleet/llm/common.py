@@ -70,6 +70,14 @@ class Digests(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
 
 
+_DIGESTS = Digests()
+
+
+def shared_digests() -> Digests:
+    """One per Python worker: what earlier tasks have hashed stays known."""
+    return _DIGESTS
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: neighbouring values become unrelated ones."""
     x = x ^ (x >> np.uint64(30))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Bloom, Digests, bloom_of, by_batch, grams, rows_of, stored
+from .common import LOWER, Bloom, bloom_of, by_batch, grams, rows_of, shared_digests, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, spans: list[int], known: Bloom | None = None)
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests = Digests()
+        digests = shared_digests()
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, found = [], []
@@ -96,7 +96,7 @@ def benchmark_fingerprints(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests = Digests()
+        digests = shared_digests()
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORD, Digests, by_batch, grams, rows_of, stored
+from .common import LOWER, SPACE_WORD, Digests, by_batch, grams, rows_of, shared_digests, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Rules, each a share or score put into bins 0 to 63; a document falls when one of them reaches its cutoff.
@@ -110,7 +110,7 @@ def measured(docs: DataFrame, marks: dict[str, float]) -> DataFrame:
     """``doc_id, lang``, the base measures and the bin of each rule, one row per row of ``docs``."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests, weights = Digests(), _Weights(marks)
+        digests, weights = shared_digests(), _Weights(marks)
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             base, bins = [], []
