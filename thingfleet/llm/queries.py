@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from . import chat_format, decontaminate, line_runs, packing, quality_rules, token_files
+from . import chat_format, decontaminate, jaccard_join, line_runs, packing, quality_rules, suffix_dedup, token_files
 from .common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    lengths = F.transform("removed", lambda r: r["end"] - r["start"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0), lambda a, x: a + x).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    return jaccard_join.grouped(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("new_text").cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +91,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontaminate,
+        op2_suffix_dedup,
+        op4_jaccard_join,
         op5_line_dedup,
         op6_quality_rules,
         op8_chat_format,
@@ -125,4 +145,21 @@ SQL: dict[str, str] = {
             sha256(coalesce(items, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g)
+            WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (
+            SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
+            WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+        r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
 }
