@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from . import chat_format, decontaminate, jaccard_join, line_runs, packing, quality_rules, suffix_dedup, token_files
+from . import chat_format, decontaminate, html_extract, jaccard_join, line_runs, packing, quality_rules, suffix_dedup, token_files
 from .common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark, 500)
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared(spark)
     return jaccard_join.grouped(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_decontaminate,
         op2_suffix_dedup,
+        op3_html_extract,
         op4_jaccard_join,
         op5_line_dedup,
         op6_quality_rules,
