@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,11 +13,18 @@ from pyspark.sql.window import Window
 
 from thingfleet.session import cut, scratch
 
-#: A to Z alone are lower-cased, whatever the language.
-LOWER = {i: i + 32 for i in range(65, 91)}
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words between ASCII white space.
-SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space between words, as in [\x20\x09-\x0D].
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def space_words(text: str | None) -> list[bytes]:
+    """The words between ASCII white space, with A to Z alone lower-cased: what ``bytes`` does by itself."""
+    return utf8(text).lower().split()
 
 
 def prepared(spark: SparkSession, rows: int = 2000) -> SparkSession:
@@ -58,15 +64,15 @@ class Digests(dict):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        made = self.old.get(word) or xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[::-1]
+        made = self.old.get(word) or xxhash.xxh3_64_digest(word)[::-1]
         self[word] = made
         return made
 
-    def of(self, words: Iterable[str]) -> np.ndarray:
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -10,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Bloom, bloom_of, by_batch, grams, rows_of, shared_digests, stored
+from .common import Bloom, bloom_of, by_batch, grams, rows_of, shared_digests, stored, utf8
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words are runs of digits, letters and bytes outside ASCII; A to Z become a to z, all else parts words.
+WORD_BYTES = bytes(
+    b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
+)
 WINDOW = 13
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    return utf8(text).translate(WORD_BYTES).split()
 
 
 def shape(span: int) -> tuple[int, int]:
@@ -47,10 +49,12 @@ def winnow(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "array<struct<fp: long, at: int, span: int, before: array<string>, after: array<string>>>"
 
 
-def _context(words: list[str], at: int, span: int) -> dict:
+def _context(words: list[bytes], at: int, span: int) -> dict:
     """The words around a gram that windows through it can reach, the ones before it nearest first."""
     k, w = shape(span)
-    return {"at": at, "span": span, "before": words[max(0, at - w + 1) : at][::-1], "after": words[at : at + k + w - 1]}
+    text = [x.decode("utf-8", "surrogatepass") for x in words[max(0, at - w + 1) : at + k + w - 1]]
+    here = min(at, w - 1)
+    return {"at": at, "span": span, "before": text[:here][::-1], "after": text[here:]}
 
 
 def fingerprints(docs: DataFrame, spans: list[int], known: Bloom | None = None) -> DataFrame:

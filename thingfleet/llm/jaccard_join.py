@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, SPACE_WORD, Digests, bloom_of, by_batch, components, grams, is_empty, rows_of, shared_digests, stored
+from .common import Digests, bloom_of, by_batch, components, grams, is_empty, rows_of, shared_digests, space_words, stored
 
 #: A pair is linked when ``100 * common >= PERCENT * union``.
 PERCENT = 85
@@ -19,11 +19,11 @@ PERCENT = 85
 
 def shingle_set(text: str | None, digests: Digests, k: int = 4) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``k``-word shingles; the whole sequence when it is shorter."""
-    words = SPACE_WORD.findall((text or "").translate(LOWER))
+    words = space_words(text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
     if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed=len(words))], dtype=np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
     return np.unique(grams(digests.of(words), k))
 
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from .common import lowered, stored, with_key
+from .common import SPACES, lowered, stored, with_key
 
-STRIPPED = " \t\n\x0b\x0c\r"
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
 
 
@@ -85,7 +84,7 @@ class LineRuns:
 
 def line_keys(docs: DataFrame, least: int) -> DataFrame:
     """``doc_id, row_key, line_no`` and the hash of the key, null for keys of fewer than ``least`` code points."""
-    key = lowered(F.btrim("line", F.lit(STRIPPED)))
+    key = lowered(F.btrim("line", F.lit(SPACES)))
     long_enough = F.char_length(key) >= least
     return (
         with_key(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))

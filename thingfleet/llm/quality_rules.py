@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORD, Digests, by_batch, grams, rows_of, shared_digests, stored
+from .common import SPACES, Digests, by_batch, grams, rows_of, shared_digests, stored, utf8
 
 SYMBOLS = "#*$%&|<>"
 #: Rules, each a share or score put into bins 0 to 63; a document falls when one of them reaches its cutoff.
@@ -29,8 +29,12 @@ def _marks(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in range(3, 9) if len(word) > n)]
 
 
-def _plain_words(words: list[str]) -> set[str]:
-    return {w for w in {x.translate(LOWER).strip(EDGE).lower() for x in set(words)} if w}
+def _plain(word: bytes) -> str:
+    return word.decode("utf-8", "surrogatepass").strip(EDGE).lower()
+
+
+def _plain_words(text: str | None) -> set[str]:
+    return {w for w in map(_plain, set(utf8(text).split())) if w}
 
 
 def fit_word_weights(texts: DataFrame, most_marks: int = 65_536) -> dict[str, float]:
@@ -44,7 +48,7 @@ def fit_word_weights(texts: DataFrame, most_marks: int = 65_536) -> dict[str, fl
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             hit: list[Counter] = [Counter(), Counter()]
             for text, bad in zip(rows_of(b, "text"), rows_of(b, "bad")):
-                hit[bad].update({m for w in _plain_words(SPACE_WORD.findall(text or "")) for m in _marks(w)})
+                hit[bad].update({m for w in _plain_words(text) for m in _marks(w)})
             marks = list(hit[0].keys() | hit[1].keys())
             return pa.RecordBatch.from_arrays(
                 [pa.array(marks), pa.array([hit[0][m] for m in marks], pa.int64()), pa.array([hit[1][m] for m in marks], pa.int64())],
@@ -71,23 +75,23 @@ class _Weights(dict):
         super().__init__()
         self.marks, self.limit = marks, limit
 
-    def __missing__(self, raw: str) -> float:
+    def __missing__(self, raw: bytes) -> float:
         if len(self) >= self.limit:
             self.clear()
-        word = raw.translate(LOWER).strip(EDGE).lower()
+        word = _plain(raw)
         made = self[raw] = max((self.marks.get(m, 0.0) for m in _marks(word)), default=0.0) if word else 0.0
         return made
 
 
-def text_measures(text: str, digests: Digests) -> tuple[list[str], tuple[int, int, int, int, int]]:
+def text_measures(text: str, digests: Digests) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
     """The words, and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of one text."""
-    words = SPACE_WORD.findall(text)
+    words = utf8(text).split()
     lines = text.split("\n")
     dup = 0
     if len(set(lines)) < len(lines):
         seen: set[str] = set()
         for line in lines:
-            if SPACE_WORD.search(line):
+            if line.strip(SPACES):
                 dup += line in seen
                 seen.add(line)
     repeat = 0
@@ -103,7 +107,7 @@ def text_measures(text: str, digests: Digests) -> tuple[list[str], tuple[int, in
             np.add.at(step, np.flatnonzero(twice), 1)
             np.add.at(step, np.flatnonzero(twice) + 3, -1)
             repeat = int((np.cumsum(step)[:-1] > 0).sum())
-    return words, (len(words), len("".join(words)), sum(map(text.count, SYMBOLS)), dup, repeat)
+    return words, (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat)
 
 
 def measured(docs: DataFrame, marks: dict[str, float]) -> DataFrame:

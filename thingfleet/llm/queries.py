@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, line_runs, packing, quality_rules, suffix_dedup, token_files
+from . import chat_format, decontaminate, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files
 from .common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared(spark)
     said = "<|im_end|><|im_start|>assistant ok"
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
         op4_jaccard_join,
         op5_line_dedup,
         op6_quality_rules,
+        op7_lm_score,
         op8_chat_format,
         op9_token_files,
         op10_packing,
