@@ -20,9 +20,10 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``doc_id`` and text are those of a row in ``gone(doc_id, row_key)``."""
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row")).distinct()
-    same = F.xxhash64(F.col("doc_id"), F.col("text")).eqNullSafe(F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    return docs.join(gone, same, "left_anti")
+    gone = gone.select("doc_id", "row_key").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # whatever its columns are called
+    same = F.xxhash64("doc.doc_id", "doc.text").eqNullSafe(F.col("row_key")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))
+    return whole.join(gone, same, "left_anti").select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -318,19 +318,22 @@ def fit(pages: DataFrame) -> Model:
                 labels = weak_labels(page)
                 if labels is None:
                     continue
+                own: Counter = Counter()
                 for n, label in zip(page.nodes, labels):
-                    seen.update((m, label) for m in features(n))
+                    own.update((m, label) for m in features(n))
                     if n.parent >= 0:
-                        seen[f"edge {edge_kind(page.nodes[n.parent])} {labels[n.parent]}", label] += 1
+                        own[f"edge {edge_kind(page.nodes[n.parent])} {labels[n.parent]}", label] += 1
+                # a page speaks once, however often it repeats itself
+                seen.update({k: 1 + math.log2(v) for k, v in own.items()})
             marks = sorted({m for m, _ in seen})
             return pa.RecordBatch.from_arrays(
-                [pa.array(marks, pa.string()), *(pa.array([seen[m, s] for m in marks], pa.int64()) for s in (0, 1))],
+                [pa.array(marks, pa.string()), *(pa.array([float(seen[m, s]) for m in marks], pa.float64()) for s in (0, 1))],
                 names=["mark", "other", "content"],
             )
 
         return one
 
-    counts = by_batch(pages.select(F.col("html").cast("string")), make, "mark string, other long, content long")
+    counts = by_batch(pages.select(F.col("html").cast("string")), make, "mark string, other double, content double")
     rows = counts.groupBy("mark").agg(F.sum("other").alias("other"), F.sum("content").alias("content")).collect()
     return Model.fit({r["mark"]: (r["other"], r["content"]) for r in rows})
 

@@ -205,8 +205,9 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     known = stored(_groups(links), "groups")
     placed = listed.drop("before").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("g", F.coalesce("component", "rep")).drop("component")
+    placed = stored(placed, "placed-lists")
     mixed = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    placed = stored(placed.join(mixed, "token"), "mixed-lists")
+    placed = stored(placed.join(stored(mixed, "mixed-tokens"), "token"), "mixed-lists")
     # sizes of a link differ by one block at most; the margin covers rounding of the logarithm
     size = F.log(F.col("n")) / F.log(F.lit(100 / percent))
     offers = placed.where((100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n")).select(

@@ -11,6 +11,7 @@ from thingfleet.session import scratch
 
 from .common import SPACES, lowered, stored, with_key
 
+ADDED = ("n_lines", "n_dropped", "new_text")
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
 
 
@@ -102,8 +103,8 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``docs`` with the lines that ``min_docs`` documents share kept only in the largest ``doc_id`` holding them.
 
-    Adds ``n_lines`` (before), ``n_dropped`` and ``new_text``; all columns and rows of ``docs`` stay, in
-    which rows of one ``doc_id`` are one document. Null and empty texts are one empty line. A null
+    Adds ``n_lines`` (before), ``n_dropped`` and ``new_text``, which replace columns of these names; all other
+    columns and all rows of ``docs`` stay, in which rows of one ``doc_id`` are one document. Null and empty texts are one empty line. A null
     ``doc_id`` counts as one document, smaller than any other. Keys are told apart by 128 bits of hash.
     Lines travel as hashes; the texts of documents are shuffled once, to meet their marks.
     """
@@ -114,7 +115,8 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: in
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(found.where(F.col("batch") == k))
-    shared = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    # a table of its own, so that the join with it may be split where a line is very common
+    shared = stored(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "shared-lines")
     goes = (
         found.join(shared, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
@@ -123,23 +125,24 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: in
         .groupBy("doc_id", "row_key")
         .agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     )
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n", -1)
+    text = F.coalesce("doc.text", F.lit(""))
     # the gone numbers are sorted, so stretches between neighbours are slices: work grows with the lines
-    bounds = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("_lines")))
+    bounds = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))
     stretches = F.transform(
         F.sequence(F.lit(0), F.size("gone")),
-        lambda i: F.slice("_lines", F.get("_bounds", i) + 2, F.get("_bounds", i + 1) - F.get("_bounds", i) - 1),
+        lambda i: F.slice("lines", F.get("bounds", i) + 2, F.get("bounds", i + 1) - F.get("bounds", i) - 1),
     )
-    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_row", F.xxhash64(F.col("_doc"), text))
-    marks = goes.select(F.col("doc_id").alias("_doc2"), F.col("row_key").alias("_row2"), "gone")
-    on = F.col("_row").eqNullSafe(F.col("_row2")) & F.col("_doc").eqNullSafe(F.col("_doc2"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # whatever its columns are called
+    same = F.xxhash64(F.col("doc.doc_id").cast("long"), text).eqNullSafe(F.col("row_key")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id"))
+    untouched = F.col("gone").isNull()
     return (
-        keyed.join(marks, on, "left")
-        .withColumn("_lines", lines)
-        .withColumn("_bounds", F.when(F.col("gone").isNotNull(), bounds))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
-        .withColumn("new_text", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(stretches), "\n")))
-        .drop("_doc", "_doc2", "_row", "_row2", "_lines", "_bounds", "gone")
+        whole.join(goes, same, "left")
+        .withColumn("lines", F.split(text, "\n", -1))
+        .withColumn("bounds", F.when(~untouched, bounds))
+        .select(
+            *(F.col(f"doc.`{c}`") for c in docs.columns if c not in ADDED),
+            F.size("lines").cast("long").alias("n_lines"),
+            F.when(untouched, 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+            F.when(untouched, text).otherwise(F.array_join(F.flatten(stretches), "\n")).alias("new_text"),
+        )
     )
