@@ -86,8 +86,12 @@ def test_graphs_that_give_no_document(spark, quads):
     other = quads.where("s = 'urn:dev:1'").withColumn("g", F.lit("bad")).withColumn("s", F.lit("http://x"))
     docs, refused = assemble(quads.unionByName(other))
     assert docs.count() == 1 and [tuple(r) for r in refused.collect()] == [("bad", "no_root")]
-    docs, refused = assemble(quads, max_quads=3)
-    assert docs.count() == 0 and refused.first().code == "too_large"
+
+
+def test_ntriples_addresses(spark):
+    row = ("g", "urn:a b", "urn:p", "urn:<x>", "iri", None, None)
+    df = spark.createDataFrame([row], "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    assert ntriples(df).first().value == "<urn:a\\u0020b> <urn:p> <urn:\\u003Cx\\u003E> ."
 
 
 def test_ntriples(spark):
@@ -218,5 +222,8 @@ def test_store_keeps_versions(spark, tmp_path):
     built, refused = rebuild_things(store.quads(1))
     assert json.loads(built.first().body)["@version"] == "1.1" and refused.count() == 0
     changed = spark.createDataFrame([("http://example.com/graph/urn:dev:1", "urn:dev:1")], "g string, id string")
-    assert refresh_things(built, store.quads(1), changed).count() == 1
-    assert refresh_things(built, store.quads(1).where("false"), changed).count() == 0
+    assert refresh_things(built, store.quads(1), changed)[0].count() == 1
+    assert refresh_things(built, store.quads(1).where("false"), changed)[0].count() == 0
+    rootless = store.quads(1).where("s <> 'urn:dev:1'")
+    kept, refused = refresh_things(built, rootless, changed)
+    assert kept.count() == 1 and refused.first().code == "no_root"

@@ -404,10 +404,11 @@ def decorate_types(m: Column) -> Column:
 
 
 def decorate_registration(m: Column, now: Column) -> Column:
-    """Stamp ``registration``: created only where the block is absent, modified always."""
+    """Stamp ``registration``: created only where the block is absent, modified always; without an instant
+    the document stays as it is."""
     stamp = text_variant(instant_text(now))
     fresh = F.create_map(F.lit("created"), stamp, F.lit("modified"), stamp)
-    return bind(
+    stamped = bind(
         fields(F.try_element_at(m, F.lit("registration"))),
         lambda reg: put(
             m,
@@ -415,6 +416,7 @@ def decorate_registration(m: Column, now: Column) -> Column:
             F.to_variant_object(F.when(reg.isNull(), fresh).otherwise(put(reg, "modified", stamp))),
         ),
     )
+    return F.when(now.isNull(), m).otherwise(stamped)
 
 
 def decorate(m: Column, now: Column) -> Column:
@@ -423,13 +425,13 @@ def decorate(m: Column, now: Column) -> Column:
 
 def instant_text(ts: Column) -> Column:
     """ISO-8601 text of an instant in UTC, whatever the session's time zone."""
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(ts.cast("timestamp"))
     rest = F.pmod(micros, F.lit(86_400_000_000))
     day = F.date_add(
         F.lit("1970-01-01").cast("date"), ((micros - rest) / F.lit(86_400_000_000)).cast("int")
     )
     part = lambda unit, size: (F.floor(rest / F.lit(unit)) % size).cast("int")
-    return F.format_string(
+    text = F.format_string(
         "%sT%02d:%02d:%02d.%06dZ",
         day.cast("string"),
         part(3_600_000_000, 24),
@@ -437,6 +439,7 @@ def instant_text(ts: Column) -> Column:
         part(1_000_000, 60),
         (rest % 1_000_000).cast("int"),
     )
+    return F.when(ts.isNotNull(), text)
 
 
 # ---------------------------------------------------------------- null removal

@@ -172,7 +172,7 @@ def digest(text: Column, name: str) -> Column:
 
 
 def cast_term(text: Column, target: str) -> Column:
-    """Cast by name; a value that does not fit is NULL."""
+    """Cast by name; a value that does not fit is NULL. Numbers too large for an exact type become doubles."""
     kinds = {
         "integer": "decimal(38,0)",
         "decimal": "decimal(38,18)",

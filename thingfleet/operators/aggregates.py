@@ -48,14 +48,17 @@ def group_concat(
     distinct: bool = False,
     name: str = "joined",
 ) -> DataFrame:
-    """Concatenate the bound values of each group in value order.
+    """Concatenate the bound values of each group in value order; a group without any gives the empty text.
 
-    With ``distinct`` the values are reduced first, so a large group of few values never meets
-    in one task.
+    With ``distinct`` the values are reduced first; else equal values of a task meet as one with their
+    number, so a large group of few values never meets in one task.
     """
-    bound = rows.where(F.col(value).isNotNull()).select(*by, value)
     if distinct:
-        bound = bound.distinct()
-    return bound.groupBy(*by).agg(
+        kept = rows.select(*by, value).distinct()
+    else:
+        counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+        again = F.flatten(F.collect_list(F.array_repeat(F.col(value), F.col("__n").cast("int"))))
+        return counted.groupBy(*by).agg(F.array_join(F.array_sort(F.filter(again, lambda x: x.isNotNull())), separator).alias(name))
+    return kept.groupBy(*by).agg(
         F.array_join(F.array_sort(F.collect_list(value)), separator).alias(name)
     )

@@ -8,8 +8,7 @@ from itertools import product as combinations_of
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_SIDE = 10_000
-
+from ..session import cut
 
 def shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
@@ -21,25 +20,24 @@ def join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, keys, "inner") if keys else product(a, b)
 
 
-def product(a: DataFrame, b: DataFrame, limit: int = SMALL_SIDE) -> DataFrame:
-    """Every row of ``a`` with every row of ``b``, where one side is small.
+def _rows_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, also where a column has a type that hashes don't take."""
+    return F.xxhash64(F.to_json(F.struct("*"))) if df.columns else F.xxhash64(F.lit(0))
+
+
+def product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of ``a`` with every row of ``b``.
 
-    The size is checked, not assumed: a side of at most ``limit`` rows travels as a constant
-    inside the plan, so the result is a narrow pass over the other side. Two large sides are
-    refused, as their product could not be stored.
+    Each side is dealt into as many blocks as the square root of the shuffle partitions, and each block
+    goes to the tasks of all blocks of the other side: an equi-join on the two block numbers. A task
+    holds a block of either side, whatever their sizes; the result is as large as it has to be.
     """
-    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    for big, small in ((a, b), (b, a)):
-        rows = small.limit(limit + 1).select(F.to_json(F.struct("*"), options).alias("j")).collect()
-        if len(rows) > limit:
-            continue
-        text = "[" + ",".join(r.j for r in rows) + "]"
-        constant = F.from_json(F.lit(text), f"array<{small.schema.simpleString()}>", options)
-        spread = big.select("*", F.explode(constant).alias("__r")).select(*big.columns, "__r.*")
-        return spread.select(*a.columns, *b.columns)
-    raise ValueError(
-        f"both sides of a product exceed {limit} rows; connect the patterns by a shared variable"
-    )
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(2, round(parts**0.5))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.withColumn("__i", F.pmod(_rows_hash(a), F.lit(n)).cast("int")).withColumn("__j", every)
+    right = b.withColumn("__j", F.pmod(_rows_hash(b), F.lit(n)).cast("int")).withColumn("__i", every)
+    return left.join(right, ["__i", "__j"]).select(*a.columns, *b.columns)
 
 
 def _on(a: DataFrame, b: DataFrame, keys: list[str], cond: Column | None):
@@ -49,17 +47,37 @@ def _on(a: DataFrame, b: DataFrame, keys: list[str], cond: Column | None):
     return right, reduce(Column.__and__, tests)
 
 
-def optional(a: DataFrame, b: DataFrame, cond: Column | None = None) -> DataFrame:
-    """Left join; ``cond`` is a filter inside the optional part, so it is part of the join."""
+def optional(
+    a: DataFrame,
+    b: DataFrame,
+    cond: Column | None = None,
+    left_unbound: list[str] | None = None,
+    right_unbound: list[str] | None = None,
+) -> DataFrame:
+    """Left join; ``cond`` is a filter inside the optional part, so it is part of the join.
+
+    A shared variable that is unbound on either side agrees with every value. The lists say which may be
+    unbound (by default all): with none it is one left join, else the joined rows and the rows of ``a``
+    that agree with nothing.
+    """
     keys = shared(a, b)
     if not keys:
         raise ValueError("an optional part must share a variable with the rest")
+    left, right_ = _maybe(keys, left_unbound), _maybe(keys, right_unbound)
+    if left or right_:
+        met = compat_join(a, b, left, right_)
+        met = met if cond is None else met.where(cond)
+        return met.unionByName(not_exists(a, b, cond, left, right_), allowMissingColumns=True)
     if cond is None:
         return a.join(b, keys, "left")
     right, on = _on(a, b, keys, cond)
     return a.join(right, on, "left").drop(*[f"__r_{k}" for k in keys])
 
 
+def _maybe(keys: list[str], unbound: list[str] | None) -> list[str]:
+    return keys if unbound is None else [k for k in keys if k in unbound]
+
+
 def theta(a: DataFrame, b: DataFrame, cond: Column) -> DataFrame:
     """Join on the shared variables and any further comparison between the two sides."""
     keys = shared(a, b)
@@ -69,25 +87,67 @@ def theta(a: DataFrame, b: DataFrame, cond: Column) -> DataFrame:
     return a.join(right, on, "inner").drop(*[f"__r_{k}" for k in keys])
 
 
-def exists(a: DataFrame, b: DataFrame, cond: Column | None = None) -> DataFrame:
-    return _semi(a, b, cond, "left_semi")
+def exists(
+    a: DataFrame,
+    b: DataFrame,
+    cond: Column | None = None,
+    left_unbound: list[str] | None = None,
+    right_unbound: list[str] | None = None,
+) -> DataFrame:
+    """Rows of ``a`` that agree with some row of ``b``; an unbound shared variable agrees with any value."""
+    return _semi(a, b, cond, left_unbound, right_unbound)[0]
 
 
-def not_exists(a: DataFrame, b: DataFrame, cond: Column | None = None) -> DataFrame:
-    return _semi(a, b, cond, "left_anti")
+def not_exists(
+    a: DataFrame,
+    b: DataFrame,
+    cond: Column | None = None,
+    left_unbound: list[str] | None = None,
+    right_unbound: list[str] | None = None,
+) -> DataFrame:
+    return _semi(a, b, cond, left_unbound, right_unbound)[1]
+
 
+def _semi(
+    a: DataFrame, b: DataFrame, cond: Column | None, left_unbound: list[str] | None, right_unbound: list[str] | None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``a`` that agree with a row of ``b``, and those that agree with none.
 
-def _semi(a: DataFrame, b: DataFrame, cond: Column | None, how: str) -> DataFrame:
+    One equi-join per choice of unbound variables; each looks only at the rows that the choices before it
+    left without a match.
+    """
     keys = shared(a, b)
-    if not keys and cond is None:
-        found = not b.limit(1).isEmpty()
-        return a if found == (how == "left_semi") else a.where(F.lit(False))
-    if not keys:
+    if not keys and cond is not None:
         raise ValueError("an existence test with a filter must share a variable with the rest")
-    if cond is None:
-        return a.join(b.select(*keys).distinct(), keys, how)
-    right, on = _on(a, b, keys, cond)
-    return a.join(right, on, how)
+    left, right = _maybe(keys, left_unbound), _maybe(keys, right_unbound)
+    found, missed = [], []
+    for lmask in _null_masks(left):
+        rest = _with_mask(a, left, lmask)
+        for rmask in _null_masks(right):
+            on = [k for k in keys if k not in lmask and k not in rmask]
+            other = _with_mask(b, right, rmask)
+            if cond is not None:
+                other, tests = _on(a, other, keys, cond)
+                test = reduce(Column.__and__, [F.col(k) == F.col(f"__r_{k}") for k in on] + [cond])
+                if not on:  # the filter alone connects the two sides: pairs are made block by block
+                    numbered = cut(rest.withColumn("__row", F.monotonically_increasing_id()))
+                    hit = product(numbered, other).where(cond).select("__row").distinct()
+                    found.append(numbered.join(hit, "__row", "left_semi").select(*a.columns))
+                    rest = numbered.join(hit, "__row", "left_anti").select(*a.columns)
+                    continue
+                found.append(rest.join(other, test, "left_semi"))
+                rest = rest.join(other, test, "left_anti")
+            elif on:
+                other = other.select(*on).distinct()
+                found.append(rest.join(other, on, "left_semi").select(*a.columns))
+                rest = rest.join(other, on, "left_anti").select(*a.columns)
+            else:  # any row agrees: all of them if there is one
+                one = F.broadcast(other.limit(1).select(F.lit(1).alias("__one")))
+                rest = rest.withColumn("__one", F.lit(1))
+                found.append(rest.join(one, "__one", "left_semi").select(*a.columns))
+                rest = rest.join(one, "__one", "left_anti").select(*a.columns)
+        missed.append(rest)
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, missed)
 
 
 def _null_masks(variables: list[str]) -> list[frozenset[str]]:
@@ -115,11 +175,10 @@ def compat_join(
     ``left_unbound`` and ``right_unbound`` say which shared variables may be NULL on each side;
     by default all of them. The join splits into one equi-join per combination of bound
     variables, so no condition with OR reaches the planner. A combination with no variable
-    bound on both sides is a product and follows the rule of :func:`product`.
+    bound on both sides is a :func:`product`.
     """
     keys = shared(a, b)
-    left = keys if left_unbound is None else [k for k in keys if k in left_unbound]
-    right = keys if right_unbound is None else [k for k in keys if k in right_unbound]
+    left, right = _maybe(keys, left_unbound), _maybe(keys, right_unbound)
     out = []
     for lmask in _null_masks(left):
         for rmask in _null_masks(right):
@@ -129,8 +188,6 @@ def compat_join(
             if on:
                 tests = [F.col(k) == F.col(f"__r_{k}") for k in on]
                 part = la.join(renamed, reduce(Column.__and__, tests), "inner")
-            elif la.limit(1).isEmpty() or rb.limit(1).isEmpty():
-                continue
             else:
                 part = product(la, renamed)
             merged = [
@@ -139,8 +196,6 @@ def compat_join(
             ]
             rest = [F.col(c) for c in b.columns if c not in keys]
             out.append(part.select(*merged, *rest))
-    if not out:
-        return a.join(b, keys, "inner").where(F.lit(False))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -154,8 +209,7 @@ def minus(
     keys = shared(a, b)
     if not keys:
         return a
-    left = keys if left_unbound is None else [k for k in keys if k in left_unbound]
-    right = keys if right_unbound is None else [k for k in keys if k in right_unbound]
+    left, right = _maybe(keys, left_unbound), _maybe(keys, right_unbound)
     out = []
     for lmask in _null_masks(left):
         rows = _with_mask(a, left, lmask)
@@ -173,15 +227,20 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
-def values(a: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
-    """Join with inline data written in the query; None is an undefined value."""
+def values(
+    a: DataFrame, names: list[str], rows: list[tuple], left_unbound: list[str] | None = None
+) -> DataFrame:
+    """Join with inline data written in the query; None is an undefined value.
+
+    Variables of ``a`` may be unbound too, by default all; without a common variable it is a product.
+    """
     schema = ", ".join(f"`{n}` {dict(a.dtypes).get(n, 'string')}" for n in names)
     data = a.sparkSession.createDataFrame(rows, schema)
+    keys = shared(a, data)
+    if not keys:
+        return product(a, data)
     gaps = [n for i, n in enumerate(names) if any(r[i] is None for r in rows)]
-    if gaps:
-        return compat_join(a, data, left_unbound=[], right_unbound=gaps)
-    # inline rows are as many as the query text spells out
-    return a.join(F.broadcast(data), [n for n in names if n in a.columns], "inner")
+    return compat_join(a, data, left_unbound=_maybe(keys, left_unbound), right_unbound=gaps)
 
 
 def federate(a: DataFrame, remote: DataFrame) -> DataFrame:
@@ -219,8 +278,6 @@ def describe(quads: DataFrame, resources: DataFrame, rounds_cut: bool = True) ->
     Only blank nodes not seen before enter the next round, so the loop ends when a round finds
     none, however deep the nesting.
     """
-    from ..session import cut
-
     found = quads.join(resources.select("s").distinct(), "s", "left_semi")
     nodes = found.where("o_kind = 'bnode'").select("g", F.col("o").alias("s")).distinct()
     seen = None
@@ -238,16 +295,18 @@ def describe(quads: DataFrame, resources: DataFrame, rounds_cut: bool = True) ->
     return reduce(DataFrame.unionByName, parts).select(*quads.columns).distinct()
 
 
-def order_solutions(rows: DataFrame, *terms: Column | tuple[Column, Column]) -> DataFrame:
-    """Sort by terms; a term with its kind sorts unbound, blank node, address, literal."""
+def order_solutions(rows: DataFrame, *terms: Column | tuple) -> DataFrame:
+    """Sort by terms. ``(value, kind)`` sorts unbound, blank node, address, literal;
+    ``(value, kind, "desc")`` the other way round."""
     keys: list[Column] = []
     for t in terms:
         if isinstance(t, tuple):
-            value, kind = t
+            value, kind = t[:2]
             rank = (
                 F.when(value.isNull(), 0).when(kind == "bnode", 1).when(kind == "iri", 2).otherwise(3)
             )
-            keys += [rank, value]
+            down = len(t) > 2 and t[2] == "desc"
+            keys += [rank.desc(), value.desc()] if down else [rank, value]
         else:
             keys.append(t)
     return rows.orderBy(*keys)

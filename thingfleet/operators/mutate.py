@@ -18,7 +18,7 @@ from ..functions import documents as D
 from ..schema import QUAD_COLS
 from ..session import cut
 from ..sources.documents import intake, message_of, reject_rows
-from .ordered import BLOCK, carry_last
+from .ordered import carry_last
 
 RESETS = ("CREATE", "PUT", "DELETE")
 
@@ -55,8 +55,21 @@ def name_based_id(*parts: Column) -> Column:
 def mint_ids(ops: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Give anonymous creates an id from their number and body, again while one is taken.
 
-    ``taken`` has the ids in use. Operations of other kinds pass unchanged.
+    ``taken`` has the ids in use; the minted ones of a batch differ because their numbers do. The id is
+    written into the document. Operations of other kinds pass unchanged.
     """
+    return _with_own_id(_mint(ops, taken))
+
+
+def _with_own_id(ops: DataFrame) -> DataFrame:
+    """Created documents say their id themselves; needs ``m``."""
+    if "m" not in ops.columns:
+        return ops
+    own = F.create_map(F.lit("id"), D.text_variant(F.col("id")))
+    return ops.withColumn("m", F.when(F.col("op") == "CREATE", D.overlay(F.col("m"), own)).otherwise(F.col("m")))
+
+
+def _mint(ops: DataFrame, taken: DataFrame | None) -> DataFrame:
     named = ops.withColumn(
         "id",
         F.when(F.col("op") == "CREATE", name_based_id(F.col("seq").cast("string"), F.col("body")))
@@ -85,7 +98,7 @@ def flag_existing(ops: DataFrame, things: DataFrame) -> DataFrame:
     return ops.join(ids, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def classify(ops: DataFrame, things: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def classify(ops: DataFrame, things: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """Add ``existed``: whether the document was there just before the operation."""
     told = carry_last(
         ops, "id", "seq", F.when(F.col("op").isin(*RESETS), F.col("op") != "DELETE"), "__there", block
@@ -202,7 +215,7 @@ def apply_ops(
     things: DataFrame,
     invalid: DataFrame | None = None,
     stamp: bool = False,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> Outcome:
     """Apply a batch: one operation that fails is rejected, the rest proceed.
 
@@ -214,7 +227,7 @@ def apply_ops(
     """
     taken_in = intake(ops)
     bad = reject_rows(taken_in)
-    good = mint_ids(taken_in.where("code is null").drop("code"))
+    good = mint_ids(taken_in.where("code is null").drop("code"), things)
     if invalid is not None:
         listed = invalid.select("seq", *[c for c in invalid.columns if c == "errors"])
         if "errors" not in listed.columns:
@@ -256,17 +269,13 @@ def documents_to_check(ops: DataFrame) -> DataFrame:
 
 
 def invalid_ops(violations: DataFrame, prefix: str) -> DataFrame:
-    """Operation numbers, each with its first error, from violations of :func:`documents_to_check`.
+    """Operation numbers with all their errors, from violations of :func:`documents_to_check`.
 
-    The complete list stays in ``violations``, so a row never grows with the number of errors.
+    A list is as long as one document has errors.
     """
-    return violations.groupBy("g").agg(
-        F.min_by(F.struct(F.col("constraint").alias("f"), F.col("message").alias("m")), "message").alias("e")
-    ).select(
-        F.replace("g", F.lit(prefix + "urn:op:"), F.lit("")).cast("bigint").alias("seq"),
-        F.array(
-            F.struct(F.col("e.f").alias("field"), F.col("e.m").alias("description"))
-        ).alias("errors"),
+    errors = F.collect_set(F.struct(F.col("constraint").alias("field"), F.col("message").alias("description")))
+    return violations.groupBy("g").agg(F.array_sort(errors).alias("errors")).select(
+        F.replace("g", F.lit(prefix + "urn:op:"), F.lit("")).cast("bigint").alias("seq"), "errors"
     )
 
 

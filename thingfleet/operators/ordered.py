@@ -1,8 +1,8 @@
 """Work along an order without ever putting one key, or everything, into one task.
 
-The order column is cut into blocks. A window runs inside each (key, block); what one block hands
-to the next is a summary row, and only summary rows are scanned per key. With unique whole-number
-order values a block never holds more rows than its width, however hot its key is.
+The range of the order column is cut into blocks of one width. A window runs inside each (key, block); what
+one block hands to the next is a summary row, and only summary rows are scanned per key. There are at most
+``BLOCKS`` times the shuffle partitions of them, whether the numbers are dense or sparse.
 """
 
 from __future__ import annotations
@@ -10,19 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1_000_000
+BLOCKS = 8
 
 
-def _block(order: str, width: int) -> Column:
-    """Number of the block an order value falls into, in whole-number arithmetic."""
-    return F.expr(f"`{order}` div {width}L")
+def _blocked(df: DataFrame, order: str, width: int | None) -> DataFrame:
+    """Add ``__b``, the number of the block an order value falls into, in whole-number arithmetic."""
+    if width is not None:
+        return df.withColumn("__b", F.expr(f"`{order}` div {width}L"))
+    n = BLOCKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi")).withColumn("__one", F.lit(1))
+    # the side that travels is one row
+    return (
+        df.withColumn("__one", F.lit(1))
+        .join(F.broadcast(ends), "__one")
+        .withColumn("__b", F.expr(f"(`{order}` - __lo) div ((__hi - __lo) div {n}L + 1L)"))
+        .drop("__one", "__lo", "__hi")
+    )
 
 
 def carry_last(
-    df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK
+    df: DataFrame, key: str, order: str, value: Column, name: str, block: int | None = None
 ) -> DataFrame:
     """Add ``name``: the last non-NULL ``value`` on an earlier row of the same key."""
-    rows = df.withColumn("__v", value).withColumn("__b", _block(order, block))
+    rows = _blocked(df.withColumn("__v", value), order, block)
     before = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("__in", F.last("__v", ignorenulls=True).over(before))
 
@@ -40,9 +50,9 @@ def carry_last(
     )
 
 
-def number_rows(df: DataFrame, order: str, name: str, start: int = 0, block: int = BLOCK) -> DataFrame:
+def number_rows(df: DataFrame, order: str, name: str, start: int = 0, block: int | None = None) -> DataFrame:
     """Add ``name``: a gapless number along ``order``, beginning at ``start``."""
-    rows = df.withColumn("__b", _block(order, block))
+    rows = _blocked(df, order, block)
     inside = rows.withColumn(
         "__i", F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
     )

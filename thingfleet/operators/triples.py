@@ -281,9 +281,15 @@ def ntriples(quads: DataFrame, with_graph: bool = False) -> DataFrame:
     escaped = F.col("o")
     for found, wanted in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
         escaped = F.replace(escaped, F.lit(found), F.lit(wanted))
-    resource = lambda c: F.when(c.startswith("_:"), c).otherwise(
-        F.concat(F.lit("<"), c, F.lit(">"))
-    )
+    # characters that an address may not hold are written as their code
+    forbidden = {c: f"\\u{ord(c):04X}" for c in '<>"{}|^`\\ '}
+
+    def address(c: Column) -> Column:
+        for found, wanted in sorted(forbidden.items(), key=lambda x: x[0] != "\\"):
+            c = F.replace(c, F.lit(found), F.lit(wanted))
+        return F.concat(F.lit("<"), c, F.lit(">"))
+
+    resource = lambda c: F.when(c.startswith("_:"), c).otherwise(address(c))
     literal = F.concat(
         F.lit('"'),
         escaped,
@@ -296,9 +302,9 @@ def ntriples(quads: DataFrame, with_graph: bool = False) -> DataFrame:
         .otherwise(""),
     )
     obj = F.when(F.col("o_kind") == "literal", literal).otherwise(resource(F.col("o")))
-    parts = [resource(F.col("s")), F.concat(F.lit("<"), "p", F.lit(">")), obj]
+    parts = [resource(F.col("s")), address(F.col("p")), obj]
     if with_graph:
-        parts.append(F.concat(F.lit("<"), "g", F.lit(">")))
+        parts.append(address(F.col("g")))
     return quads.select(F.concat(F.concat_ws(" ", *parts), F.lit(" .")).alias("value"))
 
 
@@ -316,22 +322,16 @@ def _reverse_terms(spark) -> DataFrame:
     return spark.createDataFrame(rows, "ctx string, p string, key string, spec string")
 
 
-def assemble(quads: DataFrame, max_quads: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def assemble(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents from quads, and the graphs that cannot become one.
 
     The document starts at the node whose name begins with ``urn``; nested nodes are placed level
-    by level. Returns ``(id, g, body)`` and ``(g, code)``: graphs without such a node, and graphs
-    of more than ``max_quads`` quads, which would not fit a single text value and stay as quads.
+    by level. Returns ``(id, g, body)`` and ``(g, code)``: graphs without such a node.
     """
     spark = quads.sparkSession
-    sizes = quads.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("s").startswith("urn"), F.col("s"))).alias("root"),
-    )
-    refused = sizes.select(
-        "g", F.when(F.col("n") > max_quads, "too_large").when(F.col("root").isNull(), "no_root").alias("code")
-    ).where("code is not null")
-    roots = cut(sizes.where(F.col("n") <= max_quads).where("root is not null").select("g", "root"))
+    sizes = quads.groupBy("g").agg(F.min(F.when(F.col("s").startswith("urn"), F.col("s"))).alias("root"))
+    refused = sizes.where("root is null").select("g", F.lit("no_root").alias("code"))
+    roots = cut(sizes.where("root is not null"))
     terms = F.broadcast(_reverse_terms(spark))  # the fixed term table
     names = quads.where(
         F.col("p").isin(*[iri(x) for x in {*NAME_PREDICATE.values(), DEFAULT_NAME_PREDICATE}])

@@ -54,6 +54,10 @@ def _has_datatype(dt: Column) -> Column:
     return (F.col("o_kind") == "literal") & (own == dt) & tagged & _well_formed(F.col("o"), dt)
 
 
+def _is_address(text: Column) -> Column:
+    return text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
 def _passes() -> Column:
     kind, arg, listed = F.col("kind"), F.col("arg_str"), F.col("arg_list")
     any_uri = _has_datatype(F.lit(XSD + "anyURI"))
@@ -61,7 +65,8 @@ def _passes() -> Column:
         F.when(kind == "datatype", _has_datatype(arg))
         .when(kind == "datatypeIn", F.array_contains(listed, F.col("o_dt")) & _has_datatype(F.col("o_dt")))
         .when(kind == "nodeKind", F.col("o_kind") == arg)
-        .when(kind == "in", F.array_contains(listed, F.col("o")))
+        # an address of the list is no text, and the other way round
+        .when(kind == "in", F.array_contains(listed, F.col("o")) & (_is_address(F.col("o")) == (F.col("o_kind") == "iri")))
         .when(kind == "reference", (F.col("o_kind") == "iri") | any_uri),
         F.lit(False),
     )

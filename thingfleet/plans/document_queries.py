@@ -569,3 +569,38 @@ def mint_names(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/customer.parquet")
     k = F.col("c_custkey")
     return c.select(k.alias("k"), name_based_id(k.cast("string"), F.col("c_name")).alias("id"))
+
+
+@query("""
+SELECT 'urn:customer:' || c_custkey AS id, CASE WHEN c_custkey % 50 <> 7 THEN c_name END AS title, '1.1' AS version
+FROM customer WHERE c_custkey % 7 <> 3
+""")
+def rebuild_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents anew from their quads; graphs without a root give none."""
+    root = F.col("s").startswith("urn:customer:") & (F.regexp_extract("s", r"(\d+)$", 1).cast("long") % 7 == 3)
+    docs, _ = C.rebuild_things(stored(dedup(_quads(spark, sf)).where(~root)))
+    return docs.select("id", *_titles())
+
+
+def _titles() -> list[Column]:
+    doc = F.parse_json("body")
+    return [F.try_variant_get(doc, "$.title", "string").alias("title"), F.try_variant_get(doc, "$['@version']", "string").alias("version")]
+
+
+@query("""
+SELECT 'urn:customer:' || c_custkey AS id, CASE WHEN c_custkey % 5 = 1 THEN 'changed' WHEN c_custkey % 5 = 3 THEN 'kept'
+  ELSE 'kept' END AS title FROM customer WHERE c_custkey % 5 <> 2
+""")
+def refresh_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the stored documents a fifth has a new title, a fifth an emptied graph, a fifth a graph without a root."""
+    quads = dedup(_quads(spark, sf)).withColumn("k", F.regexp_extract("g", r"(\d+)$", 1).cast("long"))
+    title = (F.col("p") == TD + "title") & (F.col("k") % 5 == 1)
+    quads = quads.where("k % 5 <> 2").where(~((F.col("k") % 5 == 3) & F.col("s").startswith("urn:customer:")))
+    # untitled ones get a title as well
+    fresh = quads.where((F.col("k") % 5 == 1) & (F.col("p") == TD + "description")).withColumn("p", F.lit(TD + "title")).withColumn("o", F.lit("changed"))
+    now = stored(quads.where(~title).unionByName(fresh).drop("k"))
+    docs = customer_documents(spark, sf)
+    old = docs.select("id", F.concat(F.lit('{"id":"'), "id", F.lit('","title":"kept"}')).alias("body"))
+    changed = docs.where("k % 5 in (1, 2, 3)").select(F.concat(F.lit("http://example.com/graph/"), "id").alias("g"), "id")
+    things, _ = C.refresh_things(old, now, changed)
+    return things.select("id", _titles()[0])

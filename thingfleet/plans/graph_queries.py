@@ -9,7 +9,7 @@ from ..functions import terms as T
 from ..operators import aggregates as agg
 from ..operators import algebra as al
 from ..operators import property_paths as pp
-from ..sources.graphs import COL, PART_OF, business_graph, conversation_links, dedup
+from ..sources.graphs import COL, PART_OF, QuadTable, business_graph, conversation_links, dedup
 from ..vocab import RDF_TYPE
 from .patterns import bgp, lang, num, time, triple
 from .registry import query
@@ -78,11 +78,11 @@ SELECT c.c_mktsegment AS segment, r.r_name AS region, count(*) AS pairs
 FROM customer c CROSS JOIN region r GROUP BY 1, 2
 """)
 def bgp_cross(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bgp(
-        business_graph(spark, sf),
-        [_t("?c", "c_mktsegment", "?segment"), _t("?r", "r_name", "?region")],
-    )
-    return rows.groupBy("segment", "region").agg(agg.count().alias("pairs"))
+    """Two patterns without a common variable: each side is counted by its group before they are multiplied."""
+    g = business_graph(spark, sf)
+    customers = bgp(g, [_t("?c", "c_mktsegment", "?segment")]).groupBy("segment").agg(agg.count().alias("n"))
+    regions = bgp(g, [_t("?r", "r_name", "?region")]).groupBy("region").agg(agg.count().alias("m"))
+    return al.product(customers, regions).select("segment", "region", (F.col("n") * F.col("m")).alias("pairs"))
 
 
 @query("""
@@ -129,7 +129,7 @@ def optional_label(spark: SparkSession, sf: str) -> DataFrame:
     g = business_graph(spark, sf)
     docs = bgp(g, [_t("?d", "source", "?source")])
     labels = bgp(g, [_t("?l", "about", "?d"), _t("?l", "quality", num("?quality"))])
-    return al.optional(docs, labels.drop("l")).select("d", "source", "quality")
+    return al.optional(docs, labels.drop("l"), None, [], []).select("d", "source", "quality")
 
 
 @query("""
@@ -149,7 +149,7 @@ def optional_filter_inside(spark: SparkSession, sf: str) -> DataFrame:
             _t("?l", "toxic", num("?toxic")),
         ],
     ).drop("l")
-    out = al.optional(docs, labels, (F.col("quality") == 1) & (F.col("n_chars") > 500))
+    out = al.optional(docs, labels, (F.col("quality") == 1) & (F.col("n_chars") > 500), [], [])
     return out.select("d", "n_chars", "toxic")
 
 
@@ -171,7 +171,7 @@ def compat_join(spark: SparkSession, sf: str) -> DataFrame:
             _t("?l", "toxic", num("?toxic")),
         ],
     )
-    a = al.optional(docs, labels.select("d", "q"))
+    a = al.optional(docs, labels.select("d", "q"), None, [], [])
     b = labels.select("d", F.when(F.col("toxic") == 0, 1 - F.col("q")).alias("q"), "toxic")
     return al.compat_join(a, b, left_unbound=["q"], right_unbound=["q"]).select("d", "q", "toxic")
 
@@ -184,7 +184,7 @@ def exists_order(spark: SparkSession, sf: str) -> DataFrame:
     g = business_graph(spark, sf)
     customers = bgp(g, [_t("?c", "c_name", "?name"), _t("?c", "c_acctbal", num("?balance"))])
     orders = bgp(g, [_t("?o", "o_customer", "?c"), _t("?o", "o_totalprice", num("?price"))])
-    return al.exists(customers, orders, F.col("price") > 60 * F.col("balance")).select("name")
+    return al.exists(customers, orders, F.col("price") > 60 * F.col("balance"), [], []).select("name")
 
 
 @query("""
@@ -196,7 +196,7 @@ def not_exists_order(spark: SparkSession, sf: str) -> DataFrame:
     customers = bgp(g, [_t("?c", "c_name", "?name")])
     low = [_t("?o", "o_customer", "?c"), _t("?o", "o_orderpriority", "5-LOW")]
     orders = bgp(g, low).select("c")
-    return al.not_exists(customers, orders).select("name")
+    return al.not_exists(customers, orders, None, [], []).select("name")
 
 
 @query("""
@@ -234,7 +234,7 @@ def minus_unbound(spark: SparkSession, sf: str) -> DataFrame:
             _t("?l", "toxic", num("?toxic")),
         ],
     )
-    a = al.optional(docs, labels.select("d", "q"))
+    a = al.optional(docs, labels.select("d", "q"), None, [], [])
     b = labels.select("d", F.when(F.col("toxic") == 0, F.col("q")).alias("q"))
     return al.minus(a, b, left_unbound=["q"], right_unbound=["q"]).select("d", "q")
 
@@ -250,7 +250,7 @@ def values_join(spark: SparkSession, sf: str) -> DataFrame:
         [_t("?c", "c_name", "?name"), _t("?c", "c_mktsegment", "?segment")],
     )
     inline = [("BUILDING", "houses"), ("MACHINERY", "machines")]
-    return al.values(rows, ["segment", "label"], inline).select("name", "label")
+    return al.values(rows, ["segment", "label"], inline, []).select("name", "label")
 
 
 @query("""
@@ -268,7 +268,7 @@ def values_undef(spark: SparkSession, sf: str) -> DataFrame:
         ],
     )
     inline = [("BUILDING", None), (None, "urn:nation:3")]
-    return al.values(rows, ["segment", "nation"], inline).select("name", "segment")
+    return al.values(rows, ["segment", "nation"], inline, []).select("name", "segment")
 
 
 @query("""
@@ -725,3 +725,92 @@ def quads_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup(quads.unionByName(quads)).groupBy("p").agg(agg.count().alias("n"))
 
 
+def _documents_and_labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with the quality of their label, unbound where there is none, and labels whose quality is
+    unbound where the document is toxic."""
+    g = business_graph(spark, sf)
+    docs = bgp(g, [_t("?d", "source", "?source")])
+    labels = bgp(g, [_t("?l", "about", "?d"), _t("?l", "quality", num("?q")), _t("?l", "toxic", num("?toxic"))])
+    a = al.optional(docs, labels.select("d", "q"), None, [], [])
+    return a, labels.select("d", F.when(F.col("toxic") == 0, F.col("q")).alias("q"), "toxic")
+
+
+_DL = """
+WITH a AS (SELECT d.doc_id AS d, d.source, CAST(l.quality AS DOUBLE) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+     b AS (SELECT doc_id AS d, CASE WHEN toxic = 0 THEN CAST(quality AS DOUBLE) END AS q, toxic FROM labels)
+"""
+_AGREE = "(a.q = b.q OR a.q IS NULL OR b.q IS NULL)"
+
+
+@query(_DL + f"""
+SELECT 'urn:documents:' || a.d AS d, coalesce(a.q, b.q) AS q, CAST(b.toxic AS DOUBLE) AS toxic
+FROM a LEFT JOIN b ON a.d = b.d AND {_AGREE}
+""")
+def optional_unbound(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _documents_and_labels(spark, sf)
+    return al.optional(a, b, None, ["q"], ["q"]).select("d", "q", "toxic")
+
+
+@query(_DL + f"SELECT 'urn:documents:' || a.d AS d, a.q FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.d = b.d AND {_AGREE})")
+def exists_unbound(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _documents_and_labels(spark, sf)
+    return al.exists(a, b, None, ["q"], ["q"]).select("d", "q")
+
+
+@query("""
+SELECT 'urn:documents:' || d.doc_id AS d, CAST(l.quality AS DOUBLE) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE l.quality IS NOT NULL AND l.quality <> 1
+""")
+def not_exists_unbound(spark: SparkSession, sf: str) -> DataFrame:
+    """An unbound quality agrees with any, so only documents of another quality are left."""
+    a, _ = _documents_and_labels(spark, sf)
+    some = spark.createDataFrame([(1.0,)], "q double")
+    return al.not_exists(a, some).select("d", "q")
+
+
+@query("""
+SELECT 'urn:documents:' || d.doc_id AS d, coalesce(CAST(l.quality AS DOUBLE), v.q) AS q, v.name
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+JOIN (VALUES (1.0::DOUBLE, 'good'), (0.0::DOUBLE, 'bad'), (NULL, 'any')) v(q, name) ON l.quality IS NULL OR v.q IS NULL OR l.quality = v.q
+""")
+def values_unbound(spark: SparkSession, sf: str) -> DataFrame:
+    a, _ = _documents_and_labels(spark, sf)
+    return al.values(a, ["q", "name"], [(1.0, "good"), (0.0, "bad"), (None, "any")]).select("d", "q", "name")
+
+
+@query("SELECT 'urn:region:' || r_regionkey AS r, v.x FROM region CROSS JOIN (VALUES ('a'), ('b')) v(x)")
+def values_disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    rows = bgp(business_graph(spark, sf), [_t("?r", "r_name", "?name")]).select("r")
+    return al.values(rows, ["x"], [("a",), ("b",)])
+
+
+@query("""
+SELECT 'urn:documents:' || d.doc_id AS d, d.source, CAST(l.quality AS DOUBLE) AS quality FROM documents d JOIN labels l USING (doc_id)
+""")
+def star_any_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """A subject with one part in one graph and another part in a second one."""
+    none = F.lit(None)
+
+    def quads(table: str, column: str) -> DataFrame:
+        value = F.col(column).cast("string")
+        return spark.read.parquet(f"{sf}/{table}.parquet").select(
+            F.lit(f"urn:graph:{table}").alias("g"), F.concat(F.lit("urn:documents:"), "doc_id").alias("s"), F.lit(COL + column).alias("p"),
+            value.alias("o"), F.lit("literal").alias("o_kind"), none.cast("string").alias("o_dt"), none.cast("string").alias("o_lang"),
+            value.try_cast("double").alias("o_num"), none.cast("timestamp").alias("o_ts"),
+        )
+
+    g = QuadTable(quads("documents", "source").unionByName(quads("labels", "quality")), (COL + "source", COL + "quality"))
+    return bgp(g, [_t("?d", "source", "?source"), _t("?d", "quality", num("?quality"))])
+
+
+@query("""
+SELECT 'urn:src:' || source AS source, coalesce(string_agg(x, ' ' ORDER BY x), '') AS labels FROM (
+  SELECT d.source, CASE WHEN l.toxic = 1 THEN d.lang END AS x FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1)
+GROUP BY source
+""")
+def agg_group_concat_unbound(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of the toxic documents of each source, which may have none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("urn:src:"), "source").alias("source"), "lang")
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select("doc_id", "toxic")
+    rows = al.optional(docs, toxic, None, [], []).select("source", F.when(F.col("toxic") == 1, F.col("lang")).alias("x"))
+    return agg.group_concat(rows, ["source"], "x", " ", name="labels")

@@ -110,7 +110,7 @@ def _stars(graph, triples: list[Triple], g: str | None) -> list[tuple[set[str],
         predicates = [t.p for t in fusable]
         wide = None
         if len(fusable) > 1 and len(set(predicates)) == len(predicates) and g is not None:
-            wide = graph.star(predicates)
+            wide = graph.star(predicates, any_graph=g == ANY)
         if wide is None:
             out += [(t.variables(), _one(graph, t, g)) for t in members]
             continue
@@ -131,16 +131,16 @@ def bgp(graph, triples: list[Triple], g: str | None = ANY) -> DataFrame:
     variable; an IRI that named graph; ``ANY`` each triple in any graph; None the default graph,
     which holds the quads without a graph name (none, unless somebody put them there).
 
-    Triples join where they share variables, connected ones first. Unconnected groups are
-    multiplied only when one side is provably small (see :func:`product`).
+    Triples join where they share variables, connected ones first, beginning with the one of the most
+    constants; unconnected groups are multiplied last (see :func:`product`).
     """
     if not triples:
         raise ValueError("a pattern needs at least one triple")
     parts = _stars(graph, triples, g)
     if g is not None and g != ANY and _is_var(g):
         parts = [(used | {g}, rows) for used, rows in parts]
-    # the part with the most constants is the most selective one to begin with
-    seen, rows = parts.pop(0)
+    # fewer variables, more constants: the likely most selective one to begin with
+    seen, rows = parts.pop(min(range(len(parts)), key=lambda i: len(parts[i][0])))
     while parts:
         best = max(range(len(parts)), key=lambda i: len(parts[i][0] & seen))
         used, nxt = parts.pop(best)

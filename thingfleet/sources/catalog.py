@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
-from ..operators.mutate import overwrite_graphs
 from ..operators.triples import assemble
 from .documents import promote
 from .graphs import read_quads, write_quads
@@ -72,18 +71,17 @@ def rebuild_things(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.select("id", F.to_json(upgraded).alias("body")), refused
 
 
-def refresh_things(things: DataFrame, quads: DataFrame, changed: DataFrame) -> DataFrame:
+def refresh_things(things: DataFrame, quads: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rebuild only the documents of ``changed`` graphs (columns ``g`` and ``id``).
 
-    A changed document whose graph is empty disappears.
+    A changed document disappears only when its graph is empty. A graph that gives no document keeps
+    the old one; the second table lists such graphs with the reason.
     """
     part = quads.join(changed.select("g").distinct(), "g", "left_semi")
-    rebuilt, _ = rebuild_things(part)
-    return things.join(changed.select("id").distinct(), "id", "left_anti").unionByName(rebuilt)
-
-
-def replace_documents(quads: DataFrame, new: DataFrame, emptied: DataFrame) -> DataFrame:
-    return overwrite_graphs(quads, new, emptied)
+    rebuilt, refused = rebuild_things(part)
+    kept_back = changed.join(refused.select("g"), "g", "left_semi").select("id")
+    replaced = changed.select("id").distinct().join(kept_back, "id", "left_anti")
+    return things.join(replaced, "id", "left_anti").unionByName(rebuilt), refused
 
 
 # ---------------------------------------------------------------- lookups and listings

@@ -32,13 +32,14 @@ class QuadTable:
             return self._quads
         return self._quads.where(F.col("p") == predicate)
 
-    def star(self, predicates: list[str]) -> DataFrame | None:
-        """All objects of single-valued predicates per subject, in one aggregation.
+    def star(self, predicates: list[str], any_graph: bool = False) -> DataFrame | None:
+        """All objects of single-valued predicates per graph and subject, in one aggregation.
 
+        None with ``any_graph``: a subject may have its parts, or several values, in different graphs.
         Returns ``g, s, v0, v1, ...`` where ``vi`` is ``struct<o, o_kind, o_dt, o_lang, o_num,
         o_ts>``; None when the predicates are not known to be single-valued.
         """
-        if not set(predicates) <= self.single_valued:
+        if any_graph or not set(predicates) <= self.single_valued:
             return None
         value = F.struct(*[F.col(c) for c in QUAD_COLS[3:]])
         picks = [
@@ -124,8 +125,11 @@ class MappedGraph:
             return self.quads()
         return self._union([self._rows(e, [predicate]) for e in self._entities if predicate in e.props])
 
-    def star(self, predicates: list[str]) -> DataFrame | None:
-        """One projection per table that has all the predicates: no join, no shuffle."""
+    def star(self, predicates: list[str], any_graph: bool = False) -> DataFrame | None:
+        """One projection per table that has all the predicates: no join, no shuffle.
+
+        A row is the only one about its subject, so all its parts lie in one graph.
+        """
         able = [e for e in self._entities if set(predicates) <= set(e.props)]
         if not able:
             return None
@@ -148,11 +152,15 @@ def dedup(quads: DataFrame) -> DataFrame:
     return quads.dropDuplicates(QUAD_KEY)
 
 
-def write_quads(quads: DataFrame, path: str, mode: str = "overwrite", chunks: int = 64) -> None:
-    """Write quads partitioned by predicate, a frequent predicate spread over ``chunks`` tasks."""
-    chunk = F.pmod(F.xxhash64("g", "s"), F.lit(chunks))
+def write_quads(quads: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 5_000_000) -> None:
+    """Write quads partitioned by predicate; a predicate is spread over as many tasks as its rows need."""
+    sizes = quads.groupBy("p").agg(F.ceil(F.count("*") / F.lit(rows_per_file)).alias("__chunks"))
+    chunk = F.pmod(F.xxhash64("g", "s"), F.col("__chunks"))
     (
-        quads.repartition("p", chunk)
+        # one row per predicate, so the sizes are a small side, which Spark sees by itself
+        quads.join(sizes, "p")
+        .repartition("p", chunk)
+        .drop("__chunks")
         .sortWithinPartitions("p", "s")
         .write.partitionBy("p")
         .mode(mode)

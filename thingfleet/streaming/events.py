@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mutate import RESETS, classify, event_rows, event_type
-from ..operators.ordered import BLOCK, number_rows
+from ..operators.ordered import number_rows
 from ..schema import EVENTS
 from ..vocab import EVENT_TYPES
 
@@ -80,12 +80,12 @@ def follow(spark: SparkSession, path: str, last: str | None, types: tuple[str, .
     return stream.where(F.col("seq") > seen) if last is not None else stream
 
 
-def number_events(rows: DataFrame, start: int = 0, block: int = BLOCK) -> DataFrame:
+def number_events(rows: DataFrame, start: int = 0, block: int | None = None) -> DataFrame:
     """Renumber events without gaps from ``start`` in the order of ``seq``."""
     return number_rows(rows, "seq", "__n", start, block).withColumn("seq", F.col("__n")).drop("__n")
 
 
-def derive(ops: DataFrame, things: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def derive(ops: DataFrame, things: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """Events of a batch of valid operations."""
     return event_rows(classify(ops, things, block))
 
@@ -134,7 +134,7 @@ class Classifier:
     overwritten when a batch is repeated, so a retry changes nothing.
     """
 
-    def __init__(self, home: str, block: int = BLOCK):
+    def __init__(self, home: str, block: int | None = None):
         self._home, self._block = home.rstrip("/"), block
 
     def state(self, spark: SparkSession, before: int) -> DataFrame | None:
