@@ -35,6 +35,22 @@ def small_suffixes(t: np.ndarray) -> np.ndarray:
     return less
 
 
+def sorted_directly(text: bytes, at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions ``at`` in the order of their suffixes: all by 16 bytes at once, then those that tie among themselves."""
+    w = np.frombuffer(text + bytes(24), dtype=np.uint8).astype(np.uint64)
+    for width in (1, 2, 4):
+        w = (w[:-width] << np.uint64(8 * width)) | w[width:]
+    first, second = w[at], w[at + 8]
+    order = np.lexsort((second, first))
+    at, first, second = at[order], first[order], second[order]
+    tied = np.concatenate([[False], (first[1:] == first[:-1]) & (second[1:] == second[:-1]), [False]])
+    edges = np.flatnonzero(np.diff(tied.astype(np.int8)))
+    out = at.tolist()
+    for a, b in zip(edges[::2].tolist(), (edges[1::2] + 1).tolist()):
+        out[a:b] = sorted(out[a:b], key=lambda i: text[i + 16 : i + depth])
+    return np.array(out, dtype=np.int64)
+
+
 def suffix_array(text: bytes, depth: int = LENGTH) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes.
 
@@ -45,8 +61,7 @@ def suffix_array(text: bytes, depth: int = LENGTH) -> np.ndarray:
     t = np.frombuffer(text, dtype=np.uint8)
     if len(t) < 2:
         return np.arange(len(t))
-    small = np.flatnonzero(small_suffixes(t))
-    direct = np.array(sorted(small.tolist(), key=lambda i: text[i : i + depth]), dtype=np.int64)
+    direct = sorted_directly(text, np.flatnonzero(small_suffixes(t)), depth)
     of_byte = np.searchsorted(t[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[-1]].append(np.array([len(t) - 1]))
@@ -154,50 +169,63 @@ def blocks(t: np.ndarray, length: int, block: int, gram: int = GRAM) -> tuple[np
     return first, number, p[first] - part[first] * block
 
 
+PLACES = "array<struct<doc_id: long, row_key: long, at: int>>"
+
+
 def segments(docs: DataFrame, length: int, block: int) -> DataFrame:
-    """``key, seg, doc_id, row_key, at, n``: one row per block of starts; ``key`` hashes the core, ``seg`` all
-    bytes of the block's strings and where the core lies in them."""
+    """``key, seg, n, places``: blocks of starts; ``key`` hashes the core, ``seg`` all bytes of the block's
+    strings and where the core lies in them. Equal blocks of some thousand rows are one row already, so a
+    very common block is few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h64, size = xxhash.xxh3_64_intdigest, length - block + 1
+        key: list[int] = []
+        seg: list[int] = []
+        docs_: list[int | None] = []
+        rows_: list[int] = []
+        at: list[int] = []
+        n: list[int] = []
 
-    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            rows: list[list] = [[] for _ in range(6)]
+        def flush() -> pa.RecordBatch:
+            keys, segs = np.array(key, dtype=np.uint64).view(np.int64), np.array(seg, dtype=np.uint64).view(np.int64)
+            order = np.lexsort((segs, keys))
+            keys, segs = keys[order], segs[order]
+            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (segs[1:] != segs[:-1])]))
+            ends = np.append(first, len(keys)).astype(np.int32)
+            take = pa.array(order)
+            places = pa.StructArray.from_arrays(
+                [pa.array(docs_, pa.int64()).take(take), pa.array(rows_, pa.int64()).take(take), pa.array(at, pa.int32()).take(take)],
+                names=["doc_id", "row_key", "at"],
+            )
+            numbers = np.array(n, dtype=np.int32)[order][first]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(keys[first]), pa.array(segs[first]), pa.array(numbers), pa.ListArray.from_arrays(pa.array(ends), places)],
+                names=["key", "seg", "n", "places"],
+            )
+            for column in (key, seg, docs_, rows_, at, n):
+                column.clear()
+            return out
+
+        for b in batches:
             for doc, row, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
                 view = memoryview(raw)
-                first, number, core = blocks(np.frombuffer(raw, dtype=np.uint8), length, block)
-                size = length - block + 1
-                h64 = xxhash.xxh3_64_intdigest
-                at, n, c = first.tolist(), number.tolist(), core.tolist()
-                rows[0] += [h64(view[x : x + size]) for x in c]
-                rows[1] += [h64(view[a : a + k + length - 1], seed=(x - a) & 0xFFFF) for a, k, x in zip(at, n, c)]
-                rows[2] += [doc] * len(at)
-                rows[3] += [row] * len(at)
-                rows[4] += at
-                rows[5] += n
-                if len(rows[0]) > 50_000:
-                    yield batch(rows)
-                    rows = [[] for _ in range(6)]
-            if rows[0]:
-                yield batch(rows)
-
-        return one
-
-    def batch(rows: list[list]) -> pa.RecordBatch:
-        hashes = [pa.array(np.array(r, dtype=np.uint64).view(np.int64)) for r in rows[:2]]
-        return pa.RecordBatch.from_arrays(
-            [*hashes, pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.int32())],
-            names=["key", "seg", "doc_id", "row_key", "at", "n"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
-        for b in batches:
-            yield from one(b)
+                firsts, numbers, cores = (x.tolist() for x in blocks(np.frombuffer(raw, dtype=np.uint8), length, block))
+                key += [h64(view[c : c + size]) for c in cores]
+                seg += [h64(view[a : a + k + length - 1], seed=(c - a) & 0xFFFF) for a, k, c in zip(firsts, numbers, cores)]
+                docs_ += [doc] * len(firsts)
+                rows_ += [row] * len(firsts)
+                at += firsts
+                n += numbers
+                if len(key) > 100_000:
+                    yield flush()
+        if key:
+            yield flush()
 
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string"))
-    return read.mapInArrow(run, "key long, seg long, doc_id long, row_key long, at int, n int")
+    return read.mapInArrow(run, f"key long, seg long, n int, places {PLACES}")
 
 
 def _piece_schema(text: str) -> str:
@@ -269,8 +297,8 @@ def same_row() -> Column:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chunk: int = 1 << 20) -> DataFrame:
-    """``doc_id, row_key, spans``: the runs of bytes (sorted, apart) that repeated strings cover, of each
-    document that has any.
+    """``doc_id, row_key, spans``: the runs of bytes that repeated strings cover, sorted, as ``start * 2**32 + end``,
+    of each document that has any; they may overlap.
 
     1. Starts of ``length``-byte strings are cut into blocks by content, and blocks meet by the hash of
        their core; a core met once has no repeat and leaves the data as a few bytes of hash.
@@ -279,12 +307,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chun
     3. The pieces of each core are sorted by their suffixes; neighbours that share ``length`` bytes repeat.
     4. Runs of repeated starts go back to all copies and join into runs of bytes.
     """
-    by_key = Window.partitionBy("key").orderBy("seg", "doc_id", "row_key", "at")
+    by_key = Window.partitionBy("key").orderBy("seg")
     found = segments(docs, length, block)
     found = found.withColumn("before", F.lag("n").over(by_key)).withColumn("after", F.lead("n").over(by_key))
-    met = stored(found.where("before is not null or after is not null").drop("before", "after"), "suffix-blocks")
-    one = F.min_by(F.struct("doc_id", "row_key", "at", "n"), F.struct("doc_id", "row_key", "at")).alias("one")
-    pieces = met.groupBy("key", "seg").agg(F.count("*").alias("copies"), one).select("key", "seg", "copies", "one.*")
+    met = found.where("before is not null or after is not null or size(places) > 1").drop("before", "after")
+    met = stored(met, "suffix-blocks")
+    one = F.min(F.struct(F.array_min("places").alias("p"), "n")).alias("one")
+    pieces = met.groupBy("key", "seg").agg(F.sum(F.size("places")).alias("copies"), one).select("key", "seg", "copies", "one.p.*", "one.n")
     work = pieces.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("key", "seg", "copies", "at", "n")).alias("todo"))
     work = stored(work.select(F.col("doc_id").alias("doc2"), F.col("row_key").alias("row2"), "todo"), "suffix-work")
     texts = by_batch(_keyed(docs), chosen_rows(bloom_of(work, "row2")), KEYED).dropDuplicates(["doc_id", "row_key"])
@@ -306,12 +335,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chun
 
     cut = texts.join(work, same_row()).select("text", "todo").mapInArrow(take, _piece_schema("piece binary"))
     repeats = stored(repeated_in_blocks(cut, length, chunk).where(F.size("edges") > 0), "suffix-repeats")
+    # a run of bytes as one number, so that it sorts as a number
     pair = F.transform(
         F.sequence(F.lit(0), F.size("edges") - 2, F.lit(2)),
-        lambda i: F.struct((F.col("at") + F.get("edges", i)).alias("a"), (F.col("at") + F.get("edges", i + 1) + F.lit(length - 1)).alias("b")),
+        lambda i: F.shiftleft((F.col("p.at") + F.get("edges", i)).cast("long"), 32)
+        + (F.col("p.at") + F.get("edges", i + 1) + F.lit(length - 1)).cast("long"),
     )
-    runs = met.join(repeats, ["key", "seg"]).select("doc_id", "row_key", "at", pair.alias("runs"))
-    by_doc = runs.groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("spans"))
+    runs = met.join(repeats, ["key", "seg"]).select("edges", F.explode("places").alias("p")).select("p.doc_id", "p.row_key", pair.alias("runs"))
+    by_doc = runs.groupBy("doc_id", "row_key").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("spans"))
     return stored(by_doc, "suffix-spans")
 
 
@@ -336,10 +367,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = 128) -> D
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 runs: list[list[int]] = []
                 for s in spans_ or []:
-                    if runs and s["a"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["b"])
+                    a, z = s >> 32, s & 0xFFFFFFFF
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], z)
                     else:
-                        runs.append([s["a"], s["b"]])
+                        runs.append([a, z])
                 parts, at = [], 0
                 for a, z in runs:
                     parts.append(raw[at:a])
