@@ -296,3 +296,38 @@ FROM c WHERE op = 'PATCH' AND (bad OR NOT existed)
 """)
 def batch_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).rejects.select("seq", "id", "code", F.size("errors").alias("n_errors"))
+
+
+@query(_EVENTS + "SELECT seq, event, thing_id FROM ev WHERE seq > 4000 AND event <> 'thing_updated'")
+def events_follow_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Replay after the last event seen and then what follows, from one reading of the log."""
+    home = scratch(spark, "follow")
+    E.derive(operations(spark, sf)).write.parquet(f"{home}/log")
+    chosen = E.follow(spark, f"{home}/log", "4000", ("thing_created", "thing_deleted"))
+    E.write_log(chosen, f"{home}/seen", f"{home}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{home}/seen").select("seq", "event", "thing_id")
+
+
+@query(_EVENTS + """SELECT seq, 'id: ' || seq AS id_line, 'event: ' || event AS event_line, 'data: ' || data AS data_line FROM ev""")
+def sse_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames written as text by a stream and read back, a frame between empty lines."""
+    home = scratch(spark, "frames")
+    E.derive(operations(spark, sf)).write.parquet(f"{home}/log")
+    E.write_frames(E.read_log(spark, f"{home}/log"), f"{home}/text", f"{home}/checkpoint").awaitTermination()
+    found = spark.read.option("lineSep", "\n\n").text(f"{home}/text").where("trim(value) <> ''")
+    lines = F.split("value", "\n")
+    line = lambda k: F.get(lines, F.lit(k))
+    return found.select(
+        F.regexp_extract(line(1), r"^id: (\d+)$", 1).cast("bigint").alias("seq"),
+        line(1).alias("id_line"), line(0).alias("event_line"), line(2).alias("data_line"),
+    )
+
+
+@query("""
+SELECT upper(event_type) AS name, CASE upper(event_type) WHEN 'SIGNUP' THEN 'thing_created' END AS wire, count(*) AS n FROM events GROUP BY ALL
+""")
+def event_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Event names as clients write them; a name that is none of the three has no name on the wire."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    asked = F.when(F.col("event_type") == "signup", "THING_CREATED").otherwise(F.upper("event_type"))
+    return e.select(F.upper("event_type").alias("name"), E.wire_name(asked).alias("wire")).groupBy("name", "wire").agg(F.count(F.lit(1)).alias("n"))

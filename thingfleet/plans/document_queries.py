@@ -16,7 +16,7 @@ from ..sources import catalog as C
 from ..sources import documents as intake
 from ..sources.fleet import RUN, customer_documents
 from ..sources.graphs import dedup, stored
-from ..sources.sinks import binding, write_results
+from ..sources.sinks import binding, choose_format, write_results
 from ..vocab import HCTL, JSONSCHEMA, RDF_TYPE, TD, WOTSEC
 from .registry import query
 
@@ -455,26 +455,11 @@ SELECT 'urn:customer:' || c_custkey AS id FROM customer
 WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_custkey % 10 <> 3
 """)
 def xpath_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes by axes and text over the node table, then back to the documents by id."""
-    docs = _bodies(spark, sf).withColumn("doc", F.parse_json("body"))
-    nodes = flatten(docs).withColumn(
-        "key", F.replace("key", F.lit("@"), F.lit(""))
-    )
-    text = nodes.where(
-        (F.col("key") == "description") & F.col("v_str").rlike("^(BUILDING|HOUSEHOLD) ")
-    )
-    below = nodes.where((F.col("depth") > 3) & (F.col("key") == "href") & F.col("v_str").endswith("segment"))
-    hits = text.select("id").join(below.select("id"), "id", "left_semi")
-    return C.lookup(docs.select("id"), hits)
-
-
-@query("SELECT c_custkey AS k FROM customer WHERE c_custkey % 6 = 5 AND c_custkey % 4 <> 0")
-def path_variant(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _bodies(spark, sf).withColumn("doc", F.parse_json("body"))
-    return C.variant_search(docs, "$.securityDefinitions.oauth_sc.flow").select("k")
-
-
-# ---------------------------------------------------------------- lookups, listings, sinks
+    """Axes and text tests inside the row: a child by its text, and a descendant by its own."""
+    docs = _bodies(spark, sf)
+    said = D.Path().child("description").where(lambda v: D.text_of(v).rlike("^(BUILDING|HOUSEHOLD) "))
+    below = D.Path().child("properties").deep("href").where(lambda v: D.text_of(v).endswith("segment"))
+    return C.search_all(docs, said, below).select("id")
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -604,3 +589,130 @@ def refresh_docs(spark: SparkSession, sf: str) -> DataFrame:
     changed = docs.where("k % 5 in (1, 2, 3)").select(F.concat(F.lit("http://example.com/graph/"), "id").alias("g"), "id")
     things, _ = C.refresh_things(old, now, changed)
     return things.select("id", _titles()[0])
+
+
+@query("""
+SELECT event_id AS e, (event_id % 7) || 'x' || (user_id % 11) AS joined, 3 AS n, CAST(event_id % 7 AS VARCHAR) AS first,
+  CAST(user_id % 11 AS VARCHAR) AS last, 'x' AS second, CAST(user_id % 11 AS VARCHAR) AS before_end, 'end' AS appended
+FROM events
+""")
+def path_fn_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions over the items of a list: joined, counted, picked from either end, with one more."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    body = F.concat(F.lit('{"l":["'), F.col("event_id") % 7, F.lit('","x","'), F.col("user_id") % 11, F.lit('"]}'))
+    docs = e.select(F.col("event_id").alias("e"), D.Path().child("l").any().nodes(F.parse_json(body), F.lit(1)).alias("l"))
+    fn = lambda name, *a: D.path_function(name, F.col("l"), *a)
+    more = fn("append", F.parse_json(F.lit('"end"')))
+    return docs.select(
+        "e",
+        fn("concat").alias("joined"),
+        fn("length").cast("bigint").alias("n"),
+        D.text_of(fn("first")).alias("first"),
+        D.text_of(fn("last")).alias("last"),
+        D.text_of(fn("index", F.lit(1))).alias("second"),
+        D.text_of(fn("index", F.lit(-1))).alias("before_end"),
+        D.text_of(F.get(more, F.lit(3))).alias("appended"),
+    )
+
+
+@query("""
+SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer
+""")
+def sink_csv_xml(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as comma-separated text and as XML, read back, joined."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    segment = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))
+    rows = c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), segment.alias("segment"))
+    as_csv, as_xml = scratch(spark, "csv"), scratch(spark, "xml")
+    write_results(rows.select("k", "name"), as_csv, choose_format("select", "csv"))
+    write_results(rows.select("k", "segment"), as_xml, choose_format("select", "xml"))
+    left = spark.read.schema("k bigint, name string").csv(as_csv, header=True)
+    right = spark.read.format("xml").option("rowTag", "result").schema("k bigint, segment string").load(as_xml)
+    return left.join(right, "k").select("k", "name", "segment")
+
+
+@query("""
+SELECT '<urn:customer:' || c_custkey || '> <urn:p:balance> "' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)
+  || '"^^<http://www.w3.org/2001/XMLSchema#double> .' AS value FROM customer
+UNION ALL SELECT '_:b' || c_custkey || ' <urn:p:said> "a \\"' || c_mktsegment || '\\"\\n"@en .' FROM customer
+UNION ALL SELECT '<urn:customer:' || c_custkey || '> <urn:p:at> <urn:a\\u0020b:' || c_custkey || '> .' FROM customer
+""")
+def sink_ntriples(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph result as text: typed and tagged literals with escapes, a blank node, an address to escape."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    own = F.concat(F.lit("urn:customer:"), k)
+    lines = (
+        (own, "urn:p:balance", F.col("c_acctbal").cast("decimal(18,2)").cast("string"), "literal", "http://www.w3.org/2001/XMLSchema#double", None),
+        (F.concat(F.lit("_:b"), k), "urn:p:said", F.concat(F.lit('a "'), "c_mktsegment", F.lit('"\n')), "literal", None, "en"),
+        (own, "urn:p:at", F.concat(F.lit("urn:a b:"), k), "iri", None, None),
+    )
+    quad = lambda s, p, o, kind, dt, tag: F.struct(
+        s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"),
+        (none if dt is None else F.lit(dt)).alias("o_dt"), (none if tag is None else F.lit(tag)).alias("o_lang"),
+    )
+    quads = spark.read.parquet(f"{sf}/customer.parquet").select(F.explode(F.array(*[quad(*x) for x in lines])).alias("q")).select("q.*")
+    home = scratch(spark, "nt")
+    write_results(quads, home, choose_format("construct", None))
+    return spark.read.text(home)
+
+
+@query("""
+SELECT 'urn:customer:' || c_custkey AS id, 'variableRepeated' AS "constraint", 'lang' AS key FROM customer WHERE c_custkey % 4 = 1
+""")
+def validate_uri_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """A template variable named both by the document and by one of its parts."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    k = F.col("c_custkey")
+    part = F.when(k % 2 == 1, '{"lang":{"type":"string"}}').otherwise('{"unit":{"type":"string"}}')
+    own = F.when(k % 4 == 1, '{"lang":{"type":"string"}}').otherwise('{"size":{"type":"integer"}}')
+    body = F.concat(F.lit('{"uriVariables":'), own, F.lit(',"properties":{"p":{"uriVariables":'), part, F.lit("}}}"))
+    docs = c.select(F.concat(F.lit("urn:customer:"), k).alias("id"), F.parse_json(body).alias("doc"))
+    return V.check_uri_variables(flatten(docs)).select("id", "constraint", "key")
+
+
+@query("""
+SELECT 'urn:customer:' || c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/cbor'
+  ELSE 'application/json' END AS response_type FROM customer
+""")
+def response_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The content type of a response: its own, else the form's, else the default."""
+    k = F.col("c_custkey")
+    forms = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.concat(F.lit("urn:customer:"), k).alias("id"),
+        F.when(k % 3 == 1, "application/cbor").when(k % 3 == 0, "x/y").alias("form_type"),
+        F.when(k % 3 == 0, "text/plain").alias("response_type"),
+    )
+    return V.response_content_type(forms).select("id", "response_type")
+
+
+@query(f"""
+SELECT 'urn:supplier:' || s_suppkey AS id, 'nameForbidden' AS "constraint" FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = 0
+""")
+def validate_auto_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The automatic scheme with a name; other schemes may have one."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 2 == 0, WOTSEC + "AutoSecurityScheme").otherwise(WOTSEC + "BasicSecurityScheme")
+    row = lambda p, o: F.struct(F.lit(p).alias("p"), o.alias("o"))
+    parts = F.array(row(RDF_TYPE, kind), row(WOTSEC + "name", F.when(k % 3 == 0, F.lit("x"))))
+    quads = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.concat(F.lit("urn:g:"), k).alias("g"), F.concat(F.lit("urn:supplier:"), k).alias("s"), F.explode(parts).alias("q")
+    )
+    found = V.check_auto_name(quads.select("g", "s", "q.p", "q.o").where("o is not null"), WOTSEC)
+    return found.select(F.col("focus_node").alias("id"), "constraint")
+
+
+@query("SELECT c_custkey AS k, c_name AS title FROM customer WHERE c_custkey % 2 = 0")
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of the directory; the first stays readable, the second is the current one."""
+    store = C.Store(spark, scratch(spark, "store"))
+    docs = customer_documents(spark, sf).select("k", "id", "body")
+    quads = docs.select(
+        F.lit("urn:g").alias("g"), F.col("id").alias("s"), F.lit("urn:p:k").alias("p"), F.col("k").cast("string").alias("o"),
+        F.lit("literal").alias("o_kind"), *(F.lit(None).cast(t).alias(n) for n, t in (("o_dt", "string"), ("o_lang", "string"), ("o_num", "double"), ("o_ts", "timestamp"))),
+    )
+    first = store.commit(docs, quads)
+    store.commit(docs.where("k % 2 = 0"), quads.where("cast(o as bigint) % 2 = 0"))
+    names = store.things(first).select("id", F.coalesce(*(F.get_json_object("body", f"$['{n}']") for n in ("title", "td:title"))).alias("t"))
+    now = store.quads().select(F.col("s").alias("id"), F.col("o").cast("bigint").alias("k"))
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"))
+    return now.join(names, "id").join(store.things().select("id"), "id").join(c, "k").where("t is null or t = title").select("k", "title")

@@ -694,19 +694,59 @@ def fn_lang_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT event_id AS e, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS as_integer,
-  CAST(NULL AS DOUBLE) AS as_double, CAST(NULL AS BOOLEAN) AS as_boolean, event_type AS as_string
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 1000 AS DOUBLE) / 8 END AS as_double,
+  CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS as_boolean, event_type AS as_string,
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 1000 AS DOUBLE) / 8 END AS as_float,
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 1000 AS DOUBLE) / 8 END AS as_decimal,
+  CASE WHEN event_id % 5 > 0 THEN 1577836800 + event_id % 5 END AS as_seconds
 FROM events
 """)
 def fn_casts(spark: SparkSession, sf: str) -> DataFrame:
     """A cast that does not fit leaves the variable unbound."""
     events = spark.read.parquet(f"{sf}/events.parquet")
-    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    e, k, kind = F.col("event_id"), F.get_json_object("props", "$.k"), F.col("event_type")
+    number = F.when(e % 2 == 0, ((e % 1000) / 8).cast("string")).otherwise(kind)
+    truth = F.when(e % 3 == 0, "1").when(e % 3 == 1, "false").otherwise(kind)
+    instant = F.when(e % 5 > 0, F.concat(F.lit("2020-01-01T00:00:0"), e % 5, F.lit("Z"))).otherwise(kind)
     return events.select(
-        F.col("event_id").alias("e"),
+        e.alias("e"),
         T.cast_term(k, "integer").cast("bigint").alias("as_integer"),
-        T.cast_term(kind, "double").alias("as_double"),
-        T.cast_term(kind, "boolean").alias("as_boolean"),
+        T.cast_term(number, "double").alias("as_double"),
+        T.cast_term(truth, "boolean").alias("as_boolean"),
         T.cast_term(kind, "string").alias("as_string"),
+        T.cast_term(number, "float").cast("double").alias("as_float"),
+        T.cast_term(number, "decimal").cast("double").alias("as_decimal"),
+        F.unix_seconds(T.cast_term(instant, "dateTime")).alias("as_seconds"),
+    )
+
+
+@query("""
+SELECT n_nationkey AS k, 'urn:n:' || n_nationkey AS iri, '_:' || n_name AS blank, true AS is_blank, n_name AS typed,
+  'http://www.w3.org/2001/XMLSchema#token' AS typed_dt, 'en' AS tag, n_nationkey % 2 = 0 AS same, 45 AS uuid_length
+FROM nation
+""")
+def fn_constructors(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms made in a query, and equality over all their parts."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    made = spark.read.parquet(f"{sf}/nation.parquet").select(
+        k.alias("k"),
+        T.make_iri(F.concat(F.lit("urn:n:"), k)).alias("i"),
+        T.make_bnode(name).alias("b"),
+        T.typed_literal(name, "http://www.w3.org/2001/XMLSchema#token").alias("t"),
+        T.lang_literal(name, F.lit("EN")).alias("l"),
+        T.lang_literal(name, F.when(k % 2 == 0, "en").otherwise("fr")).alias("o"),
+        F.length(T.new_uuid()).alias("uuid_length"),
+    )
+    return made.select(
+        F.col("k").cast("int").alias("k"),
+        F.col("i.o").alias("iri"),
+        F.col("b.o").alias("blank"),
+        T.is_blank(F.col("b.o_kind")).alias("is_blank"),
+        F.col("t.o").alias("typed"),
+        F.col("t.o_dt").alias("typed_dt"),
+        F.col("l.o_lang").alias("tag"),
+        T.same_term("l", "o").alias("same"),
+        "uuid_length",
     )
 
 

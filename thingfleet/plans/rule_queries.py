@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import validate as V
 from ..operators.triples import triplify
+from ..session import scratch
 from ..sources import rules as R
 from ..sources.fleet import customer_documents
 from ..sources.graphs import COL, business_graph, dedup, stored
@@ -252,3 +253,11 @@ def validate_language_tags(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT 'urn:customer:' || k AS focus_node, path, c AS "constraint" FROM ({_FAULTS}) WHERE c <> 'node'
+""")
+def rules_as_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules written to a table and read back, of the things alone."""
+    home = scratch(spark, "rules")
+    R.as_table(spark, [r for r in R.catalogue() if r.shape == "Thing" and r.kind != "node"]).write.parquet(home)
+    return V.validate(_quads(spark, sf), R.load(spark, home)).select("focus_node", "path", "constraint")

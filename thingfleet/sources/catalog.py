@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..operators.triples import assemble
-from .documents import promote
 from .graphs import read_quads, write_quads
 
 DEFAULT_LIMIT = 20
@@ -146,12 +145,15 @@ def search(things: DataFrame, path: D.Path) -> DataFrame:
     return things.where(path.found(doc, bound))
 
 
+def search_all(things: DataFrame, *paths: D.Path) -> DataFrame:
+    """Documents in which every path reaches something: tests inside the row, no join."""
+    for path in paths:
+        things = search(things, path)
+    return things
+
+
 def variant_search(things: DataFrame, path: str) -> DataFrame:
     """Documents where Spark's own VARIANT path ``$...`` finds a value."""
     if not path.startswith("$"):
         raise ValueError("a path starts with $")
     return things.where(F.try_variant_get("doc", path, "variant").isNotNull())
-
-
-def as_things(docs: DataFrame) -> DataFrame:
-    return promote(docs)
