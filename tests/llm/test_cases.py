@@ -346,6 +346,20 @@ def test_packing(docs, none, twice):
     assert packing.pack(none).count() == 0
 
 
+def test_word_hashes():
+    """The same word has the same hash wherever it stands, also where a long text is cut; others differ."""
+    from thingfleet.llm import common
+
+    texts = [b"", b"  a\tb\n", b"word " * 3, b"x", b"long " * 300_000 + b"end", b"\x00 \xc3\xa9 a", b"no" * 700_000 + b" a"]
+    got, seen = common.word_hashes(texts), {}
+    for t, h in zip(texts, got):
+        assert len(h) == len(t.split())
+        for w, x in zip(t.split(), h):
+            assert seen.setdefault(w, x) == x
+    many = [str(k).encode() for k in range(200_000)]
+    assert len(set(common.word_hashes([b" ".join(many)])[0])) == len(many) and len(set(seen.values())) == len(seen)
+
+
 def test_bloom_forgets_nothing():
     import numpy as np
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,11 +22,6 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def space_words(text: str | None) -> list[bytes]:
-    """The words between ASCII white space, with A to Z alone lower-cased: what ``bytes`` does by itself."""
-    return utf8(text).lower().split()
-
-
 def prepared(spark: SparkSession, rows: int = 2000) -> SparkSession:
     """Bound the Arrow batches that Python tasks hold at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -57,31 +52,69 @@ def lowered(c: Column) -> Column:
     return F.translate(c, UPPER, LOWERED)
 
 
-class Digests(dict):
-    """Word to the 8 bytes of its 64-bit hash; forgets the words not seen lately once it holds ``limit``."""
+_ODD, _SALT = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_POWERS: list[np.ndarray] = []
+#: Bytes hashed at a time; a text is cut between two words.
+_AT_ONCE = 1 << 20
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit, self.old = limit, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        made = self.old.get(word) or xxhash.xxh3_64_digest(word)[::-1]
-        self[word] = made
-        return made
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and their inverses."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, 2 * _AT_ONCE)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [
+                np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x, dtype=np.uint64)]))
+                for x in (np.uint64(_ODD), np.uint64(pow(_ODD, -1, 1 << 64)))
+            ]
+    return _POWERS[0], _POWERS[1]
 
-    def of(self, words: Iterable[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
 
+def _between(text: bytes, at: int) -> int:
+    """The first place from ``at`` on that is no part of a word."""
+    found = re.compile(rb"[\x20\x09-\x0D]").search(text, at)
+    return found.start() if found else len(text)
 
-_DIGESTS = Digests()
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words (between ASCII white space) of each text, in order.
 
-def shared_digests() -> Digests:
-    """One per Python worker: what earlier tasks have hashed stays known."""
-    return _DIGESTS
+    Words are hashed together as polynomials of their bytes, a megabyte of text at a time.
+    """
+    pieces: list[tuple[int, bytes]] = []
+    for k, t in enumerate(texts):
+        at = 0
+        while len(t) - at > _AT_ONCE:
+            end = _between(t, at + _AT_ONCE)
+            pieces.append((k, t[at:end]))
+            at = end
+        pieces.append((k, t[at:]))
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for piece in [*pieces, None]:
+        if held and (piece is None or size + len(piece[1]) > _AT_ONCE):
+            joined = np.frombuffer(b" ".join([b"", *(t for _, t in held), b""]), dtype=np.uint8)
+            word = ~((joined == 32) | ((joined >= 9) & (joined <= 13)))
+            edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+            first, end = edge[::2], edge[1::2]
+            power, inverse = _powers(len(joined) + 1)
+            sums = np.zeros(len(joined) + 1, dtype=np.uint64)
+            np.cumsum((joined + np.uint64(1)) * power[: len(joined)], out=sums[1:])
+            h = mixed((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64) * _SALT)
+            cuts = np.cumsum([1] + [len(t) + 1 for _, t in held])
+            for (k, _), part in zip(held, np.split(h, np.searchsorted(first, cuts[1:-1]))):
+                out[k].append(part)
+            held, size = [], 0
+        if piece is not None:
+            held.append(piece)
+            size += len(piece[1]) + 1
+    return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in out]
+
+
+def text_word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """:func:`word_hashes` of texts with A to Z lower-cased."""
+    return word_hashes([utf8(t).lower() for t in texts])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, bloom_of, by_batch, grams, rows_of, shared_digests, stored, utf8
+from .common import Bloom, bloom_of, by_batch, grams, rows_of, stored, utf8, word_hashes
 
 #: Words are runs of digits, letters and bytes outside ASCII; A to Z become a to z, all else parts words.
 WORD_BYTES = bytes(
@@ -18,8 +18,12 @@ WORD_BYTES = bytes(
 WINDOW = 13
 
 
+def only_words(text: str | None) -> bytes:
+    return utf8(text).translate(WORD_BYTES)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return utf8(text).translate(WORD_BYTES).split()
+    return only_words(text).split()
 
 
 def shape(span: int) -> tuple[int, int]:
@@ -64,21 +68,20 @@ def fingerprints(docs: DataFrame, spans: list[int], known: Bloom | None = None)
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests = shared_digests()
-
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, found = [], []
-            for text in rows_of(b, "text"):
-                words = words_of(text)
-                hashes = digests.of(words)
-                rows = []
+            texts = rows_of(b, "text")
+            for text, hashes in zip(texts, word_hashes([only_words(t) for t in texts])):
+                rows, words = [], None
                 for span in spans:
                     at, fps = winnow(hashes, span)
                     if known is not None and len(fps):
                         keep = known.has(fps)
                         at, fps = at[keep], fps[keep]
+                    if len(fps) and words is None:
+                        words = words_of(text)
                     rows += [{"fp": int(f), **_context(words, int(a), span)} for a, f in zip(at, fps.view(np.int64))]
-                n.append(len(words))
+                n.append(len(hashes))
                 found.append(rows)
             kind = pa.list_(
                 pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
@@ -100,15 +103,13 @@ def benchmark_fingerprints(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests = shared_digests()
-
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for item, text in zip(rows_of(b, "item_id"), rows_of(b, "text")):
                 words = words_of(text)
                 if words:
                     span = min(window, len(words))
-                    at, fps = winnow(digests.of(words), span)
+                    at, fps = winnow(word_hashes([only_words(text)])[0], span)
                     rows += [{"item": item, "fp": int(f), **_context(words, int(a), span)} for a, f in zip(at, fps.view(np.int64))]
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 

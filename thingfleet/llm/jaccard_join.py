@@ -11,20 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Digests, bloom_of, by_batch, components, grams, is_empty, rows_of, shared_digests, space_words, stored
+from .common import bloom_of, by_batch, components, grams, is_empty, rows_of, stored, text_word_hashes
 
 #: A pair is linked when ``100 * common >= PERCENT * union``.
 PERCENT = 85
 
 
-def shingle_set(text: str | None, digests: Digests, k: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles; the whole sequence when it is shorter."""
-    words = space_words(text)
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-    return np.unique(grams(digests.of(words), k))
+def shingle_sets(texts: list[str | None], k: int = 4) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its ``k``-word shingles; the whole sequence as one
+    when it is shorter, nothing without words."""
+    words = text_word_hashes(texts)
+    flat = grams(np.concatenate(words), k)
+    out, at = [], 0
+    for w in words:
+        n = len(w)
+        if n >= k:
+            out.append(np.unique(flat[at : at + n - k + 1]))
+        else:
+            out.append(grams(w, n) ^ np.uint64(n) if n else w)
+        at += n
+    return out
 
 
 class Frequent:
@@ -52,11 +58,12 @@ def frequent_shingles(docs: DataFrame, k: int = 4, most: int = 1 << 17) -> tuple
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, top = shared_digests(), Frequent()
+        top = Frequent()
         for b in batches:
             if b.num_rows:
-                sets = [shingle_set(t, digests, k) for t in b.column(0).to_pylist()]
-                keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+                words = text_word_hashes(b.column(0).to_pylist())
+                # the few runs over the border of two texts are next to nothing among the frequent ones
+                keys, counts = np.unique(grams(np.concatenate(words), k), return_counts=True)
                 top.add(keys[counts > 1], counts[counts > 1])
         if len(top.keys):
             yield pa.RecordBatch.from_arrays([pa.array(top.keys.view(np.int64)), pa.array(top.counts)], names=["token", "n"])
@@ -85,22 +92,22 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4
     keys, counts = order
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests = shared_digests()
-
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, set_keys, prefixes = [], [], []
-            for text in rows_of(b, "text"):
-                s = shingle_set(text, digests, k)
+            sets = shingle_sets(rows_of(b, "text"), k)
+            flat = np.concatenate(sets)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                seen = np.where(keys[at] == flat, counts[at], 0)
+            at = 0
+            for s in sets:
                 n.append(len(s))
                 set_keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if not len(s):
-                    prefixes.append(np.zeros(0, dtype=np.int64))
-                    continue
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    seen = np.where(keys[at] == s, counts[at], 0)
-                    s = s[np.argsort(seen, kind="stable")]
-                prefixes.append(s[: prefix_lengths(len(s), percent)[0]].view(np.int64))
+                own = seen[at : at + len(s)] if len(keys) else s
+                at += len(s)
+                if len(keys) and own.any():
+                    s = s[np.argsort(own, kind="stable")]
+                prefixes.append(s[: prefix_lengths(len(s), percent)[0] if len(s) else 0].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             return pa.RecordBatch.from_arrays(
@@ -139,12 +146,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = 4, percent: int = PERCE
     texts = by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, text string")
 
     def compare() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests = shared_digests()
-
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for x, y, tx, ty in zip(*(rows_of(b, c) for c in ("x", "y", "tx", "ty"))):
-                sx, sy = shingle_set(tx, digests, k), shingle_set(ty, digests, k)
+            xs, ys = (shingle_sets(rows_of(b, c), k) for c in ("tx", "ty"))
+            for x, y, sx, sy in zip(rows_of(b, "x"), rows_of(b, "y"), xs, ys):
                 both = np.concatenate([sx, sy])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Digests, by_batch, grams, rows_of, shared_digests, stored, utf8
+from .common import SPACES, by_batch, grams, rows_of, stored, utf8, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 #: Rules, each a share or score put into bins 0 to 63; a document falls when one of them reaches its cutoff.
@@ -83,8 +83,9 @@ class _Weights(dict):
         return made
 
 
-def text_measures(text: str, digests: Digests) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
-    """The words, and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of one text."""
+def text_measures(text: str, hashes: np.ndarray) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
+    """The words, and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of one text, whose words
+    have the given hashes."""
     words = utf8(text).split()
     lines = text.split("\n")
     dup = 0
@@ -96,7 +97,7 @@ def text_measures(text: str, digests: Digests) -> tuple[list[bytes], tuple[int,
                 seen.add(line)
     repeat = 0
     if len(words) > 3:
-        three = grams(digests.of(words), 3)
+        three = grams(hashes, 3)
         order = np.argsort(three, kind="stable")
         same = three[order][1:] == three[order][:-1]
         if same.any():
@@ -114,12 +115,13 @@ def measured(docs: DataFrame, marks: dict[str, float]) -> DataFrame:
     """``doc_id, lang``, the base measures and the bin of each rule, one row per row of ``docs``."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        digests, weights = shared_digests(), _Weights(marks)
+        weights = _Weights(marks)
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             base, bins = [], []
-            for text in rows_of(b, "text"):
-                words, row = text_measures(text or "", digests)
+            texts = rows_of(b, "text")
+            for text, hashes in zip(texts, word_hashes([utf8(t) for t in texts])):
+                words, row = text_measures(text or "", hashes)
                 n, chars, symbols, dup, repeat = row
                 worst = sorted(filter(None, map(weights.__getitem__, set(words))))[-6:]
                 mean = chars / n if n else 0.0
