@@ -532,6 +532,10 @@ class Path:
         found = self._then(step)
         return found.child(name) if name else found
 
+    def having(self, test: Callable[[Column], Column]) -> Path:
+        """The nodes reached so far that pass a test of their own."""
+        return self._then(lambda nodes, _bound: F.filter(nodes, lambda v: F.coalesce(test(v), F.lit(False))))
+
     def index(self, *positions: int) -> Path:
         """Items by position, negative ones from the end."""
 

@@ -298,12 +298,12 @@ def batch_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf).rejects.select("seq", "id", "code", F.size("errors").alias("n_errors"))
 
 
-@query(_EVENTS + "SELECT seq, event, thing_id FROM ev WHERE seq > 4000 AND event <> 'thing_updated'")
+@query(_EVENTS + "SELECT seq, event, thing_id FROM ev WHERE seq > 400 AND event <> 'thing_updated'")
 def events_follow_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Replay after the last event seen and then what follows, from one reading of the log."""
     home = scratch(spark, "follow")
     E.derive(operations(spark, sf)).write.parquet(f"{home}/log")
-    chosen = E.follow(spark, f"{home}/log", "4000", ("thing_created", "thing_deleted"))
+    chosen = E.follow(spark, f"{home}/log", "400", ("thing_created", "thing_deleted"))
     E.write_log(chosen, f"{home}/seen", f"{home}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{home}/seen").select("seq", "event", "thing_id")
 
@@ -314,8 +314,10 @@ def sse_written(spark: SparkSession, sf: str) -> DataFrame:
     home = scratch(spark, "frames")
     E.derive(operations(spark, sf)).write.parquet(f"{home}/log")
     E.write_frames(E.read_log(spark, f"{home}/log"), f"{home}/text", f"{home}/checkpoint").awaitTermination()
-    found = spark.read.option("lineSep", "\n\n").text(f"{home}/text").where("trim(value) <> ''")
-    lines = F.split("value", "\n")
+    # one file is one text: frames end with an empty line
+    frame = F.explode(F.split("value", r"\n\n"))
+    found = spark.read.text(f"{home}/text", wholetext=True).select(frame.alias("value")).where("trim(value) <> ''")
+    lines = F.split("value", r"\n")
     line = lambda k: F.get(lines, F.lit(k))
     return found.select(
         F.regexp_extract(line(1), r"^id: (\d+)$", 1).cast("bigint").alias("seq"),

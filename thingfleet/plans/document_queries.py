@@ -457,8 +457,8 @@ WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_custkey % 10 <> 3
 def xpath_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Axes and text tests inside the row: a child by its text, and a descendant by its own."""
     docs = _bodies(spark, sf)
-    said = D.Path().child("description").where(lambda v: D.text_of(v).rlike("^(BUILDING|HOUSEHOLD) "))
-    below = D.Path().child("properties").deep("href").where(lambda v: D.text_of(v).endswith("segment"))
+    said = D.Path().child("description").having(lambda v: D.text_of(v).rlike("^(BUILDING|HOUSEHOLD) "))
+    below = D.Path().child("properties").deep("href").having(lambda v: D.text_of(v).endswith("segment"))
     return C.search_all(docs, said, below).select("id")
 
 

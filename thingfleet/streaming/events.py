@@ -109,7 +109,7 @@ def frames(rows: DataFrame) -> DataFrame:
 
 def write_frames(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     # every text line ends with a newline, and a frame ends with an empty line
-    text = frames(stream).select(F.regexp_replace("value", r"\n$", "").alias("value"))
+    text = frames(stream).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
     writer = text.writeStream.format("text").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
