@@ -123,10 +123,10 @@ def measured(docs: DataFrame, marks: dict[str, float]) -> DataFrame:
             for text, hashes in zip(texts, word_hashes([utf8(t) for t in texts])):
                 words, row = text_measures(text or "", hashes)
                 n, chars, symbols, dup, repeat = row
-                worst = sorted(filter(None, map(weights.__getitem__, set(words))))[-6:]
+                worst = sorted(filter(None, map(weights.__getitem__, set(words))))[-3:]
                 mean = chars / n if n else 0.0
                 scores = (
-                    sum(worst) / 0.5,
+                    sum(worst) * 4,
                     symbols / max(chars, 1) * 128,
                     dup / max(text.count("\n") + 1 if text else 1, 1) * 63,
                     repeat / max(n, 1) * 63,
