@@ -80,8 +80,7 @@ def _agree(x, y, keys):
 def test_unbound_variables_agree_with_anything(spark):
     rng = random.Random(9)
     for _ in range(2):
-        a, b = table(spark, rng, ["x", "y", "u"], nulls=("x", "y")), table(spark, rng, ["x", "y", "v"], nulls=("x", "y"))
-        left, right = [r.asDict() for r in a.collect()], [r.asDict() for r in b.collect()]
+        (a, left), (b, right) = table(spark, rng, ["x", "y", "u"], nulls=("x", "y")), table(spark, rng, ["x", "y", "v"], nulls=("x", "y"))
         met = [r for r in left if any(_agree(r, o, "xy") for o in right)]
         key = lambda rs: sorted([tuple(r.values()) for r in rs], key=str)
         assert key([r.asDict() for r in al.exists(a, b).collect()]) == key(met)
