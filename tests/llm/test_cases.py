@@ -334,6 +334,17 @@ def test_token_files(spark, docs, none, twice, tmp_path):
     assert list(again.start) == [0, *np.cumsum(again.n_tokens)[:-1]] and again.n_tokens.sum() > 2 * start
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_by_chunks_are_those_of_whole_texts(name):
+    from thingfleet.llm import token_ids
+
+    letters = "aA bB'’sS,.!é́ßİıΣςK½Ⅷ٣_#<|>\t\n漢ﬁǅ 12"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["it's we'll <|endoftext|> FOO, Foo. foo###", "", "  ", " x", "Straße, STRASSE."]
+    ids = token_ids.Ids(token_ids.path(name), limit=50)
+    assert ids.encode(texts) == ids._whole(texts)
+
+
 def test_packing(docs, none, twice):
     for df, n in ((docs, len(DOCS)), (twice, 2 * len(DOCS) + 1)):
         rows = packing.pack(df, flush_tokens=20_000).toPandas()

@@ -13,6 +13,8 @@ import public_tokenizers
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 #: A byte-level pre-tokenizer keeps one space with the word behind it.
 BYTE_CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+#: Letters, then ASCII signs; what follows decides nothing about what stands before.
+WORD_AND_SIGNS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)")
 #: Where white space is dropped, any of it parts two chunks.
 WORD_CHUNK = re.compile(r"[^ \n]+")
 
@@ -25,7 +27,7 @@ class Ids:
     two generations of ``limit`` chunks. A text with white space outside ASCII is encoded as one piece.
     """
 
-    def __init__(self, file: str, limit: int = 400_000):
+    def __init__(self, file: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,16 +40,41 @@ class Ids:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in made]
 
+    def _parts(self, chunk: str) -> tuple[str, str] | None:
+        """A word and the ASCII signs behind it, between which the tokenizer always cuts; None for other chunks.
+
+        Where the tokenizer normalises and lower-cases, only letters are taken that stay one letter.
+        """
+        m = WORD_AND_SIGNS.fullmatch(chunk)
+        if not m or not m[1].lstrip(" ").isalpha():
+            return None
+        word = m[1]
+        if not self.keeps_space:
+            if max(word) >= "\u0130":  # normalisation may make a letter a letter and a mark
+                return None
+            word = word.lower()
+        return None if word == chunk else (word, m[2])
+
     def _learn(self, chunks: set[str]) -> None:
-        unknown = []
+        unknown, made_of = [], {}
         for c in chunks:
             if (known := self.old.get(c)) is not None:
                 self.new[c] = known
+            elif parts := self._parts(c):
+                made_of[c] = parts
             else:
                 unknown.append(c)
+        words = {p for parts in made_of.values() for p in parts if p}.difference(self.new, unknown)
+        for w in words:
+            if (known := self.old.get(w)) is not None:
+                self.new[w] = known
+            else:
+                unknown.append(w)
         for at in range(0, len(unknown), 4096):
             part = unknown[at : at + 4096]
             self.new.update(zip(part, self._whole(part)))
+        for c, (word, signs) in made_of.items():
+            self.new[c] = self.new[word] + (self.new[signs] if signs else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
