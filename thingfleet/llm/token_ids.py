@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -15,8 +14,8 @@ ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 BYTE_CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 #: Letters, then ASCII signs; what follows decides nothing about what stands before.
 WORD_AND_SIGNS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)")
-#: Where white space is dropped, any of it parts two chunks.
-WORD_CHUNK = re.compile(r"[^ \n]+")
+#: Stands before a chunk that has no space of its own in front.
+BARE = "\0"
 
 
 class Ids:
@@ -33,8 +32,28 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.keeps_space = self.tokenizer.normalizer is None
-        self.find: Callable[[str], list[str]] = (BYTE_CHUNK if self.keeps_space else WORD_CHUNK).findall
-        self.limit, self.new, self.old = limit, {}, {}
+        self.limit, self.old = limit, {}
+        self.new: dict[str, bytes] = {"": b""}
+
+    def _name(self, chunk: str) -> str:
+        if not self.keeps_space:
+            return chunk
+        return chunk[1:] if chunk[0] == " " and chunk[1:].strip() else BARE + chunk
+
+    def _chunk(self, name: str) -> str:
+        if not self.keeps_space:
+            return name
+        return name[1:] if name[0] == BARE else " " + name
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The names of the chunks of a text, or None when it has to be encoded as one piece."""
+        if not self.keeps_space:
+            return text.replace("\n", " ").split(" ")
+        if BARE in text:
+            return None
+        if text.replace("\n", " ").split(" ") == text.split():  # single spaces and line ends between words
+            return (BARE + text).replace("\n", f" {BARE}\n {BARE}").split(" ")
+        return None if ODD.search(text) else [self._name(c) for c in BYTE_CHUNK.findall(text)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -60,8 +79,8 @@ class Ids:
         for c in chunks:
             if (known := self.old.get(c)) is not None:
                 self.new[c] = known
-            elif parts := self._parts(c):
-                made_of[c] = parts
+            elif parts := self._parts(self._chunk(c)):
+                made_of[c] = tuple(self._name(p) if p else p for p in parts)
             else:
                 unknown.append(c)
         words = {p for parts in made_of.values() for p in parts if p}.difference(self.new, unknown)
@@ -72,7 +91,7 @@ class Ids:
                 unknown.append(w)
         for at in range(0, len(unknown), 4096):
             part = unknown[at : at + 4096]
-            self.new.update(zip(part, self._whole(part)))
+            self.new.update(zip(part, self._whole([self._chunk(c) for c in part])))
         for c, (word, signs) in made_of.items():
             self.new[c] = self.new[word] + (self.new[signs] if signs else b"")
 
@@ -80,9 +99,9 @@ class Ids:
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
             part = texts[at : at + 64]
-            cut = [None if ODD.search(t) else self.find(t) for t in part]
+            cut = [self._cut(t) for t in part]
             if len(self.new) > self.limit:
-                self.old, self.new = self.new, {}
+                self.old, self.new = self.new, {"": b""}
             self._learn(set().union(*(c for c in cut if c is not None)).difference(self.new))
             get = self.new.__getitem__
             out += [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(part, cut)]
