@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thingfleet.session import cut, scratch
+from thingfleet.session import scratch
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space between words, as in [\x20\x09-\x0D].
@@ -244,13 +244,16 @@ def running_start(df: DataFrame, order: list[str], size: str, name: str = "start
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``: the smallest node that links reach.
 
-    Alternates large-star and small-star steps until nothing changes; every step is an aggregation and
+    Alternates large-star and small-star steps until all links are stars; every step is an aggregation and
     a join that Spark may split where one node has very many links.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = cut(e)
-    before = None
-    while True:
+    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    # done when every node has one link down, to a node that has none
+    while not is_empty(
+        e.select("b").join(e.select(F.col("a").alias("b")), "b", "left_semi").union(
+            e.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b <> most").select("b")
+        )
+    ):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -261,9 +264,6 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        e = stored(small, "edges")
+    roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

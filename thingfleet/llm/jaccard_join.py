@@ -173,10 +173,10 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     * Shingles are looked up rare first; the index holds, for every shingle, the classes that offer it,
       dealt by blocks of size, with the position in the set. A probe reads only the blocks whose sizes can
       match and skips entries whose positions leave too few shingles for a link.
-    * Answers come in rounds. First each set is compared with its neighbours in the lists, which are the
-      most similar ones of its size. A set then has the answers of the sets it is linked with: pairs whose
-      link is known from them are not compared again. The last round compares every remaining pair the
-      index gives, so no link between different groups is lost.
+    * Answers come in rounds. In each, a set is compared with one neighbour of another group in its lists, so
+      linked sets grow together in few rounds however many there are. A set has the answers of the sets it is
+      linked with: pairs whose link is known from them are not compared again. When a round finds few links,
+      the last one compares every remaining pair the index gives, so no link between groups is lost.
 
     Null ``doc_id`` and rows without words link with nothing. Rows of one ``doc_id`` with different texts
     should not occur; each row keeps the class of its own text.
@@ -190,35 +190,35 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     )
     entries = classes.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
     order = Window.partitionBy("token").orderBy("n", "rep")
-    near = F.struct("rep", "n", "i")
     listed = (
-        entries.withColumn("before", F.lag(near).over(order))
+        entries.withColumn("before", F.lag("rep").over(order))
         .withColumn("after", F.lead("rep").over(order))
         .where("before is not null or after is not null")
         .drop("after")
     )
     listed = stored(listed, "shingle-lists")
 
-    first = (
-        listed.where(F.col("before").isNotNull() & _possible(F.col("before.n"), F.col("before.i"), F.col("n"), F.col("i"), percent))
-        .groupBy(F.col("before.rep").alias("x"), F.col("rep").alias("y"))
-        .count()
-        .groupBy("y")
-        .agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("x"))
-    )
-    links = stored(verified(stored(first.select("x", "y"), "pairs"), docs, k, percent), "links")
-    known = stored(_groups(links), "groups")
-    placed = listed.drop("before").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("g", F.coalesce("component", "rep")).drop("component")
-    placed = stored(placed, "placed-lists")
-    mixed = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    placed = stored(placed.join(stored(mixed, "mixed-tokens"), "token"), "mixed-lists")
+    lists = stored(listed.drop("before").withColumn("g", F.col("rep")), "lists")
+    links = tried = known = None
+    while True:
+        near = stored(_neighbours(lists, percent, tried), "pairs")
+        got = stored(verified(near, docs, k, percent), "links")
+        tried = near if tried is None else tried.unionByName(near)
+        links = got if links is None else links.unionByName(got)
+        known = stored(_groups(links), "groups")
+        placed = lists.drop("g").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        placed = stored(placed.withColumn("g", F.coalesce("component", "rep")).drop("component"), "placed-lists")
+        mixed = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
+        lists = stored(placed.join(stored(mixed, "mixed-tokens"), "token"), "mixed-lists")
+        # few new links: the rest is for the last round
+        if 20 * got.count() <= near.count():
+            break
     # sizes of a link differ by one block at most; the margin covers rounding of the logarithm
     size = F.log(F.col("n")) / F.log(F.lit(100 / percent))
-    offers = placed.where((100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n")).select(
+    offers = lists.where((100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n")).select(
         "token", F.floor(size).alias("block"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("g").alias("gx")
     )
-    probes = placed.withColumn("block", F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1e-6))))
+    probes = lists.withColumn("block", F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1e-6))))
     pairs = (
         offers.join(probes, ["token", "block"])
         .where(
@@ -236,6 +236,23 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     return members, links, known
 
 
+def _neighbours(lists: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
+    """``x, y``: for each class the one of another group that most often stands just before it in the lists,
+    among those that can be linked and were not compared yet. A list gives three candidates an entry at most."""
+    order = Window.partitionBy("token").orderBy("n", "rep")
+    here = F.struct("rep", "n", "i", "g")
+    before = [F.lag(here, k).over(order).alias(f"b{k}") for k in (1, 2, 4)]
+    seen = lists.select("rep", "n", "i", "g", *before).select("rep", "n", "i", "g", F.explode(F.array("b1", "b2", "b4")).alias("b"))
+    met = seen.where(
+        F.col("b").isNotNull() & (F.col("b.g") != F.col("g")) & _possible(F.col("b.n"), F.col("b.i"), F.col("n"), F.col("i"), percent)
+    )
+    best = F.max_by("x", F.struct("count", -F.col("x"))).alias("x")
+    counted = met.groupBy(F.col("b.rep").alias("x"), F.col("rep").alias("y")).count()
+    if tried is not None:
+        counted = counted.join(tried, ["x", "y"], "left_anti")
+    return counted.groupBy("y").agg(best).select("x", "y")
+
+
 def _groups(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
