@@ -371,6 +371,22 @@ def test_word_hashes():
     assert len(set(common.word_hashes([b" ".join(many)])[0])) == len(many) and len(set(seen.values())) == len(seen)
 
 
+def test_windows_hold_every_token_once():
+    for k in range(400):
+        lengths = [rng.choice([1, 2, 255, 257, 900, 1500, 2047, 2048, 5000, rng.randint(1, 3000)]) for _ in range(rng.randint(0, 12))]
+        seen = {}
+        for size, pieces in packing.pack_lengths(lengths):
+            assert sum(p[2] for p in pieces) == size and size & (size - 1) == 0 and size <= 2048
+            for doc, at, n in pieces:
+                seen.setdefault(doc, []).append((at, n))
+        for doc, n in enumerate(lengths):
+            at = 0
+            for a, m in sorted(seen[doc]):
+                assert a == at
+                at += m
+            assert at == n
+
+
 def test_bloom_forgets_nothing():
     import numpy as np
 

@@ -53,6 +53,20 @@ class Waiting:
         return self._pop((self.lengths & -self.lengths).bit_length() - 1) if self.lengths else None
 
 
+    def window(self, size: int) -> list[Piece]:
+        """Pieces of ``size`` tokens together; at least as many have to wait."""
+        out = []
+        while size:
+            piece = self.longest(size)
+            if piece is None:
+                doc, at, n = self.shortest()
+                self.add((doc, at + size, n - size))
+                piece = (doc, at, size)
+            out.append(piece)
+            size -= piece[2]
+        return out
+
+
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[Piece]]]:
     """``(tier, pieces)`` of every sequence; a piece is ``(index of the document, start, length)``.
 
@@ -71,29 +85,10 @@ def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tup
             waiting.add((doc, at, n - at))
     for size in reversed(sizes):
         while waiting.tokens >= size and waiting.lengths >> (size // 2 + 1):
-            window = [waiting.longest(size)]
-            room = size - window[0][2]
-            while room:
-                piece = waiting.longest(room)
-                if piece is None:
-                    doc, at, n = waiting.shortest()
-                    waiting.add((doc, at + room, n - room))
-                    piece = (doc, at, room)
-                window.append(piece)
-                room -= piece[2]
-            done.append((size, window))
+            done.append((size, waiting.window(size)))
     while waiting.tokens:
         size = min(sizes[-1], 1 << (waiting.tokens.bit_length() - 1))
-        room, window = size, []
-        while room:
-            piece = waiting.longest(room)
-            if piece is None:
-                doc, at, n = waiting.shortest()
-                waiting.add((doc, at + room, n - room))
-                piece = (doc, at, room)
-            window.append(piece)
-            room -= piece[2]
-        done.append((size, window))
+        done.append((size, waiting.window(size)))
     return done
 
 
