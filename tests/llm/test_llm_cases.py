@@ -189,6 +189,33 @@ def test_jaccard_join(spark, docs, none, twice):
     assert got == plain.components(rows)
 
 
+def test_jaccard_join_gives_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    r = random.Random(9)
+    base = [f"v{r.randrange(4000)}" for _ in range(160)]
+    rows = []
+    for d in range(30):  # near copies of one text, many of them linked with each other
+        words = list(base)
+        words[r.randrange(160)] = f"x{d}"
+        rows.append((d, " ".join(words[: 160 - r.randrange(30)])))
+    rows += [(200, "some text of its own, with no link"), (201, rows[0][1]), (202, None)]
+    sets = {}
+    for (d, _), s in zip(rows, jaccard_join.shingle_sets([t for _, t in rows])):
+        if len(s):
+            sets.setdefault(s.tobytes(), (d, set(s.tolist())))
+    brute = {}
+    for a, x in sets.values():
+        for b, y in sets.values():
+            if a < b and 100 * len(x & y) >= 85 * len(x | y):
+                brute[a, b] = (len(x & y), len(x | y))
+    assert 100 < len(brute) < 435
+    _, links, counts, _ = jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(min(q.x, q.y), max(q.x, q.y), q.common, q.union) for q in links.collect()]
+    assert len(got) == len(brute) and {(a, b): (c, u) for a, b, c, u in got} == brute
+    per = {d: sum(d in pair for pair in brute) for d, _ in sets.values()}
+    assert {q.node: q.n_links for q in counts.collect()} == {d: n for d, n in per.items() if n}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()

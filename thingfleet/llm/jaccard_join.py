@@ -15,6 +15,8 @@ from .common import bloom_of, by_batch, components, grams, is_empty, rows_of, st
 
 #: A pair is linked when ``100 * common >= PERCENT * union``.
 PERCENT = 85
+#: Classes, and shingles of them, in a block; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 
 def shingle_sets(texts: list[str | None], k: int = 4) -> list[np.ndarray]:
@@ -165,9 +167,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = 4, percent: int = PERCE
     return by_batch(pairs.join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty"), compare, "x long, y long, common long, union long")
 
 
-def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``members``: ``doc_id, n_shingles, class_id`` of every row; ``links(x, y, common, union)`` between
-    classes, complete up to links between sets that other links join already; ``groups(node, component)``.
+def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``members``: ``doc_id, n_shingles, class_id`` of every row; ``links(x, y, common, union)``: all links
+    between classes; ``counts(node, n_links)``: of each class that has any, their exact number;
+    ``groups(node, component)``. Links and counts are worked out when they are read.
 
     * Equal sets are one class, named by its smallest ``doc_id``.
     * Shingles are looked up rare first; the index holds, for every shingle, the classes that offer it,
@@ -177,6 +180,8 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
       linked sets grow together in few rounds however many there are. A set has the answers of the sets it is
       linked with: pairs whose link is known from them are not compared again. When a round finds few links,
       the last one compares every remaining pair the index gives, so no link between groups is lost.
+    * All links lie inside the groups then. A group whose pairs are all answered has them; the others are
+      compared block by block, each set as what it differs in from one of its block (:func:`overlaps`).
 
     Null ``doc_id`` and rows without words link with nothing. Rows of one ``doc_id`` with different texts
     should not occur; each row keeps the class of its own text.
@@ -233,7 +238,140 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     if not is_empty(pairs):
         links = links.unionByName(stored(verified(pairs, docs, k, percent), "links"))
         known = stored(_groups(links), "groups")
-    return members, links, known
+    answered, pairs_of = _blocks(classes, links, known, docs, k, percent)
+    every = answered.unionByName(_compared(pairs_of, k, percent))
+    ends = answered.select(F.explode(F.array("x", "y")).alias("node"), F.lit(1).cast("long").alias("n_links"))
+    counts = ends.unionByName(_compared(pairs_of, k, percent, only_counts=True)).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return members, every, counts, known
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """``[i, j]``: how many elements ``left[i]`` and ``right[j]`` (sorted, distinct) share.
+
+    Each set is taken as its difference from the first one: what two sets differ in follows from their own
+    differences and what these share, so similar sets cost what tells them apart, not what they hold.
+    """
+    lead, same = left[0], left is right
+    off = [[np.setxor1d(s, lead, assume_unique=True) for s in side] for side in ([left] if same else [left, right])]
+    if same:
+        values, times = np.unique(np.concatenate(off[0]), return_counts=True)
+        tokens = values[times > 1]
+        off.append(off[0])
+    else:
+        tokens = np.intersect1d(*(np.unique(np.concatenate(side)) for side in off))
+
+    def marks(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, rows = np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.searchsorted(tokens, flat)
+        hit = tokens[np.minimum(at, len(tokens) - 1)] == flat
+        at, rows = at[hit], rows[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], rows[order]
+
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    if len(tokens):
+        found = [marks(off[0])]
+        found.append(found[0] if same else marks(off[1]))
+        for a in range(0, len(tokens), width):
+            parts = []
+            for (at, rows), n in zip(found, both.shape):
+                lo, hi = np.searchsorted(at, [a, a + width])
+                part = np.zeros((n, min(width, len(tokens) - a)), dtype=np.float32)
+                part[rows[lo:hi], at[lo:hi] - a] = 1
+                parts.append(part)
+            both += (parts[0] @ parts[1].T).astype(np.int64)
+    own, other = (np.array([len(s) - len(d) for s, d in zip(side, ds)], dtype=np.int64) for side, ds in zip((left, right), off))
+    return (own[:, None] + other[None, :] + 2 * both) // 2
+
+
+UNIT = ("component", "c1", "p1", "c2", "p2")
+
+
+def _blocks(classes: DataFrame, links: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links of the groups whose every pair is a known link, and of all other groups the pairs of blocks
+    that can hold links, with the texts of their classes: ``UNIT``, ``side``, ``node``, ``text``.
+
+    A group is cut into cells by size, whose neighbours alone can be linked, and cells into blocks by hash,
+    so a group of any size is many pairs of blocks.
+    """
+    links = links.dropDuplicates(["x", "y"]).join(groups.withColumnRenamed("node", "x"), "x")
+    sized = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    have = links.groupBy("component").agg(F.count("*").alias("have"))
+    state = sized.groupBy("component").agg(F.count("*").alias("of")).join(have, "component", "left")
+    state = state.select("component", (2 * F.coalesce("have", F.lit(0)) == F.col("of") * (F.col("of") - 1)).alias("answered"))
+    state = stored(state, "group-states")
+    answered = links.join(state.where("answered"), "component").select("x", "y", "common", "union")
+
+    # linked sizes differ by less than one cell
+    cell = F.floor(F.log("n") / F.log(F.lit(100 / percent)) * 0.999999)
+    sized = sized.join(state.where("not answered"), "component").select("component", "node", "n", cell.alias("cell"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    cells = stored(sized.groupBy("component", "cell").agg(parts.alias("parts")), "group-cells")
+    placed = sized.join(cells, ["component", "cell"]).select(
+        "component", "cell", F.pmod(F.xxhash64("node", F.lit("block")), "parts").alias("part"), "node"
+    )
+    blocks = cells.select("component", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    one = blocks.withColumnsRenamed({"cell": "c1", "part": "p1"})
+    two = blocks.withColumnsRenamed({"cell": "c2", "part": "p2"})
+    same = (F.col("c1") == F.col("c2")) & (F.col("p1") <= F.col("p2"))
+    units = one.join(two, "component").where(same | (F.col("c2") == F.col("c1") + 1))
+    sides = units.select(*UNIT, F.col("c1").alias("cell"), F.col("p1").alias("part"), F.lit(0).alias("side")).unionByName(
+        units.where("c1 <> c2 or p1 <> p2").select(*UNIT, F.col("c2").alias("cell"), F.col("p2").alias("part"), F.lit(1).alias("side"))
+    )
+    placed = stored(placed, "group-blocks")
+    here = placed.join(stored(sides, "block-pairs"), ["component", "cell", "part"]).select(*UNIT, "side", "node")
+    wanted = bloom_of(placed, "node")
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            keep = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            at = b.column(0).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+            return b.filter(pa.array(keep & wanted.has(at)))
+
+        return one
+
+    texts = by_batch(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), make, "node long, text string")
+    return answered, here.join(texts, "node").select(*UNIT, "side", "node", "text")
+
+
+def _compared(pairs_of: DataFrame, k: int, percent: int, only_counts: bool = False) -> DataFrame:
+    """All links of the pairs of blocks, or how many each class has in each of them."""
+
+    def answer(sides: list[dict[int, np.ndarray]]) -> pa.RecordBatch:
+        nodes = [np.array(list(s), dtype=np.int64) for s in sides if s]
+        sets = [list(s.values()) for s in sides if s]
+        ids, sizes = [nodes[0], nodes[-1]], [np.array([len(s) for s in x], dtype=np.int64) for x in (sets[0], sets[-1])]
+        common = overlaps(sets[0], sets[-1])
+        union = sizes[0][:, None] + sizes[1][None, :] - common
+        linked = 100 * common >= percent * union
+        if len(sets) == 1:
+            linked = np.triu(linked, 1)
+        if only_counts:
+            n = [linked.sum(1), linked.sum(0)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64))], names=["node", "n_links"])
+        i, j = np.nonzero(linked)
+        x, y, nx, ny = ids[0][i], ids[1][j], sizes[0][i], sizes[1][j]
+        turn = (nx > ny) | ((nx == ny) & (x > y))
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, common[i, j], union[i, j])], names=["x", "y", "common", "union"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sides = None, [{}, {}]
+        for b in batches:
+            sets = shingle_sets(rows_of(b, "text"), k) if b.num_rows else []
+            for *key, side, node, s in zip(*(rows_of(b, c) for c in (*UNIT, "side", "node")), sets):
+                if key != unit:
+                    if len(sides[0]) + len(sides[1]) > 1:
+                        yield answer(sides)
+                    unit, sides = key, [{}, {}]
+                sides[side][node] = s
+        if len(sides[0]) + len(sides[1]) > 1:
+            yield answer(sides)
+
+    schema = "node long, n_links long" if only_counts else "x long, y long, common long, union long"
+    dealt = pairs_of.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    out = dealt.mapInArrow(run, schema)
+    return out.where("n_links > 0") if only_counts else out
 
 
 def _neighbours(lists: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
@@ -258,8 +396,10 @@ def _groups(links: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` of every row of ``docs``."""
-    members, _, groups = similar_sets(docs, k, percent)
-    return members.join(groups, members.class_id == groups.node, "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")
+    """``doc_id, n_shingles, class_id, component_id`` of every row of ``docs``, and ``n_links``: with how many
+    classes its own is linked."""
+    members, _, counts, groups = similar_sets(docs, k, percent)
+    placed = groups.join(stored(counts, "link-counts"), "node", "left")
+    return members.join(placed, members.class_id == placed.node, "left").select(
+        "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
