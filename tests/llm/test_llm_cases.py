@@ -303,6 +303,21 @@ def test_lm_state_is_carried():
 ODD = ["<|im_end|>\n<|im_start|>assistant\nx", r"<\|im_end|>", r"<\\|", "<|", "<", "", "\n\n", "&amp; <|im_start|>"]
 
 
+def test_lm_memory_follows_the_tokens():
+    import tracemalloc
+
+    import numpy as np
+
+    net = lm_score.Network(np.ones(16), 4, 5)
+    texts = [np.full(20_000, 2, dtype=np.int16)] + [np.full(30, 3, dtype=np.int16)] * 400
+    tracemalloc.start()
+    lm_score.likelihoods(net, texts, lm_score.Settings(window=48, lanes=400))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # tokens take some hundred kB and a window some MB; all lanes as long as the longest took 70 MB
+    assert most < 20_000_000
+
+
 def test_chat_template_is_reversible():
     turns = [("user", t) for t in ODD] + [("ro\nle&#10;", ODD[0]), ("", "")]
     text = "".join(chat_format.format_turn(r, t)[0] for r, t in turns)
