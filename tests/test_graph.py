@@ -261,3 +261,15 @@ def test_functions(spark):
     assert (row.tz, row.tzm, row.lm, row.lf, row.la) == ("-05:00", -300, True, False, True)
     assert (row.b, row.a, row.none, row.r, row.ci, row.cb, row.re, row.rp) == ("x", "y-z", "", -2, None, True, True, "x+y+z")
     assert row.dt.endswith("langString")
+
+
+def test_numbers_of_any_size(spark):
+    big = "1234567890123456789012345"
+    rows = [("a", "1.25"), ("a", big), ("b", "0.1"), ("b", "0.2"), ("c", "1"), ("c", "much"), ("d", "9" * 20), ("d", "1e-30")]
+    numbers = spark.createDataFrame(rows, "g string, x string").select("g", T.number(F.col("x")).alias("n"))
+    got = {r.g: r for r in numbers.groupBy("g").agg(agg.total_number(F.col("n")).alias("t"), agg.mean_number(F.col("n")).alias("m")).collect()}
+    assert got["a"].t.exact is None and got["a"].t.approx == float(big) + 1.25
+    assert got["a"].m.approx == (float(big) + 1.25) / 2
+    assert str(got["b"].t.exact).rstrip("0") == "0.3" and got["b"].t.approx == 0.3
+    assert got["c"].t.approx is None and got["c"].m.approx is None
+    assert got["d"].t.approx == 1e20

@@ -171,8 +171,17 @@ def digest(text: Column, name: str) -> Column:
     raise ValueError(f"unknown digest {name}")
 
 
+def number(text: Column) -> Column:
+    """A number of any size: ``exact``, a decimal where one holds it, and ``approx``, the double; both NULL for
+    what is no number."""
+    looks = text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+    approx = F.when(looks, text.try_cast("double"))
+    exact = F.when(looks, text.try_cast("decimal(38,18)"))
+    return F.struct(F.when(exact.cast("double") == approx, exact).alias("exact"), approx.alias("approx"))
+
+
 def cast_term(text: Column, target: str) -> Column:
-    """Cast by name; a value that does not fit is NULL. Numbers too large for an exact type become doubles."""
+    """Cast by name; a value that does not fit is NULL. :func:`number` holds numbers of every size."""
     kinds = {
         "integer": "decimal(38,0)",
         "decimal": "decimal(38,18)",

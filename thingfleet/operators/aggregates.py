@@ -27,6 +27,25 @@ def mean(number: Column) -> Column:
     return _guarded(number, F.coalesce(F.avg(number), F.lit(0)))
 
 
+def _of_numbers(number: Column, exact: Column, approx: Column) -> Column:
+    value, near = number["exact"], number["approx"]
+    exact = F.when(F.count_if(value.isNull()) == 0, F.when(F.count(value) == 0, 0).otherwise(exact))
+    approx = F.coalesce(exact.cast("double"), approx, F.lit(0.0))
+    bound = F.count_if(near.isNull()) == 0
+    return F.struct(F.when(bound, exact).alias("exact"), F.when(bound, approx).alias("approx"))
+
+
+def total_number(number: Column) -> Column:
+    """:func:`total` of numbers of any size (``terms.number``), as such a number: exact while a decimal holds
+    all members and the sum, else a double."""
+    return _of_numbers(number, F.try_sum(number["exact"]), F.sum(number["approx"]))
+
+
+def mean_number(number: Column) -> Column:
+    """:func:`mean` of numbers of any size, as :func:`total_number`."""
+    return _of_numbers(number, F.try_avg(number["exact"]), F.avg(number["approx"]))
+
+
 def least(value: Column) -> Column:
     return F.min(value)
 

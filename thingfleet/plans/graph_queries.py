@@ -513,11 +513,11 @@ def agg_sum_error(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(
         (F.col("event_type") == "error") & (F.col("value") > 100), F.lit("much")
     ).otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
-    number = T.cast_term(F.col("amount"), "decimal").cast("decimal(18,2)")
+    number = T.number(F.col("amount"))
     return (
         events.select(F.col("event_type").alias("kind"), text.alias("amount"))
         .groupBy("kind")
-        .agg(agg.total(number).cast("double").alias("total"))
+        .agg(agg.total_number(number)["approx"].alias("total"))
     )
 
 
@@ -715,7 +715,7 @@ def fn_casts(spark: SparkSession, sf: str) -> DataFrame:
         T.cast_term(truth, "boolean").alias("as_boolean"),
         T.cast_term(kind, "string").alias("as_string"),
         T.cast_term(number, "float").cast("double").alias("as_float"),
-        T.cast_term(number, "decimal").cast("double").alias("as_decimal"),
+        T.number(number)["approx"].alias("as_decimal"),
         F.unix_seconds(T.cast_term(instant, "dateTime")).alias("as_seconds"),
     )
 
