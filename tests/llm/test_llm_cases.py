@@ -122,6 +122,20 @@ def test_suffix_dedup(docs, none, twice):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_heavy_cores(docs, spark, monkeypatch):
+    r = random.Random(3)
+    texts = [f"{prose(9 + k)} {PASSAGE} {PASSAGE[::-1]} {prose(9)}" for k in range(12)] + [prose(90) for _ in range(3)]
+    rows = spark.createDataFrame(list(enumerate(r.sample(texts, len(texts)))), "doc_id long, text string")
+    both = docs.where("doc_id in (6, 7, 9, 11, 12)").select(F.col("doc_id") + 100, "text").union(rows).toDF("doc_id", "text")
+    spans = lambda hot: {q.doc_id: q.spans for q in suffix_dedup.repeated_spans(both, hot=hot).collect()}
+    joined, sort = [], suffix_dedup.repeated_in_blocks
+    monkeypatch.setattr(suffix_dedup, "repeated_in_blocks", lambda p, *a: joined.append(p.groupBy("key").agg(F.sum(F.length("piece")).alias("b")).agg(F.max("b")).first()[0]) or sort(p, *a))
+    covered = lambda s: {d: set().union(*(range(x >> 32, x & 0xFFFFFFFF) for x in v)) for d, v in s.items()}
+    want, got = spans(1 << 30), spans(2000)
+    assert len(want) > 12 and covered(got) == covered(want)
+    assert joined[0] > 2000 and (joined[1] or 0) <= 2000  # no sort holds a heavy core
+
+
 def test_suffix_array():
     for k in range(60):
         t = bytes(rng.choice(b"abcA") if rng.random() < 0.9 else rng.choice(b"xyz") for _ in range(rng.randint(1, 150)))

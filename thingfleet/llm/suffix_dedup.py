@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Bloom, bloom_of, by_batch, mixed, rows_of, stored
+from .common import Bloom, bloom_of, by_batch, is_empty, mixed, rows_of, stored
 
 LENGTH = 400
 GRAM = 32
@@ -273,6 +273,27 @@ def repeated_in_blocks(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, seg long, edges array<int>")
 
 
+def repeated_by_hash(starts: DataFrame) -> DataFrame:
+    """``key, seg, edges`` as :func:`repeated_in_blocks`, of ``starts`` with one row per start of a piece and the
+    128-bit hash of its string: equal strings are counted, so a key of any size needs no task of its own."""
+    counted = starts.groupBy("key", "h1", "h2").agg(F.sum("copies").alias("times")).where("times > 1").select("key", "h1", "h2")
+    twice = starts.join(stored(counted, "suffix-hot-strings"), ["key", "h1", "h2"])
+    found = twice.groupBy("key", "seg").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            edges = []
+            for found_ in rows_of(b, "starts"):
+                s = np.array(found_, dtype=np.int64)
+                cut = np.flatnonzero(np.diff(s) != 1)
+                edges.append(np.stack([s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)] + 1], axis=1).ravel().tolist())
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(edges, pa.list_(pa.int32()))], names=["key", "seg", "edges"])
+
+        return one
+
+    return by_batch(found, make, "key long, seg long, edges array<int>")
+
+
 def chosen_rows(wanted: Bloom, keep: bool = True) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
     """A batch function that passes the rows whose ``row_key`` (the second column) the filter has, or the others."""
 
@@ -296,7 +317,7 @@ def same_row() -> Column:
     return F.col("row_key").eqNullSafe(F.col("row2")) & F.col("doc_id").eqNullSafe(F.col("doc2"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chunk: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chunk: int = 1 << 20, hot: int = 1 << 23) -> DataFrame:
     """``doc_id, row_key, spans``: the runs of bytes that repeated strings cover, sorted, as ``start * 2**32 + end``,
     of each document that has any; they may overlap.
 
@@ -305,6 +326,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chun
     2. Equal blocks are one piece with its number of copies, so thousands of copies sort as one. The bytes
        of the pieces are taken from the texts that have them.
     3. The pieces of each core are sorted by their suffixes; neighbours that share ``length`` bytes repeat.
+       A core whose blocks have more than ``hot`` bytes, as of a passage with different text around it in very
+       many documents, fits no sort: each of its strings is dealt and counted by its hash instead.
     4. Runs of repeated starts go back to all copies and join into runs of bytes.
     """
     by_key = Window.partitionBy("key").orderBy("seg")
@@ -313,10 +336,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chun
     met = found.where("before is not null or after is not null or size(places) > 1").drop("before", "after")
     met = stored(met, "suffix-blocks")
     one = F.min(F.struct(F.array_min("places").alias("p"), "n")).alias("one")
-    pieces = met.groupBy("key", "seg").agg(F.sum(F.size("places")).alias("copies"), one).select("key", "seg", "copies", "one.p.*", "one.n")
-    work = pieces.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("key", "seg", "copies", "at", "n")).alias("todo"))
-    work = stored(work.select(F.col("doc_id").alias("doc2"), F.col("row_key").alias("row2"), "todo"), "suffix-work")
-    texts = by_batch(_keyed(docs), chosen_rows(bloom_of(work, "row2")), KEYED).dropDuplicates(["doc_id", "row_key"])
+
+    def asked(blocks_: DataFrame, name: str) -> DataFrame:
+        pieces = blocks_.groupBy("key", "seg").agg(F.sum(F.size("places")).alias("copies"), one).select("key", "seg", "copies", "one.p.*", "one.n")
+        work = pieces.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("key", "seg", "copies", "at", "n")).alias("todo"))
+        work = stored(work.select(F.col("doc_id").alias("doc2"), F.col("row_key").alias("row2"), "todo"), name)
+        texts = by_batch(_keyed(docs), chosen_rows(bloom_of(work, "row2")), KEYED).dropDuplicates(["doc_id", "row_key"])
+        return texts.join(work, same_row()).select("text", "todo")
+
+    heavy = met.groupBy("key").agg(F.sum(F.col("n") + F.lit(length)).alias("bytes")).where(F.col("bytes") > hot)
+    heavy = stored(heavy.select("key"), "suffix-hot")
+    any_heavy = not is_empty(heavy)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,8 +363,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = 128, chun
                         names=["key", "seg", "copies", "n", "piece"],
                     )
 
-    cut = texts.join(work, same_row()).select("text", "todo").mapInArrow(take, _piece_schema("piece binary"))
+    def take_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*((c, pa.int64()) for c in ("key", "seg", "copies", "h1", "h2")), ("start", pa.int32())])
+        for b in batches:
+            for text, todo in zip(rows_of(b, "text"), rows_of(b, "todo")):
+                view = memoryview(text.encode("utf-8", "surrogatepass"))
+                for at in range(0, len(todo), 500):
+                    rows = todo[at : at + 500]
+                    n = [r["n"] for r in rows]
+                    digests = b"".join(xxhash.xxh3_128_digest(view[a : a + length]) for r in rows for a in range(r["at"], r["at"] + r["n"]))
+                    h = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+                    columns = [np.repeat(np.array([r[c] for r in rows], dtype=np.int64), n) for c in ("key", "seg", "copies")]
+                    start = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (*columns, h[:, 0], h[:, 1], start))], schema=schema)
+
+    cold = met.join(heavy, "key", "left_anti") if any_heavy else met
+    cut = asked(cold, "suffix-work").mapInArrow(take, _piece_schema("piece binary"))
     repeats = stored(repeated_in_blocks(cut, length, chunk).where(F.size("edges") > 0), "suffix-repeats")
+    if any_heavy:
+        strings = asked(met.join(heavy, "key", "left_semi"), "suffix-hot-work").mapInArrow(take_strings, "key long, seg long, copies long, h1 long, h2 long, start int")
+        repeats = repeats.unionByName(stored(repeated_by_hash(stored(strings, "suffix-hot-starts")), "suffix-hot-repeats"))
     # a run of bytes as one number, so that it sorts as a number
     pair = F.transform(
         F.sequence(F.lit(0), F.size("edges") - 2, F.lit(2)),
