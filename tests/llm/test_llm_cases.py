@@ -282,6 +282,25 @@ def test_cutoffs_are_certified(spark):
     assert lost <= 0.03 * 1200 and caught >= 0.95 * 400
 
 
+def test_small_languages_are_certified_by_themselves(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for d in range(1060):
+        lang = "bb" if d % 106 == 0 else "ac"[d % 2] * 2
+        bad = lang != "bb" and d % 4 == 1
+        words = [f"w{r.randrange(3000)}" for _ in range(80)]
+        if bad or lang == "bb":  # good documents of the small language look like bad ones of the others
+            words[::9] = [f"vile{r.randrange(50)}" for _ in words[::9]]
+        rows.append((d, " ".join(words), lang))
+        labels.append((d, 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    lost = {q.doc_id for q in out.where("not kept").collect()}
+    assert not lost & {d for d, _, lang in rows if lang == "bb"}
+    # the other languages are certified by their own rows
+    assert len(lost & {d for d, _, bad in labels if bad}) >= 0.4 * sum(bad for _, _, bad in labels)
+
+
 def test_binomial_bound():
     from math import comb
 

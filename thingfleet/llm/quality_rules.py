@@ -185,17 +185,18 @@ def wished_cutoffs(bad: np.ndarray, good: np.ndarray, price: float) -> list[int]
 
 
 def certified_cutoffs(
-    scored: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, min_stratum: int = 250, price: float = 20.0
-) -> tuple[dict[str, list[int]], list[str]]:
+    scored: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, price: float = 20.0
+) -> dict[str, list[int]]:
     """Cutoffs per stratum (language) such that, with confidence ``1 - delta`` for all strata together, at most
     a share ``alpha`` of the good documents of each stratum is rejected by the rules.
 
     Labelled rows are parted by the hash of their id: one half fits, the other certifies. Wished cutoffs come
     from the fitting half. On the certifying half they are approached from the safe side in fixed steps
     (``SLACK``); each step is tested by the exact binomial bound at ``delta`` over the number of strata, and
-    the first that fails ends the sequence, so steps need no further correction. A stratum without
-    ``min_stratum`` good rows in the certifying half is judged with all others like it as one. Where not even
-    the safest step can be certified, the rules reject nothing. Only counts reach the driver.
+    the first that fails ends the sequence, so steps need no further correction. Every stratum is
+    tested by its own rows alone, however few. Where not even the safest step can be certified, or no good
+    row is in the certifying half, the stratum has no cutoffs and the rules reject nothing. Only counts
+    reach the driver.
     """
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -206,9 +207,6 @@ def certified_cutoffs(
         .select(F.coalesce("lang", F.lit("")).alias("lang"), "bins", good.alias("good"), fits("doc_id").alias("fits")),
         "labelled-scores",
     )
-    sizes = {r["lang"]: r["count"] for r in rows.where("good and not fits").groupBy("lang").count().collect()}
-    own = sorted(k for k, v in sizes.items() if v >= min_stratum)
-    rows = rows.withColumn("stratum", F.when(F.col("lang").isin(own), F.col("lang")).otherwise("*") if own else F.lit("*"))
     counts = np.zeros((2, len(RULES), BINS))
     seen = rows.where("fits").select("good", F.posexplode("bins").alias("rule", "bin"))
     for r in seen.groupBy("good", "rule", "bin").count().collect():
@@ -218,7 +216,7 @@ def certified_cutoffs(
     def falls(step: int) -> Column:
         return reduce(lambda a, b: a | b, [F.col("bins")[k] >= min(BINS, w + step) for k, w in enumerate(wish)])
 
-    tests = rows.where("good and not fits").groupBy("stratum")
+    tests = rows.where("good and not fits").groupBy("lang")
     tested = tests.agg(F.count("*").alias("n"), *[F.sum(falls(s).cast("long")).alias(f"lost_{s}") for s in SLACK]).collect()
     out: dict[str, list[int]] = {}
     for r in tested:
@@ -227,8 +225,9 @@ def certified_cutoffs(
             if upper_bound(r[f"lost_{s}"], r["n"], delta / len(tested)) > alpha:
                 break
             passed = s
-        out[r["stratum"]] = [BINS if passed is None else min(BINS, w + passed) for w in wish]
-    return out, own
+        if passed is not None:
+            out[r["lang"]] = [min(BINS, w + passed) for w in wish]
+    return out
 
 
 def fits(doc_id: str) -> Column:
@@ -241,7 +240,7 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, **certify:
 
     ``fit_rows`` bounds the labelled documents the word weights are fitted on, taken by hash from the fitting
     half, so their ids are a list of proven size; all labels of the other half certify. Null text has no
-    words and fails the base. Null ``lang`` is a stratum by itself when large enough. Repeated rows are
+    words and fails the base. Null ``lang`` is a stratum by itself. Repeated rows are
     judged alike. Without labels, only the base rules reject. Other columns are left out.
     """
     chosen = (
@@ -254,8 +253,8 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, **certify:
     )
     marks = fit_word_weights(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"))
     scored = stored(measured(docs, marks), "quality-measures")
-    cutoffs, own = certified_cutoffs(scored, labels, **certify)
-    stratum = F.when(F.coalesce("lang", F.lit("")).isin(own), F.coalesce("lang", F.lit(""))).otherwise("*") if own else F.lit("*")
+    cutoffs = certified_cutoffs(scored, labels, **certify)
+    stratum = F.coalesce("lang", F.lit(""))
     fell = F.lit(None).cast("string")
     for name, cut in cutoffs.items():
         for k, c in reversed(list(enumerate(cut))):
