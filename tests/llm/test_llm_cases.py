@@ -61,7 +61,8 @@ def docs(spark):
     """Documents whose further columns bear names that the operators use."""
     clash = ("row_key", "lang", "gone", "h1", "part", "ids", "spans", "found", "bins", "key", "doc", "lines", "_doc", "n_lines", "node")
     df = spark.createDataFrame([(d, t) for d, t in DOCS], "doc_id long, text string").repartition(3)
-    return df.withColumns({c: F.lit(f"own {c}") for c in clash})
+    lists = ("bounds", "split", "mark", "new_text", "left_text")
+    return df.withColumns({c: F.lit(f"own {c}") for c in clash} | {c: F.array(F.lit("own"), F.lit(c)) for c in lists})
 
 
 @pytest.fixture(scope="module")

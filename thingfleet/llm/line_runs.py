@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
@@ -125,24 +125,34 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: in
         .groupBy("doc_id", "row_key")
         .agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     )
+    # the marks and the document lie apart in structs, so no column of ``docs`` can stand in for a helper
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
     text = F.coalesce("doc.text", F.lit(""))
-    # the gone numbers are sorted, so stretches between neighbours are slices: work grows with the lines
-    bounds = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.size("gone")),
-        lambda i: F.slice("lines", F.get("bounds", i) + 2, F.get("bounds", i + 1) - F.get("bounds", i) - 1),
+    id_ = F.col("doc.doc_id").cast("long")
+    same = F.xxhash64(id_, text).eqNullSafe(F.col("mark.row_key")) & id_.eqNullSafe(F.col("mark.doc_id"))
+    joined = whole.join(goes.select(F.struct("doc_id", "row_key", "gone").alias("mark")), same, "left")
+    gone = F.col("mark.gone")
+    untouched = gone.isNull()
+    told = joined.withColumn("split", F.split(text, "\n", -1)).select(
+        "doc",
+        F.size("split").cast("long").alias("n_before"),
+        F.when(untouched, 0).otherwise(F.size(gone)).cast("long").alias("n_gone"),
+        F.when(untouched, text).otherwise(_kept_lines("split", gone)).alias("left_text"),
     )
-    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # whatever its columns are called
-    same = F.xxhash64(F.col("doc.doc_id").cast("long"), text).eqNullSafe(F.col("row_key")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id"))
-    untouched = F.col("gone").isNull()
-    return (
-        whole.join(goes, same, "left")
-        .withColumn("lines", F.split(text, "\n", -1))
-        .withColumn("bounds", F.when(~untouched, bounds))
-        .select(
-            *(F.col(f"doc.`{c}`") for c in docs.columns if c not in ADDED),
-            F.size("lines").cast("long").alias("n_lines"),
-            F.when(untouched, 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
-            F.when(untouched, text).otherwise(F.array_join(F.flatten(stretches), "\n")).alias("new_text"),
-        )
+    return told.select(
+        *(F.col(f"doc.`{c}`") for c in docs.columns if c not in ADDED),
+        F.col("n_before").alias("n_lines"),
+        F.col("n_gone").alias("n_dropped"),
+        F.col("left_text").alias("new_text"),
     )
+
+
+def _kept_lines(lines: str, gone: Column) -> Column:
+    """The text of ``lines`` without those whose numbers the sorted ``gone`` holds.
+
+    Stretches between neighbouring numbers are slices, so the work grows with the lines.
+    """
+    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    ends = F.arrays_zip(F.slice(bounds, 1, F.size(gone) + 1).alias("a"), F.slice(bounds, 2, F.size(gone) + 1).alias("b"))
+    stretches = F.transform(ends, lambda e: F.slice(lines, e["a"] + 2, e["b"] - e["a"] - 1))
+    return F.array_join(F.flatten(stretches), "\n")
