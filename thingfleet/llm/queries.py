@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files
+from . import chat_format, decontaminate, filter_audit, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files
 from .common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -111,6 +115,7 @@ QUERIES: dict[str, Query] = {
         op8_chat_format,
         op9_token_files,
         op10_packing,
+        op11_filter_audit,
     )
 }
 
@@ -175,4 +180,45 @@ SQL: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
+    "op11_filter_audit": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+            FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        c AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+            FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM x a, x b, x c, x d, x e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        g AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o),
+        s AS (
+            SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic,
+                contains(fails, filter_order[step]) AS failing,
+                len(translate(filter_order[:step - 1], fails, '')) < step - 1 AS gone,
+                fails = filter_order[step] AS alone
+            FROM c, g),
+        r AS (
+            SELECT part, filter_order, step, letter,
+                coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failing), 0)::BIGINT AS kept,
+                coalesce(sum(n) FILTER (WHERE NOT gone AND failing), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (WHERE gone AND failing), 0)::BIGINT AS redundant,
+                coalesce(sum(n) FILTER (WHERE alone), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (WHERE NOT gone AND failing), 0)::BIGINT AS good_lost,
+                coalesce(sum(toxic) FILTER (WHERE NOT gone AND failing), 0)::BIGINT AS toxic_lost
+            FROM s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM r""",
 }
