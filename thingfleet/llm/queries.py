@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from . import chat_format, decontaminate, filter_audit, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files
+from . import chat_format, decontaminate, filter_audit, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files, turn_repair
 from .common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    return turn_repair.audit_table(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
         op9_token_files,
         op10_packing,
         op11_filter_audit,
+        op12_turn_repair,
     )
 }
 
