@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thingfleet.session import scratch
 
-from . import chat_format, decontaminate, filter_audit, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files, turn_repair
+from . import chat_format, circulant_minhash, decontaminate, filter_audit, html_extract, jaccard_join, line_runs, lm_score, packing, quality_rules, suffix_dedup, token_files, turn_repair
 from .common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,12 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.audit_table(table(spark, sf_dir, "conversations"))
 
 
+def op13_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
+    out = circulant_minhash.grouped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -122,6 +128,7 @@ QUERIES: dict[str, Query] = {
         op10_packing,
         op11_filter_audit,
         op12_turn_repair,
+        op13_circulant_minhash,
     )
 }
 
@@ -227,4 +234,21 @@ SQL: dict[str, str] = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
             (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
         FROM r""",
+    "op13_circulant_minhash": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g)
+            WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (
+            SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
+            WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
 }
