@@ -85,3 +85,13 @@ def test_permutations_of_all_numbers():
     x = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65_537)
     for first, second in ((0x7FEB352D, 0x846CA68B), (0x21F0AAAD, 0x735A2D97)):
         assert len(np.unique(cm._permuted(x.copy(), first, second))) == len(x)
+
+
+def test_sketches_differ_in_no_more_than_their_sets():
+    gen = np.random.default_rng(3)
+    pool = gen.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.sort(pool[gen.random(3000) < p]) for p in (0, 0.01, 0.3, 0.31, 0.9, 1)]
+    bits = np.unpackbits(cm.parities(sets).view(np.uint8), axis=1)
+    for a, x in zip(sets, bits):
+        for b, y in zip(sets, bits):
+            assert (x != y).sum() <= len(np.setxor1d(a, b))

@@ -9,6 +9,7 @@ Jaccard similarity.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ PERCENT = 80
 #: With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability 5e-8.
 BANDS, WIDTH = 32, 4
 _AT_ONCE = 1 << 16
+#: Bits of a parity sketch.
+PARITY = 1024
 
 
 def _permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -66,6 +69,17 @@ def band_keys(signature: np.ndarray, bands: int, width: int) -> np.ndarray:
     return keys
 
 
+def parities(sets: list[np.ndarray], bits: int = PARITY) -> np.ndarray:
+    """Of each set, for each of ``bits`` classes of shingles, whether it holds an odd number of them, as 64-bit words.
+
+    What two sketches differ in is at most what the sets differ in.
+    """
+    out = np.zeros((len(sets), bits), dtype=np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+
+
 def _list_column(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate([*arrays, np.zeros(0, dtype=np.int64)])
@@ -93,7 +107,7 @@ def signed(docs: DataFrame, k: int = 4, bands: int = BANDS, width: int = WIDTH)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``rep, n, key, shingles`` of the documents ``ids(rep)``, and of some more that a filter of fixed size lets
+    """``rep, n, key, shingles, parity`` of the documents ``ids(rep)``, and of some more that a filter of fixed size lets
     through. ``key`` tells apart different texts under one id."""
     wanted = bloom_of(ids, "rep")
 
@@ -112,14 +126,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
                     _list_column([s.view(np.int64) for s in sets]),
+                    _list_column(list(parities(sets))),
                 ],
-                names=["rep", "n", "key", "shingles"],
+                names=["rep", "n", "key", "shingles", "parity"],
             )
 
         return one
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return by_batch(read, make, "rep long, n long, key long, shingles array<long>").where("n > 0")
+    return by_batch(read, make, "rep long, n long, key long, shingles array<long>, parity array<long>").where("n > 0")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,25 +190,29 @@ def _with_leaders(near: DataFrame, turn: int, tried: DataFrame | None, percent:
 def _by_rare_shingles(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """``x, y`` of different groups that can be linked by their rarest shingles: all links are among them.
 
-    ``sets(key, rep, n, g, private)`` and ``shared(token, key, many)``, the shingles that more than one set holds
-    and how many do. Of two linked sets the rare-first prefixes meet, and the place of the shingle bounds what
-    they can have in common. Shingles of one set alone come first and meet nothing.
+    ``sets(key, rep, n, g, private, parity)`` and ``shared(token, key, many)``, the shingles that more than one set
+    holds and how many do. Of two linked sets the rare-first prefixes meet, and the place of the shingle bounds what
+    they can have in common. Shingles of one set alone come first and meet nothing. The sketches bound from below
+    what two sets differ in, so of a large group of copies few pairs that are not linked leave the join.
     """
     listed = shared.join(sets, "key").select("key", "rep", "n", "g", "private", F.struct("many", "token").alias("t"))
     ordered = listed.groupBy("key", "rep", "n", "g", "private").agg(F.sort_array(F.collect_set("t")).alias("t"))
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = F.slice("t", 1, F.greatest(probe - F.col("private"), F.lit(0)).cast("int"))
-    entries = ordered.select("rep", "n", "g", "private", F.posexplode(prefix).alias("i", "t")).select(
-        F.col("t.token").alias("token"), F.col("rep"), F.col("n"), F.col("g"), (F.col("i") + F.col("private")).alias("i")
+    entries = ordered.select("rep", "n", "g", "private", "key", F.posexplode(prefix).alias("i", "t")).select(
+        "key", F.col("t.token").alias("token"), F.col("rep"), F.col("n"), F.col("g"), (F.col("i") + F.col("private")).alias("i")
     )
     entries = stored(entries, "rare-shingles")
     mixed_lists = entries.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
-    entries = stored(entries.join(mixed_lists, "token"), "rare-lists")
-    other = entries.select("token", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("g").alias("g2"), F.col("i").alias("i2"))
+    entries = stored(entries.join(mixed_lists, "token").join(sets.select("key", "parity"), "key").drop("key"), "rare-lists")
+    other = entries.select("token", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "g", "i", "parity")))
     most = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
     enough = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
-    pairs = entries.join(other, "token").where((F.col("rep") < F.col("r2")) & (F.col("g") != F.col("g2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & enough)
-    return pairs.select(F.col("rep").alias("x"), F.col("r2").alias("y")).distinct()
+    words = (F.bit_count(F.get("parity", w).bitwiseXOR(F.get("parity2", w))) for w in range(PARITY // 64))
+    differ = reduce(lambda a, b: a + b, words)
+    like = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
+    pairs = entries.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("g") != F.col("g2")) & _sizes_fit(F.col("n"), F.col("n2"), percent) & enough & like)
+    return pairs.select(F.col("rep").alias("x"), F.col("rep2").alias("y")).distinct()
 
 
 def grouped(docs: DataFrame, k: int = 4, percent: int = PERCENT, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
