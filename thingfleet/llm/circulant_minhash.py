@@ -264,7 +264,7 @@ def grouped(docs: DataFrame, k: int = 4, percent: int = PERCENT, bands: int = BA
             tried = pairs if tried is None else tried.unionByName(pairs)
             groups = _groups(links)
             turn += 1
-            if 5 * found.count() <= pairs.count():
+            if 25 * found.count() <= pairs.count():
                 break
         light = _in_groups(chosen.drop("shingles").dropDuplicates(["key"]), groups)  # a row may be there twice
         shared = tokens.join(held.where("low <> high").select("token", "many"), "token")
