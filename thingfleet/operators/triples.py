@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import contexts as C
 from ..functions import documents as D
 from ..schema import QUAD_COLS
 from ..session import cut
@@ -39,11 +40,12 @@ def _literal_map(pairs: dict[str, str]) -> Column:
     return F.expr(_map_text(pairs))
 
 
-def _transitions() -> dict[str, str]:
-    """State of a JSON value from the state of the object around it and its key."""
-    out = {}
+def _transitions() -> dict[str, str | None]:
+    """State of a JSON value from the state of the object around it and its key, for every key known there."""
+    out: dict[str, str | None] = {}
     for context, terms in TERMS.items():
         for key, (_, spec) in terms.items():
+            out[f"{context}.{key}"] = None
             if spec[0] == ">":
                 out[f"{context}.{key}"] = spec[1:]
             elif spec[0] == "*":
@@ -58,27 +60,38 @@ def _label(at: str) -> str:
     return f"if({at} = '', id, concat('_:', sha1(concat(id, '|', {at}))))"
 
 
-_KNOWN = ["state", "owner", "term", "name", "at"]
+_KNOWN = ["state", "owner", "term", "name", "at", "mine", "mine_type"]
+# The entry of members that a document's own context explains, and the kind of node they lead to.
+_MINE, _OWN_NODE = "*", "Own"
 
 
-def _advance(cur: str, item: str, key: str, step: str, found: str) -> dict[str, str]:
+def _fresh(state: str, key: str, known: str) -> str:
+    """SQL text: the predicate that the document's own terms give a key of a node that is not ``known``."""
+    return f"CASE WHEN {state} IS NOT NULL AND NOT ({known}) THEN {C.expand_key('__terms', key)} END"
+
+
+def _advance(cur: str, item: str, key: str, step: str, found: str, known: str, fresh: str) -> dict[str, str]:
     """What is known of a child, from what is known of the value around it, as SQL text.
 
     ``state`` is the kind of node the value is, or the map or text table it is; ``owner`` and
     ``term`` are the node it belongs to and the vocabulary entry there; ``name`` its key in a map;
-    ``at`` its place. The child is an array ``item`` or has a ``key``; ``found`` is the state the
-    vocabulary gives the child of a node.
+    ``at`` its place; ``mine`` the predicate, and ``mine_type`` the type of values, that the document's own
+    terms give a member the vocabulary does not know. The child is an array ``item`` or has a ``key``;
+    ``found`` is the state the vocabulary gives the child of a node, ``known`` whether it has the key, ``fresh`` what
+    the document's terms give the key.
     """
-    state, owner, term, name, at = (f"{cur}{c}" for c in _KNOWN)
+    state, owner, term, name, at, mine, mine_type = (f"{cur}{c}" for c in _KNOWN)
     in_map, in_texts = f"startswith({state}, 'map:')", f"{state} = 'texts'"
     same = f"{item} OR {in_map} OR {in_texts}"
     return {
         "state": f"CASE WHEN {item} THEN {state} WHEN {in_map} THEN substr({state}, 5) "
-        f"WHEN {in_texts} THEN NULL ELSE {found} END",
+        f"WHEN {in_texts} THEN NULL WHEN {known} THEN {found} WHEN {fresh} IS NOT NULL THEN '{_OWN_NODE}' END",
         "owner": f"CASE WHEN {same} THEN {owner} WHEN {state} IS NOT NULL THEN {_label(at)} END",
-        "term": f"CASE WHEN {same} THEN {term} ELSE concat({state}, '.', {key}) END",
+        "term": f"CASE WHEN {same} THEN {term} WHEN {fresh} IS NOT NULL THEN '{_MINE}' ELSE concat({state}, '.', {key}) END",
         "name": f"CASE WHEN {item} THEN {name} WHEN {in_map} OR {in_texts} THEN {key} END",
         "at": f"concat({at}, '/', {step})",
+        "mine": f"CASE WHEN {same} THEN {mine} ELSE {fresh} END",
+        "mine_type": f"CASE WHEN {same} THEN {mine_type} ELSE {C.value_type('__terms', key)} END",
     }
 
 
@@ -86,12 +99,13 @@ def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> D
     """Quads of each document (``id`` and a VARIANT column), one graph per document.
 
     The document is taken apart level by level in one pass; each level looks up its keys in the
-    vocabulary (a fixed table, broadcast) and drops what the vocabulary does not know. Nothing
+    vocabulary (a fixed table, broadcast). A key it does not know counts by the terms and prefixes that the
+    document's own context defines, which travel with its rows; keys known to neither are dropped. Nothing
     shuffles until the set is made distinct. Nested nodes are blank nodes named after their place.
     """
     spark = docs.sparkSession
     table = _transitions()
-    words = F.broadcast(spark.createDataFrame(list(table.items()), "__w string, __found string"))
+    words = F.broadcast(spark.createDataFrame(list(table.items()), "__w string, __found string").withColumn("__known", F.lit(True)))
     none = "cast(NULL AS string)"
     rows = docs.where(f"`{doc}` IS NOT NULL").selectExpr(
         "id",
@@ -100,34 +114,43 @@ def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> D
         f"{none} AS term",
         f"{none} AS name",
         "'' AS at",
+        f"{none} AS mine",
+        f"{none} AS mine_type",
         f"`{doc}` AS node",
         "true AS open",
     )
-    child = _advance("", "__k IS NULL", "__k", STEP, "__found")
+    rows = rows.withColumn("__terms", C.own_terms(F.col("node")))
+    child = _advance("", "__k IS NULL", "__k", STEP, "__found", "__known IS NOT NULL", "__fresh")
     for _ in range(FAST_LEVELS):
         rows = (
             children(rows)
             .selectExpr("*", "if(own, NULL, concat(state, '.', __k)) AS __w")
             .join(words, "__w", "left")
+            .selectExpr("*", f"if(own, NULL, {_fresh('state', '__k', '__known IS NOT NULL')}) AS __fresh")
             .selectExpr(
                 "id",
                 *[f"if(own, {c}, {child[c]}) AS {c}" for c in _KNOWN],
                 "if(own, node, __v) AS node",
                 "NOT own AS open",
+                "__terms",
             )
             .where("term IS NOT NULL OR at = ''")
         )
     return _emit(_deeper(rows, table), prefix)
 
 
-def _deeper(rows: DataFrame, table: dict[str, str]) -> DataFrame:
+def _deeper(rows: DataFrame, table: dict[str, str | None]) -> DataFrame:
     """Rows as they are, and everything below those still open, worked out inside the row."""
+    key, of = "substr(taken, 2)", "concat(cur.state, taken)"
+    known = f"try_element_at({_map_text({k: '' for k in table})}, {of}) IS NOT NULL"
     taken = _advance(
         "cur.",
         "startswith(taken, '[')",
-        "substr(taken, 2)",
+        key,
         "taken",
-        f"try_element_at({_map_text(table)}, concat(cur.state, taken))",
+        f"nullif(try_element_at({_map_text({k: v or '' for k, v in table.items()})}, {of}), '')",
+        known,
+        _fresh("cur.state", key, known),
     )
     kind = "struct<" + ",".join(f"{c}:string" for c in _KNOWN) + ">"
     pack = lambda values: "named_struct(" + ", ".join(f"'{c}', {values[c]}" for c in _KNOWN) + ")"
@@ -143,6 +166,7 @@ def _deeper(rows: DataFrame, table: dict[str, str]) -> DataFrame:
             "id",
             *[f"if(open, __n.k.{c}, {c}) AS {c}" for c in _KNOWN],
             "if(open, __n.node, node) AS node",
+            "__terms",
         )
         .where("term IS NOT NULL")
     )
@@ -154,12 +178,14 @@ def _emit(rows: DataFrame, prefix: str) -> DataFrame:
     entries = [
         (f"{c}.{k}", iri(p), spec) for c, terms in TERMS.items() for k, (p, spec) in terms.items()
     ]
+    entries.append((_MINE, None, "own"))
     names = {iri(k): iri(v) for k, v in NAME_PREDICATE.items()}
     terms = F.broadcast(spark.createDataFrame(entries, "term string, p string, spec string"))
     told = (
         rows.withColumn("shape", F.schema_of_variant("node"))
         .withColumn("kind", D.kind_of_shape(F.col("shape")))
         .join(terms, "term")
+        .withColumn("p", F.coalesce("mine", "p"))
     )
     told = told.withColumn(
         "word",
@@ -178,7 +204,7 @@ def _emit(rows: DataFrame, prefix: str) -> DataFrame:
     )
     spec, kind = F.col("spec"), F.col("kind")
     is_map = spec.startswith("*")
-    is_node = spec.startswith(">") | is_map
+    is_node = spec.startswith(">") | is_map | ((spec == "own") & (kind == "object"))
     child = F.expr(_label("at"))
     # one declared type for all, so that branches agree on which fields may be NULL
     row = (
@@ -238,7 +264,7 @@ def _value(
 def _expand_class(word: Column) -> Column:
     """An address from a class name: prefixed, absolute, or a word of the vocabulary."""
     head = F.substring_index(word, ":", 1)
-    base = F.try_element_at(_literal_map(PREFIXES), head)
+    base = F.coalesce(F.try_element_at(F.col("__terms"), head)["iri"], F.try_element_at(_literal_map(PREFIXES), head))
     return (
         F.when(~word.contains(":"), F.concat(F.lit(TD), word))
         .when(base.isNotNull(), F.concat(base, F.substr(word, F.length(head) + 2)))
@@ -259,6 +285,7 @@ def _address() -> Column:
         .when(spec == "schemaType", vocabulary(SCHEMA_TYPES))
         .when(spec == "scheme", vocabulary(SECURITY_SCHEMES))
         .when(spec == "class", _expand_class(word))
+        .when((spec == "own") & (F.col("kind") == "string") & F.col("mine_type").isin("@id", "@vocab"), _expand_class(word))
     )
 
 
@@ -267,7 +294,8 @@ def _datatype() -> Column:
     spec, word, kind = F.col("spec"), F.col("word"), F.col("kind")
     return (
         F.when(spec.isin("text", "texts"), LANG_STRING)
-        .when(~spec.isin("number", "any"), F.concat(F.lit(XSD), spec))
+        .when((spec == "own") & ~F.col("mine_type").startswith("@"), F.col("mine_type"))
+        .when(~spec.isin("number", "any", "own"), F.concat(F.lit(XSD), spec))
         .when(kind == "boolean", XSD + "boolean")
         .when((kind == "number") & word.rlike(r"^-?\d+$"), XSD + "integer")
         .when(kind == "number", XSD + "double")
@@ -322,16 +350,33 @@ def _reverse_terms(spark) -> DataFrame:
     return spark.createDataFrame(rows, "ctx string, p string, key string, spec string")
 
 
-def assemble(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def own_contexts(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> DataFrame:
+    """``g, terms, context``: the terms that each document defines itself, and its ``@context`` as JSON text."""
+    context = F.to_json(F.try_variant_get(doc, "$['@context']", "variant"))
+    return docs.where(F.col(doc).isNotNull()).select(
+        F.concat(F.lit(prefix), "id").alias("g"), C.own_terms(F.col(doc)).alias("terms"), context.alias("context")
+    )
+
+
+def assemble(quads: DataFrame, contexts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents from quads, and the graphs that cannot become one.
 
     The document starts at the node whose name begins with ``urn``; nested nodes are placed level
-    by level. Returns ``(id, g, body)`` and ``(g, code)``: graphs without such a node.
+    by level. Predicates outside the vocabulary become members too, named by the terms of the graph's row in
+    ``contexts`` (:func:`own_contexts`, one row per graph; its ``@context`` is put back as well), else by their
+    address. Returns ``(id, g, body)`` and ``(g, code)``: graphs without such a node.
     """
     spark = quads.sparkSession
     sizes = quads.groupBy("g").agg(F.min(F.when(F.col("s").startswith("urn"), F.col("s"))).alias("root"))
     refused = sizes.where("root is null").select("g", F.lit("no_root").alias("code"))
-    roots = cut(sizes.where("root is not null"))
+    roots = sizes.where("root is not null")
+    if contexts is None:
+        roots = roots.withColumn("__terms", F.lit(None).cast(C.TERM_MAP)).withColumn("context", F.lit(None).cast("string"))
+    else:
+        roots = roots.join(contexts.withColumnRenamed("terms", "__terms"), "g", "left")
+    roots = cut(roots)
+    fixed = {iri(p) for members in TERMS.values() for p, _ in members.values()}
+    fixed |= {iri(x) for x in {*NAME_PREDICATE.values(), DEFAULT_NAME_PREDICATE}}
     terms = F.broadcast(_reverse_terms(spark))  # the fixed term table
     names = quads.where(
         F.col("p").isin(*[iri(x) for x in {*NAME_PREDICATE.values(), DEFAULT_NAME_PREDICATE}])
@@ -340,7 +385,7 @@ def assemble(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     empty_ord = F.array().cast(D.ORD)
     front = roots.select(
-        "g", F.col("root").alias("s"), F.lit("Thing").alias("ctx"), empty_ord.alias("ord")
+        "g", F.col("root").alias("s"), F.lit("Thing").alias("ctx"), empty_ord.alias("ord"), "__terms"
     )
     placed = [
         roots.select("g", empty_ord.alias("ord"), F.lit("object").alias("kind"), F.lit(None).cast("string").alias("leaf")),
@@ -351,11 +396,19 @@ def assemble(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
             D.json_string(F.col("root")).alias("leaf"),
         ),
     ]
+    if contexts is not None:
+        at_context = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("@context").alias("key")))
+        placed.append(
+            roots.where("context is not null").select("g", at_context.alias("ord"), F.lit("leaf").alias("kind"), F.col("context").alias("leaf"))
+        )
     while True:
+        told = front.join(quads, ["g", "s"]).join(terms, ["ctx", "p"], "left")
         told = (
-            front.join(quads, ["g", "s"])
-            .join(terms, ["ctx", "p"])
-            .where(_fits(F.col("key"), F.col("spec"), F.col("o")))
+            told.where(
+                F.when(F.col("key").isNotNull(), _fits(F.col("key"), F.col("spec"), F.col("o"))).otherwise(~F.col("p").isin(*fixed))
+            )
+            .withColumn("spec", F.coalesce("spec", F.lit("own")))
+            .withColumn("key", F.coalesce("key", C.compact(F.col("__terms"), F.col("p"))))
             .join(names, ["g", "o"], "left")
         )
         same = Window.partitionBy("g", "s", "key").orderBy("o", "o_lang")
@@ -376,7 +429,7 @@ def assemble(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
             .when(F.col("is_list"), F.array_append(base, place(F.col("i"), F.lit(""))))
             .otherwise(base)
         )
-        is_node = F.col("spec").substr(1, 1).isin(">", "*")
+        is_node = F.col("spec").substr(1, 1).isin(">", "*") | ((F.col("spec") == "own") & (F.col("o_kind") == "bnode"))
         kind = F.when(is_node, "object").otherwise("leaf")
         told = told.withColumn("at", ord_)
         # the map or array around the values, once
@@ -397,8 +450,9 @@ def assemble(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
         front = told.where(is_node).select(
             "g",
             F.col("o").alias("s"),
-            F.expr("regexp_replace(spec, '^[>*]', '')").alias("ctx"),
+            F.expr(f"if(spec = 'own', '{_OWN_NODE}', regexp_replace(spec, '^[>*]', ''))").alias("ctx"),
             F.col("at").alias("ord"),
+            "__terms",
         )
     nodes = placed[0]
     for part in placed[1:]:
@@ -428,10 +482,23 @@ def _leaf() -> Column:
     words = {iri(v): k for k, v in {**SCHEMA_TYPES, **SECURITY_SCHEMES}.items()}
     word = (
         F.when(spec.isin("schemaType", "scheme"), F.try_element_at(_literal_map(words), o))
+        .when((spec == "class") & ~o.startswith(TD), C.compact(F.col("__terms"), o))
         .when(spec.isin("op", "class"), F.replace(o, F.lit(TD), F.lit("")))
         .otherwise(o)
     )
     bare = F.col("o_dt").isin(
         *[XSD + t for t in ("boolean", "integer", "double", "unsignedInt")], RDF + "JSON"
     )
-    return F.when(bare & (F.col("o_kind") == "literal"), o).otherwise(D.json_string(word))
+    # values of own terms say what the term does not
+    dt, lang = F.col("o_dt"), F.col("o_lang")
+    typed = F.try_element_at(F.col("__terms"), F.col("key"))["type"]
+    own = (
+        F.when((F.col("o_kind") == "iri") & ~F.coalesce(typed.isin("@id", "@vocab"), F.lit(False)), F.to_json(F.struct(o.alias("@id"))))
+        .when(lang.isNotNull(), F.to_json(F.struct(o.alias("@value"), lang.alias("@language"))))
+        .when((F.col("o_kind") == "literal") & (dt != XSD + "string") & ~dt.eqNullSafe(typed), F.to_json(F.struct(o.alias("@value"), dt.alias("@type"))))
+    )
+    return (
+        F.when(bare & (F.col("o_kind") == "literal"), o)
+        .when((spec == "own") & own.isNotNull(), own)
+        .otherwise(D.json_string(word))
+    )

@@ -122,3 +122,38 @@ def as_operations(e: DataFrame) -> DataFrame:
         .otherwise("PATCH")
     )
     return e.select(F.col("event_id").alias("seq"), op.alias("op"), id_.alias("id"), body.alias("body"), "ts")
+
+
+ACCOUNT, PLACE = "https://account.example/ns#", "https://place.example/"
+
+
+def extended_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, body``: a description per customer with members of two vocabularies of its own.
+
+    Every third context redefines the second prefix, so the same member means another address there; a term has a
+    type of its own, and nested nodes hold further members.
+    """
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    k = F.col("c_custkey")
+    context = F.concat(
+        F.lit(f'["{CONTEXT_V11}",{{"acc":"{ACCOUNT}","at":"{PLACE}old/","tier":"acc:tier","owner":{{"@id":"acc:owner","@type":"@id"}},'),
+        F.lit('"since":{"@id":"acc:since","@type":"xsd:date"}}'),
+        F.when(k % 3 == 0, f',{{"at":"{PLACE}"}}').otherwise(""),
+        F.lit("]"),
+    )
+    place = _object(_member("@type", '"at:Place"'), _member("at:nation", F.col("c_nationkey").cast("string")), _member("unknown", "1"))
+    body = _object(
+        _member("@context", context),
+        _member("id", _text(F.concat(F.lit("urn:account:"), k))),
+        _member("title", _text(F.col("c_name"))),
+        _member("acc:balance", F.col("c_acctbal").cast("decimal(18,2)").cast("string")),
+        _member("acc:open", F.when(k % 2 == 0, "true").otherwise("false")),
+        _member("tier", _text(F.col("c_mktsegment"))),
+        _member("owner", _text(F.concat(F.lit("acc:person/"), k))),
+        _member("since", _text(F.lit("2024-01-01"))),
+        F.when(k % 5 != 0, _member("at:place", place)),
+        _member("acc:tags", F.concat(F.lit('["a","'), k % 7, F.lit('"]'))),
+        _member("nobody:knows", "5"),
+        _member("stray", '"x"'),
+    )
+    return c.select(F.concat(F.lit("urn:account:"), k).alias("id"), body.alias("body"))

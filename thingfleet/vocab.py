@@ -233,6 +233,8 @@ TERMS: dict[str, dict[str, tuple[str, str]]] = {
         "allOf": ("wotsec:allOf", "string"),
     },
     "DataSchema": _DATA_SCHEMA,
+    # nodes below members that a document's own context explains
+    "Own": {"@type": ("rdf:type", "class")},
 }
 
 # The predicate that keeps the name of a node held in a map from name to node.
