@@ -142,20 +142,21 @@ def triplify(docs: DataFrame, doc: str = "doc", prefix: str = GRAPH_PREFIX) -> D
 def _deeper(rows: DataFrame, table: dict[str, str | None]) -> DataFrame:
     """Rows as they are, and everything below those still open, worked out inside the row."""
     key, of = "substr(taken, 2)", "concat(cur.state, taken)"
-    known = f"try_element_at({_map_text({k: '' for k in table})}, {of}) IS NOT NULL"
+    known = f"try_element_at(__table, {of}) IS NOT NULL"
     taken = _advance(
         "cur.",
         "startswith(taken, '[')",
         key,
         "taken",
-        f"nullif(try_element_at({_map_text({k: v or '' for k, v in table.items()})}, {of}), '')",
+        f"nullif(try_element_at(__table, {of}), '')",
         known,
         _fresh("cur.state", key, known),
     )
     kind = "struct<" + ",".join(f"{c}:string" for c in _KNOWN) + ">"
     pack = lambda values: "named_struct(" + ", ".join(f"'{c}', {values[c]}" for c in _KNOWN) + ")"
     here = f"cast({pack({c: c for c in _KNOWN})} AS {kind})"
-    wide = rows.withColumn("__nodes", F.when(F.col("open"), D.walk(F.col("node"), D.nesting_depth(F.to_json("node")))))
+    words = _map_text({k: v or "" for k, v in table.items()})
+    wide = rows.selectExpr("*", f"{words} AS __table").withColumn("__nodes", F.when(F.col("open"), D.walk(F.col("node"), D.nesting_depth(F.to_json("node")))))
     below = (
         f"transform(__nodes, n -> named_struct('k', aggregate(n.path, {here}, "
         f"(cur, taken) -> cast({pack(taken)} AS {kind})), 'node', n.node))"
