@@ -9,6 +9,7 @@ from ..functions import documents as D
 from ..operators import mutate as M
 from ..operators.batch import Batch, apply_batch
 from ..operators.triples import triplify
+from ..schema import EVENTS
 from ..session import scratch
 from ..sources import rules as R
 from ..sources.fleet import as_operations, customer_documents, operations
@@ -200,6 +201,44 @@ def events_classify_stream(spark: SparkSession, sf: str) -> DataFrame:
     return run.events(spark).select("seq", "event", "thing_id", "data")
 
 
+def _slices(table: DataFrame, order: str, parts: int = 3) -> list[DataFrame]:
+    """All rows of a table in parts along an order, as a log would bring them."""
+    ends = table.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)]).alias("e")).first().e or []
+    marks = [None, *ends, None]
+    above = lambda lo: F.lit(True) if lo is None else F.col(order) > lo
+    upto = lambda hi: F.lit(True) if hi is None else F.col(order) <= hi
+    return [table.where(above(lo) & upto(hi)) for lo, hi in zip(marks, marks[1:])]
+
+
+@query(_EVENTS + "SELECT seq, event, thing_id, data FROM ev")
+def events_keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The first third of the operations as a table; from what it leaves the other two as a stream with keyed state,
+    which stops and starts again between them."""
+    home = scratch(spark, "keyed")
+    old, *new = _slices(spark.read.parquet(f"{sf}/events.parquet"), "event_id")
+    before = as_operations(old)
+    last = before.where(F.col("op").isin("CREATE", "PUT", "DELETE")).groupBy("id").agg(F.max(F.struct("seq", "op")).alias("r"))
+    things = last.where("r.op <> 'DELETE'").select("id")
+    for rows in new:
+        rows.write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
+        E.write_events(E.derive_keyed(as_operations(stream), things), f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    streamed = spark.read.schema(EVENTS).parquet(f"{home}/out")
+    return E.derive(before).unionByName(streamed).select("seq", "event", "thing_id", "data")
+
+
+@query(_EVENTS + "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, event, thing_id, data FROM ev")
+def events_ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that arrive in three batches, numbered without a gap over all of them."""
+    home = scratch(spark, "ledger")
+    ledger = E.Ledger(home)
+    E.derive(operations(spark, sf)).write.parquet(f"{home}/log")
+    for rows in _slices(spark.read.schema(EVENTS).parquet(f"{home}/log"), "seq"):
+        rows.write.mode("append").parquet(f"{home}/in")
+        ledger.start(E.read_log(spark, f"{home}/in")).awaitTermination()
+    return ledger.events(spark).select("seq", "event", "thing_id", "data")
+
+
 @query(_OPS + """
 , d AS (SELECT id, max(seq) AS seq FROM c WHERE op <> 'PATCH' GROUP BY 1)
 SELECT 'g:' || d.id AS g, CAST(d.seq AS VARCHAR) AS o FROM d JOIN c ON c.id = d.id AND c.seq = d.seq AND c.op = 'PUT'

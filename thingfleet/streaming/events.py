@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.mutate import RESETS, classify, event_rows, event_type
 from ..operators.ordered import number_rows
@@ -125,6 +126,12 @@ def write_log(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
+def write_events(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append a stream of events to a folder; each batch counts once, also when it is repeated."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+
+
 class Classifier:
     """Events from a stream of operations, with what exists kept in a table between batches.
 
@@ -178,8 +185,114 @@ class Classifier:
         )
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Existence(StatefulProcessor):
+    """Whether the document of an id is there, as the state of that id."""
+
+    def init(self, handle) -> None:
+        self._there = handle.getValueState("there", "there boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat([r[["seq", "op", "ts"]] for r in rows]).sort_values("seq", kind="stable", ignore_index=True)
+        there = self._there.get()[0] if self._there.exists() else False
+        # what each operation leaves behind, as 0 or 1; a patch changes nothing
+        made = batch["op"].map({op: float(op != "DELETE") for op in RESETS})
+        left = pd.concat([pd.Series([float(there)]), made], ignore_index=True).ffill()
+        existed = left.iloc[:-1].astype(bool).reset_index(drop=True)
+        self._there.update((bool(left.iloc[-1]),))
+        yield pd.DataFrame({"id": key[0], "seq": batch["seq"], "op": batch["op"], "ts": batch["ts"], "existed": existed})
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._there.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def classify_keyed(ops: DataFrame, things: DataFrame | None = None) -> DataFrame:
+    """``id, seq, op, ts, existed`` of a stream of operations: whether the document was there before each of them.
+
+    Existence is keyed state in RocksDB, one flag per id, so a micro-batch costs its own rows whatever was seen
+    before. It starts from the ids of ``things`` (``id``), read once with the first batch. The operations of an id
+    are taken in the order of ``seq`` within a micro-batch and batches in theirs; those of one id in one
+    micro-batch (numbers, kinds and times, no bodies) are held together in a task, which the source's limit of
+    files per batch bounds. Operations without an id are dropped, as they name nothing.
+    """
+    spark = ops.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    known = None
+    if things is not None:
+        known = things.where("id is not null").select("id").distinct().groupBy("id")
+    return (
+        ops.where("id is not null")
+        .select("id", "seq", "op", "ts")
+        .groupBy("id")
+        .transformWithStateInPandas(
+            statefulProcessor=_Existence(),
+            outputStructType="id string, seq bigint, op string, ts timestamp, existed boolean",
+            outputMode="Append",
+            timeMode="None",
+            initialState=known,
+        )
+    )
+
+
+def derive_keyed(ops: DataFrame, things: DataFrame | None = None) -> DataFrame:
+    """The events of a stream of operations, with keyed state instead of a table read anew for every batch."""
+    return event_rows(classify_keyed(ops, things))
+
+
+class Ledger:
+    """Gapless numbers over a stream: every micro-batch goes on where the last one ended.
+
+    A batch is numbered in the order of ``seq`` and written to a folder of its number; the ledger keeps one row a
+    batch with the total up to its end. A repeated batch reads the same total before it and overwrites its own
+    folders, so numbers stay the same; an empty batch only carries the total on.
+    """
+
+    def __init__(self, home: str, start: int = 0, block: int | None = None):
+        self._home, self._start, self._block = home.rstrip("/"), start, block
+
+    def before(self, spark: SparkSession, number: int) -> int:
+        """The number of the first event of batch ``number``."""
+        path = f"{self._home}/totals"
+        schema = "total bigint, batch bigint"
+        try:
+            totals = spark.read.schema(schema).option("basePath", path).parquet(path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self._start
+            raise
+        # folders of batches are listed, one of them is read
+        earlier = totals.where(F.col("batch") < number)
+        newest = earlier.agg(F.max("batch").alias("b")).first().b
+        return self._start if newest is None else totals.where(F.col("batch") == newest).first().total
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = self.before(spark, number)
+        numbered = number_events(batch, first, self._block)
+        folder = f"{self._home}/events/batch={number}"
+        numbered.write.mode("overwrite").parquet(folder)
+        count = spark.read.schema(EVENTS).parquet(folder).count()
+        spark.range(1).select(F.lit(first + count).cast("bigint").alias("total")).coalesce(1).write.mode("overwrite").parquet(
+            f"{self._home}/totals/batch={number}"
+        )
+
+    def start(self, events: DataFrame, available_now: bool = True) -> StreamingQuery:
+        """Number a stream of events (columns of ``EVENTS``)."""
+        writer = events.writeStream.foreachBatch(self).option("checkpointLocation", f"{self._home}/checkpoint")
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        path = f"{self._home}/events"
+        return spark.read.schema(EVENTS).option("basePath", path).parquet(path).select("seq", "event", "thing_id", "data", "ts")
+
+
 __all__ = [
-    "Classifier", "check_diff", "derive", "event_type", "follow", "frames", "known_type", "merge",
-    "number_events", "past_events", "payload", "read_log", "subscribe", "wire_name", "write_frames",
+    "Classifier", "Ledger", "check_diff", "classify_keyed", "derive", "derive_keyed", "event_type", "follow", "frames", "known_type", "merge",
+    "number_events", "past_events", "payload", "read_log", "subscribe", "wire_name", "write_events", "write_frames",
     "write_log",
 ]
