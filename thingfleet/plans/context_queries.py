@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..operators.graph_diff import graph_diff
 from ..operators.triples import assemble, own_contexts, triplify
 from ..sources.fleet import ACCOUNT, PLACE, extended_documents
 from ..sources.graphs import dedup, stored
+from ..schema import QUAD_COLS
 from ..vocab import RDF_TYPE, TD, XSD
 from .registry import query
 
@@ -85,3 +87,36 @@ def own_term_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(tags, ",").alias("tags"),
         F.array_join(F.array_sort(F.map_keys("m")), ",").alias("members"),
     )
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS no, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+c AS (SELECT 'g:' || k AS g, q FROM l WHERE no = 1 AND k % 4 = 0)
+SELECT g, 'removed' AS change, 'urn:p:quantity' AS p, CAST(q AS VARCHAR) AS o, 'line' AS node FROM c
+UNION ALL SELECT g, 'added', 'urn:p:quantity', CAST(q + 1000 AS VARCHAR), 'line' FROM c
+""")
+def graph_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as graphs with a blank node per line, loaded twice under other names: the lines changed between."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    g, quantity = F.concat(F.lit("g:"), "l_orderkey"), F.col("l_quantity").cast("bigint")
+    changed = F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 4 == 0), quantity + 1000).otherwise(quantity)
+
+    def load(node: Column, amount: Column) -> DataFrame:
+        node = F.concat(F.lit("_:"), node)
+        root = F.concat(F.lit("urn:order:"), "l_orderkey")
+        triple = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(f"urn:p:{p}").alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+        quads = lines.select(
+            g.alias("g"),
+            F.explode(F.array(
+                triple(root, "line", node, "bnode"),
+                triple(node, "part", F.col("l_partkey").cast("string"), "literal"),
+                triple(node, "quantity", amount.cast("string"), "literal"),
+            )).alias("t"),
+        ).select("g", "t.*")
+        none = lambda t: F.lit(None).cast(t)
+        return quads.withColumns({"o_dt": none("string"), "o_lang": none("string"), "o_num": none("double"), "o_ts": none("timestamp")}).select(*QUAD_COLS)
+
+    old = load(F.concat_ws("-", "l_orderkey", "l_linenumber"), quantity)
+    new = load(F.sha1(F.concat_ws("-", "l_linenumber", "l_orderkey")), changed)
+    found = graph_diff(old, new, ["urn:p:part"])
+    return found.select("g", "change", "p", "o", F.when(F.col("s").startswith("_:"), "line").otherwise("order").alias("node"))

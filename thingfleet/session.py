@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its plan starts anew at a scan."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out the rows of an input of fewer parts than there are cores, ahead of heavy row work.
 
