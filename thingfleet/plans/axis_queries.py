@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import axes as X
-from ..session import scratch
+from ..session import kept
 from ..sources.fleet import customer_documents
 from .registry import query
 
@@ -14,10 +14,7 @@ from .registry import query
 def _elements(spark: SparkSession, sf: str) -> DataFrame:
     """The element table of the customers' documents, written once for all steps."""
     docs = customer_documents(spark, sf).select("id", F.parse_json("body").alias("doc"))
-    table = X.elements(docs)
-    path = scratch(spark, "elements")
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    return kept(X.elements(docs), "elements")
 
 
 @query("""

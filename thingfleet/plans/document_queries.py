@@ -16,6 +16,7 @@ from ..sources import catalog as C
 from ..sources import documents as intake
 from ..sources.fleet import RUN, customer_documents
 from ..sources.graphs import dedup, stored
+from ..sources.listing import Listing
 from ..sources.sinks import binding, choose_format, write_results
 from ..vocab import HCTL, JSONSCHEMA, RDF_TYPE, TD, WOTSEC
 from .registry import query
@@ -507,6 +508,21 @@ def page_meta(spark: SparkSession, sf: str) -> DataFrame:
     return C.page_meta(_listing(spark, sf), 20, 40)
 
 
+@query("""
+WITH t AS (
+  SELECT 'urn:customer:' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS member, c_name AS title, count(*) OVER () AS total,
+    row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS at FROM customer)
+SELECT '/things?offset=100&limit=25&format=collection' AS page, total,
+  CASE WHEN total > 125 THEN '/things?offset=125&limit=25&format=collection' END AS next,
+  at - 100 AS place, member, title FROM t WHERE at BETWEEN 100 AND 124
+""")
+def list_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of a listing sorted beforehand, with its address, its successor's and its members."""
+    page = Listing.build(_listing(spark, sf), "balance", "desc").collection(25, 100)
+    members = page.select(F.col("id").alias("page"), "total", "next", F.posexplode("members").alias("place", "thing"))
+    return members.select("page", "total", "next", F.col("place").cast("bigint").alias("place"), F.col("thing.id").alias("member"), "thing.title")
+
+
 @query("""
 SELECT 'urn:customer:' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id, c_acctbal AS balance FROM customer
 ORDER BY c_acctbal DESC, 1 LIMIT 50
