@@ -511,10 +511,10 @@ def page_meta(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH t AS (
   SELECT 'urn:customer:' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS member, c_name AS title, count(*) OVER () AS total,
-    row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS at FROM customer)
+    row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS n FROM customer)
 SELECT '/things?offset=100&limit=25&format=collection' AS page, total,
   CASE WHEN total > 125 THEN '/things?offset=125&limit=25&format=collection' END AS next,
-  at - 100 AS place, member, title FROM t WHERE at BETWEEN 100 AND 124
+  n - 100 AS place, member, title FROM t WHERE n BETWEEN 100 AND 124
 """)
 def list_collection(spark: SparkSession, sf: str) -> DataFrame:
     """A page of a listing sorted beforehand, with its address, its successor's and its members."""
