@@ -8,6 +8,7 @@ from itertools import product as combinations_of
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.term_order import sort_key
 from ..session import cut
 
 def shared(a: DataFrame, b: DataFrame) -> list[str]:
@@ -296,17 +297,14 @@ def describe(quads: DataFrame, resources: DataFrame, rounds_cut: bool = True) ->
 
 
 def order_solutions(rows: DataFrame, *terms: Column | tuple) -> DataFrame:
-    """Sort by terms. ``(value, kind)`` sorts unbound, blank node, address, literal;
-    ``(value, kind, "desc")`` the other way round."""
+    """Sort by terms: a column as it is, or the parts of a term, ``(value, kind)`` or ``(value, kind, datatype,
+    language)``, sorted by :func:`thingfleet.functions.term_order.sort_key`; a last part ``"desc"`` turns the order."""
     keys: list[Column] = []
     for t in terms:
         if isinstance(t, tuple):
-            value, kind = t[:2]
-            rank = (
-                F.when(value.isNull(), 0).when(kind == "bnode", 1).when(kind == "iri", 2).otherwise(3)
-            )
-            down = len(t) > 2 and t[2] == "desc"
-            keys += [rank.desc(), value.desc()] if down else [rank, value]
+            down = isinstance(t[-1], str) and t[-1] == "desc"
+            key = sort_key(*(t[:-1] if down else t))
+            keys.append(key.desc() if down else key)
         else:
             keys.append(t)
     return rows.orderBy(*keys)

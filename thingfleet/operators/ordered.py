@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 BLOCKS = 8
 
 
@@ -66,3 +68,27 @@ def number_rows(df: DataFrame, order: str, name: str, start: int = 0, block: int
         .withColumn(name, (F.col("__i") + F.col("__s") + F.lit(start)).cast("bigint"))
         .drop("__b", "__i", "__s")
     )
+
+
+def positions(df: DataFrame, by: list[Column], name: str, start: int = 0) -> DataFrame:
+    """Add ``name``: the place of each row in the order ``by``, whatever the types of its columns.
+
+    Rows are dealt by sampled ranges of the order, and of rows that tie by a number of their own, so neither a far
+    value nor a value that many rows share fills one task. Ties are placed in no particular order. The sorted rows
+    are written to the shared folder; what is added up along the parts is one row for each.
+    """
+    tie = df.withColumn("__tie", F.monotonically_increasing_id())
+    rows = kept(
+        tie.orderBy(*by, "__tie").drop("__tie").withColumn("__m", F.monotonically_increasing_id()), "positions"
+    ).withColumn("__part", F.shiftright("__m", 33))
+    # numbers rise within a part from the part's own first one, and from part to part
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__c")).select(
+        "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s")
+    )
+    inside = F.col("__m") - F.shiftleft("__part", 33)
+    return (
+        rows.join(shift, "__part")
+        .withColumn(name, (inside + F.col("__s") + F.lit(start)).cast("bigint"))
+        .drop("__m", "__part", "__s")
+    )

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..functions.term_order import sort_key
 from ..operators import aggregates as agg
 from ..operators import algebra as al
 from ..operators import property_paths as pp
+from ..operators.ordered import positions
 from ..sources.graphs import COL, PART_OF, QuadTable, business_graph, conversation_links, dedup
-from ..vocab import RDF_TYPE
+from ..vocab import RDF_TYPE, XSD
 from .patterns import bgp, lang, num, time, triple
 from .registry import query
 
@@ -541,6 +543,46 @@ def orderby_limit(spark: SparkSession, sf: str) -> DataFrame:
     return al.slice_solutions(ordered, 30, 10).select("p", "name", "price")
 
 
+@query("""
+WITH t AS (
+  SELECT o_orderkey AS k, o_orderkey % 9 AS kind, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderdate AS day,
+    o_orderpriority AS said FROM orders
+), v AS (
+  SELECT k,
+    CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 5
+      WHEN 7 THEN 6 ELSE 7 END AS grade,
+    CASE kind WHEN 3 THEN price * CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END WHEN 4 THEN CAST(k AS DECIMAL(18,2)) * 100 END AS number,
+    CASE kind WHEN 1 THEN 'b' || k WHEN 2 THEN 'urn:order:' || k WHEN 5 THEN said WHEN 7 THEN said
+      WHEN 8 THEN CASE WHEN k % 2 = 0 THEN '1' ELSE '0' END END AS text,
+    CASE WHEN kind = 6 THEN CASE WHEN k % 2 = 0 THEN day ELSE day - INTERVAL 2 HOUR END END AS moment,
+    CASE WHEN kind = 7 THEN CASE WHEN k % 4 = 0 THEN 'de' ELSE 'en' END END AS tag
+  FROM t
+)
+SELECT k, row_number() OVER (ORDER BY grade, number, text, moment, tag, k) AS up,
+  row_number() OVER (ORDER BY grade DESC, number DESC, text DESC, moment DESC, tag DESC, k) AS down FROM v
+""")
+def orderby_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of solutions by a variable that holds terms of all kinds, upwards and downwards."""
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 9
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    term = (
+        F.when(kind == 0, T.make_iri(F.lit(None)))
+        .when(kind == 1, T.make_bnode(F.concat(F.lit("b"), k)))
+        .when(kind == 2, T.make_iri(F.concat(F.lit("urn:order:"), k)))
+        .when(kind == 3, T.typed_literal(F.concat(F.when(k % 2 == 0, "-").otherwise("00"), price, F.lit("0")), XSD + "decimal"))
+        .when(kind == 4, T.typed_literal(F.concat(k, F.lit("e2")), XSD + "double"))
+        .when(kind == 5, T.typed_literal(F.col("o_orderpriority"), XSD + "string"))
+        .when(kind == 6, T.typed_literal(F.concat(day, F.when(k % 2 == 0, ".0Z").otherwise("+02:00")), XSD + "dateTime"))
+        .when(kind == 7, T.lang_literal(F.col("o_orderpriority"), F.when(k % 4 == 0, "DE").otherwise("en")))
+        .otherwise(T.typed_literal(F.when(k % 2 == 0, "true").otherwise("0"), XSD + "boolean"))
+    )
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("k"), term.alias("t"))
+    keyed = rows.select("k", sort_key(*(F.col(f"t.{c}") for c in ("o", "o_kind", "o_dt", "o_lang"))).alias("key"))
+    up = positions(keyed, [F.col("key"), F.col("k")], "up", 1)
+    return positions(up, [F.col("key").desc(), F.col("k")], "down", 1).select("k", "up", "down")
+
+
 @query("""
 SELECT o_custkey AS c, count(*) AS orders, year(min(o_orderdate)) AS since
 FROM orders GROUP BY 1
