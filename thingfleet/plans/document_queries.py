@@ -732,3 +732,50 @@ def store_versions(spark: SparkSession, sf: str) -> DataFrame:
     now = store.quads().select(F.col("s").alias("id"), F.col("o").cast("bigint").alias("k"))
     c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"))
     return now.join(names, "id").join(store.things().select("id"), "id").join(c, "k").where("t is null or t = title").select("k", "title")
+
+
+@query("""
+WITH now AS (
+  SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'first' WHEN c_custkey % 3 = 1 AND c_custkey % 5 = 0 THEN 'second'
+    ELSE c_name END AS title FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 7 <> 0 OR c_custkey % 5 = 0
+)
+SELECT 3 AS version, k, title, CAST(2 AS BIGINT) AS quads FROM now
+UNION ALL
+SELECT 2, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE c_name END, CAST(2 AS BIGINT) FROM customer
+""")
+def store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two writers change different documents of one version: each writes its own, the later one follows the other."""
+    store = C.Store(spark, scratch(spark, "store"))
+    third = F.col("k") % 3
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"))
+
+    def state(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        named = df.withColumn("id", F.concat(F.lit("urn:customer:"), "k"))
+        parts = F.array(*(F.struct(F.lit(f"urn:p:{c}").alias("p"), F.col(c).cast("string").alias("o")) for c in ("k", "title")))
+        quads = named.select(F.concat(F.lit("urn:g:"), "k").alias("g"), F.col("id").alias("s"), F.explode(parts).alias("q")).select(
+            "g", "s", "q.p", "q.o", F.lit("literal").alias("o_kind"),
+            *(F.lit(None).cast(t).alias(n) for n, t in (("o_dt", "string"), ("o_lang", "string"), ("o_num", "double"), ("o_ts", "timestamp"))),
+        )
+        return named.select("id", F.to_json(F.struct("id", "k", "title")).alias("body")), quads
+
+    first = store.commit(*state(rows))
+    store.commit_changes(*state(rows.where(third == 0).withColumn("title", F.lit("first"))), read=first)
+    other = rows.where(third == 1)
+    gone = other.where("k % 7 = 0 and k % 5 <> 0")
+    store.commit_changes(
+        *state(other.where("k % 5 = 0").withColumn("title", F.lit("second"))),
+        gone.select(F.concat(F.lit("urn:customer:"), "k").alias("id")),
+        gone.select(F.concat(F.lit("urn:g:"), "k").alias("g")),
+        first,
+    )
+    out = []
+    for version in (2, 3):
+        counted = store.quads(version).groupBy(F.col("s").alias("id")).agg(
+            F.count(F.lit(1)).alias("quads"), F.max(F.when(F.col("p") == "urn:p:title", F.col("o"))).alias("told")
+        )
+        docs = store.things(version).select(
+            "id", F.get_json_object("body", "$.k").cast("bigint").alias("k"), F.get_json_object("body", "$.title").alias("title")
+        )
+        both = docs.join(counted, "id", "full").where("told is null or told <=> title")
+        out.append(both.select(F.lit(version).alias("version"), "k", "title", "quads"))
+    return out[0].unionByName(out[1])

@@ -1,62 +1,133 @@
 """The directory on disk, lookups and listings.
 
-A store is a folder of versions. A version is complete before its number is added to the log, and
-readers take the highest logged number, so a job that dies half-way leaves nothing visible.
+A store is a folder of data and a log of versions. A version's data are complete before its number is
+claimed in the log, so a job that dies half-way leaves nothing visible.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..operators.triples import assemble
-from .graphs import read_quads, write_quads
+from ..schema import QUAD_COLS, QUADS
+from .graphs import write_quads
+from .versions import VersionLog
 
 DEFAULT_LIMIT = 20
 
 
+class Conflict(Exception):
+    """A version committed in between changes documents or graphs that this commit changes as well."""
+
+
 class Store:
-    """Versioned snapshots of ``things`` (id, body) and ``quads`` below ``path``."""
+    """Versions of ``things`` (id, body) and ``quads`` below ``path``.
+
+    A version is whole, or holds the documents and graphs that changed since the one before; readers lay the
+    changes over the last whole version. Several writers may commit at once.
+    """
+
+    _KEYS = {"things": ("id", "id string, body string"), "quads": ("g", QUADS)}
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
+        self._log = VersionLog(spark, self._path)
 
     def current(self) -> int | None:
-        try:
-            log = self._spark.read.schema("version bigint").parquet(f"{self._path}/log")
-            return log.agg(F.max("version")).first()[0]
-        except Exception as e:  # nothing has been committed yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
-    def commit(self, things: DataFrame, quads: DataFrame) -> int:
-        """Write a new version, then make it visible."""
-        version = (self.current() or 0) + 1
-        home = f"{self._path}/version={version:010d}"
-        things.select("id", "body").repartition("id").sortWithinPartitions("id").write.mode(
-            "overwrite"
-        ).parquet(f"{home}/things")
-        write_quads(quads, f"{home}/quads")
-        self._spark.range(version, version + 1).withColumnRenamed("id", "version").coalesce(
-            1
-        ).write.mode("append").parquet(f"{self._path}/log")
+        return self._log.last()
+
+    def _write(self, things: DataFrame, quads: DataFrame) -> str:
+        home = f"data-{uuid.uuid4().hex}"
+        things.select("id", "body").repartition("id").sortWithinPartitions("id").write.parquet(
+            f"{self._path}/{home}/things"
+        )
+        write_quads(quads, f"{self._path}/{home}/quads")
+        return home
+
+    def commit(self, things: DataFrame, quads: DataFrame, read: int | None = None) -> int:
+        """Write everything as a new version, then make it visible.
+
+        With ``read``, the version that the new one was made from, a version committed since is a
+        :class:`Conflict`; without it, the new version follows whatever is there.
+        """
+        home = self._write(things, quads)
+        version = ((self.current() or 0) if read is None else read) + 1
+        while not self._log.claim(version, True, home):
+            if read is not None:
+                raise Conflict(f"version {version} was committed in between")
+            version += 1
         return version
 
-    def _home(self, version: int | None) -> str:
+    def commit_changes(
+        self,
+        things: DataFrame,
+        quads: DataFrame,
+        deleted: DataFrame | None = None,
+        emptied: DataFrame | None = None,
+        read: int | None = None,
+    ) -> int:
+        """Write only new and changed documents (``id, body``, one row each) and whole changed graphs.
+
+        ``deleted`` (``id``) and ``emptied`` (``g``) name documents and graphs that are gone; a graph in
+        ``quads`` loses what it had. ``read`` is the version that the changes were made from, the current one by
+        default. When others have committed since, the changes follow theirs if no document and no graph is in
+        both, without being written again; else this is a :class:`Conflict`.
+        """
+        read = (self.current() or 0) if read is None else read
+        home = self._write(things, quads)
+        for part, rows, gone in (("things", things, deleted), ("quads", quads, emptied)):
+            key = self._KEYS[part][0]
+            keys = rows.select(key) if gone is None else rows.select(key).unionByName(gone.select(key))
+            keys.distinct().write.parquet(f"{self._path}/{home}/keys-{part}")
+        version = read + 1
+        while not self._log.claim(version, False, home):
+            other = self._log.entry(version)
+            if other.whole or self._overlap(home, other.folder):
+                raise Conflict(f"version {version} was committed in between")
+            version += 1
+        return version
+
+    def _keys(self, home: str, part: str) -> DataFrame:
+        return self._spark.read.schema(f"{self._KEYS[part][0]} string").parquet(f"{self._path}/{home}/keys-{part}")
+
+    def _overlap(self, mine: str, other: str) -> bool:
+        return any(
+            not self._keys(mine, part).join(self._keys(other, part), key, "left_semi").isEmpty()
+            for part, (key, _) in self._KEYS.items()
+        )
+
+    def compact(self) -> int:
+        """Write the current version as a whole one, so that readers have no changes to lay over it."""
+        read = self.current()
+        return self.commit(self.things(read), self.quads(read), read)
+
+    def _read(self, part: str, version: int | None) -> DataFrame:
         version = self.current() if version is None else version
         if version is None:
             raise ValueError("the store is empty")
-        return f"{self._path}/version={version:010d}"
+        key, schema = self._KEYS[part]
+        chain = self._log.chain(version)
+        read = lambda v: self._spark.read.schema(schema).parquet(f"{self._path}/{v.folder}/{part}")
+        if len(chain) == 1:
+            return read(chain[0])
+        # a row counts unless a later version of the chain has its key
+        mark = lambda df, v: df.withColumn("__v", F.lit(v.number))
+        rows = reduce(DataFrame.unionByName, [mark(read(v), v) for v in chain])
+        changes = [mark(self._keys(v.folder, part), v) for v in chain if not v.whole]
+        last = reduce(DataFrame.unionByName, changes).groupBy(key).agg(F.max("__v").alias("__last"))
+        kept = rows.join(last, key, "left").where("__last IS NULL OR __v = __last")
+        return kept.drop("__v", "__last")
 
     def things(self, version: int | None = None) -> DataFrame:
-        return self._spark.read.schema("id string, body string").parquet(
-            f"{self._home(version)}/things"
-        )
+        return self._read("things", version).select("id", "body")
 
     def quads(self, version: int | None = None) -> DataFrame:
-        return read_quads(self._spark, f"{self._home(version)}/quads")
+        return self._read("quads", version).select(*QUAD_COLS)
 
 
 def graph(quads: DataFrame, g: str) -> DataFrame:
