@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..sources import documents as intake
 from ..sources.fleet import RUN, customer_documents
 from ..sources.graphs import dedup, stored
 from ..sources.listing import Listing
+from ..sources.path_index import ANY, DEEP, ITEM, PathIndex, Test
 from ..sources.sinks import binding, choose_format, write_results
 from ..vocab import HCTL, JSONSCHEMA, RDF_TYPE, TD, WOTSEC
 from .registry import query
@@ -779,3 +782,22 @@ def store_changes(spark: SparkSession, sf: str) -> DataFrame:
         both = docs.join(counted, "id", "full").where("told is null or told <=> title")
         out.append(both.select(F.lit(version).alias("version"), "k", "title", "quads"))
     return out[0].unionByName(out[1])
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS said, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer)
+SELECT 'urn:customer:' || k AS id, 'debtors' AS search FROM c WHERE said = 'BUILDING' AND balance < 0
+UNION ALL SELECT 'urn:customer:' || k, 'guarded' FROM c WHERE k % 6 = 5 AND k % 4 <> 0 AND balance >= 1000
+UNION ALL SELECT 'urn:customer:' || k, 'readable' FROM c WHERE k % 10 <> 3 AND k % 9 <> 0 AND k % 3 = 1
+""")
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches with several filters, answered from the postings of paths and values."""
+    index = PathIndex.build(customer_documents(spark, sf))
+    balance = ("properties", "balance", "const")
+    searches = {
+        "debtors": (Test(("properties", "segment", "enum", ITEM), "=", "BUILDING"), Test(balance, "<", 0)),
+        "guarded": (Test(("securityDefinitions", ANY, "scheme"), "=", "oauth2"), Test(balance, ">=", 1000)),
+        "readable": (Test((DEEP, "op", ITEM), "=", "readProperty"), Test(("@type", ITEM), "=", "Device")),
+    }
+    found = [index.search(*tests).withColumn("search", F.lit(name)) for name, tests in searches.items()]
+    return reduce(DataFrame.unionByName, found)
