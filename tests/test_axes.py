@@ -120,3 +120,12 @@ def test_xml_is_read_back(table):
     for id_, all_ in plain().items():
         read = [(e.tag, e.text or "") for e in got[id_].iter()]
         assert read == [(e.name, (e.text or "").replace("\x01", "�")) for e in all_]
+
+
+def test_elements_are_numbered_without_a_join(spark):
+    # a table of elements is many times its documents' size, which the plan cannot know: it must never be broadcast
+    docs = spark.createDataFrame([(d["id"], json.dumps(d)) for d in DOCS], "id string, body string")
+    docs = docs.select("id", F.parse_json("body").alias("doc"))
+    plan = X.elements(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -47,7 +47,6 @@ def elements(docs: DataFrame, doc: str = "doc") -> DataFrame:
     rows = nodes.select(
         "id",
         "ord",
-        F.slice("ord", 1, key_at).alias("up"),
         level.alias("level"),
         F.coalesce(xml_name(F.get("ord", key_at)["key"]), F.lit(ROOT)).alias("name"),
         F.when(F.col("kind") == "string", F.col("v_str"))
@@ -58,9 +57,14 @@ def elements(docs: DataFrame, doc: str = "doc") -> DataFrame:
     # an element ends after all that begin inside it
     ends = F.array_append("ord", F.struct(F.lit(2**31 - 1).alias("pos"), F.lit("").alias("key")))
     rows = rows.withColumn("pre", F.row_number().over(Window.partitionBy("id").orderBy("ord")))
-    rows = rows.withColumn("post", F.row_number().over(Window.partitionBy("id").orderBy(ends)))
-    parents = rows.select("id", F.col("ord").alias("up"), F.col("pre").alias("above"))
-    return rows.join(parents, ["id", "up"], "left").select(
+    rows = rows.withColumn("post", F.row_number().over(Window.partitionBy("id").orderBy(ends))).drop("ord")
+    # the parent is the last element before that is one level higher: each element stands at its own level to be
+    # found and at the one above to look, so nothing is joined and all windows share the shuffle by document
+    rows = rows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("__own"))
+    rows = rows.withColumn("__at", F.col("level") - (~F.col("__own")).cast("int"))
+    before = Window.partitionBy("id", "__at").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    above = F.last(F.when(F.col("__own"), F.col("pre")), ignorenulls=True).over(before)
+    return rows.withColumn("above", above).where("NOT __own").select(
         "id", "pre", (F.col("post") + F.col("level")).alias("last"), "level", "above", "name", "value"
     )
 
