@@ -227,3 +227,14 @@ def test_store_keeps_versions(spark, tmp_path):
     rootless = store.quads(1).where("s <> 'urn:dev:1'")
     kept, refused = refresh_things(built, rootless, changed)
     assert kept.count() == 1 and refused.first().code == "no_root"
+
+
+def test_documents_are_worked_out_once(spark):
+    # a filter on the documents would repeat the work that makes them, and children would carry copies of their parents
+    raw = spark.range(3).selectExpr("concat('urn:', id) AS id", "if(id = 1, NULL, concat('{\"title\":\"t\",\"forms\":[{\"href\":\"h', id, '\"}]}')) AS body")
+    docs = raw.select("id", F.try_parse_json("body").alias("doc"))
+    quads = triplify(docs)
+    plan = quads._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if " Filter " in line]
+    assert filters and not any("parse_json" in line or "tryparse" in line.lower().replace("_", "") for line in filters)
+    assert {r.g.split("/")[-1] for r in quads.collect()} == {"urn:0", "urn:2"}
