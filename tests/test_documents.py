@@ -198,3 +198,19 @@ def test_instant_text_is_utc(spark):
     row = df.select(D.instant_text(F.col("t")).alias("t"), D.instant_text(F.col("b")).alias("b")).first()
     assert row.t == "2024-05-05T01:02:03.123456Z"
     assert row.b == "1969-12-31T23:59:59.999999Z"
+
+
+def test_nulls_are_removed_at_every_depth_and_kept_in_arrays(spark):
+    def without(v):
+        return {k: without(x) for k, x in v.items() if x is not None} if isinstance(v, dict) else v
+
+    deep = {"z": None, "a\"": 1, "l": [None, {"x": None}], "e": {}, "n": {"only": None}, "t": "null"}
+    for i in range(7):
+        deep = {"in": deep, "gone": None, "B": i, "b": [[{"y": None}]]}
+    given = [deep, {}, {"a": None}, [None, {"a": None}], "null", None, 1.5, {"k": "no such word"}]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(given)], "i int, b string")
+    got = df.select("i", D.remove_nulls(F.parse_json("b"), D.nesting_depth(F.col("b"))).alias("t")).orderBy("i").collect()
+    assert [json.loads(r.t) for r in got] == [without(v) for v in given]
+    # the first levels are printed member by member, without arrays of all nodes down to the bound
+    shallow = spark.createDataFrame([('{"a":{"b":{"c":null,"d":1}}}',)], "b string")
+    assert shallow.select(D.remove_nulls(F.parse_json("b"), F.lit(1))).first()[0] == '{"a":{"b":{"d":1}}}'
