@@ -10,7 +10,7 @@ from ..operators import mutate as M
 from ..operators.batch import Batch, apply_batch
 from ..operators.triples import triplify
 from ..schema import EVENTS
-from ..session import scratch
+from ..session import scratch, spread
 from ..sources import rules as R
 from ..sources.fleet import as_operations, customer_documents, operations
 from ..sources.graphs import dedup
@@ -281,7 +281,7 @@ c AS (SELECT *, CASE WHEN before IS NULL THEN stored ELSE before = 'PUT' END AS
 def _batch(spark: SparkSession, sf: str) -> Batch:
     docs = customer_documents(spark, sf)
     n = docs.agg(F.max("k").alias("n"))
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("one", F.lit(1))
+    e = spread(spark.read.parquet(f"{sf}/events.parquet")).withColumn("one", F.lit(1))
     # the largest customer number is one row
     e = e.join(F.broadcast(n.withColumn("one", F.lit(1))), "one")
     own = F.concat(F.lit("urn:customer:"), F.col("user_id") % (2 * F.col("n")))
