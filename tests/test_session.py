@@ -31,3 +31,11 @@ def test_own_terms_are_worked_out_once(spark):
     got = spark.createDataFrame([(doc,)], "body string").select(C.own_terms(F.parse_json("body")).alias("t")).first().t
     assert len(got) == 301 and "t1" not in got
     assert got["t0"].iri == "https://q.example/p/0" and got["t299"].iri == "https://q.example/p/299"
+
+
+def test_even_graphs_deal_the_rows_of_their_tables(spark):
+    from thingfleet.sources.graphs import business_graph
+
+    sf = "/root/testdata/sf0.001"
+    tables = {e.subject._jc.toString(): e.table for e in business_graph(spark, sf, even=True)._entities}
+    assert min(t.rdd.getNumPartitions() for t in tables.values()) >= spark.sparkContext.defaultParallelism
