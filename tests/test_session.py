@@ -39,3 +39,10 @@ def test_even_graphs_deal_the_rows_of_their_tables(spark):
     sf = "/root/testdata/sf0.001"
     tables = {e.subject._jc.toString(): e.table for e in business_graph(spark, sf, even=True)._entities}
     assert min(t.rdd.getNumPartitions() for t in tables.values()) >= spark.sparkContext.defaultParallelism
+
+
+def test_rules_of_a_table_read_the_quads_from_storage(spark):
+    from thingfleet.plans.catalogue import QUERIES
+
+    found = QUERIES["rules_as_table"](spark, "/root/testdata/sf0.001")
+    assert "variant_explode" not in found._jdf.queryExecution().optimizedPlan().toString()

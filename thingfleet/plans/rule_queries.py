@@ -260,4 +260,4 @@ def rules_as_table(spark: SparkSession, sf: str) -> DataFrame:
     """Rules written to a table and read back, of the things alone."""
     home = scratch(spark, "rules")
     R.as_table(spark, [r for r in R.catalogue() if r.shape == "Thing" and r.kind != "node"]).write.parquet(home)
-    return V.validate(_quads(spark, sf), R.load(spark, home)).select("focus_node", "path", "constraint")
+    return V.validate(stored(_quads(spark, sf)), R.load(spark, home)).select("focus_node", "path", "constraint")
