@@ -238,3 +238,20 @@ def test_documents_are_worked_out_once(spark):
     filters = [line for line in plan.split("\n") if " Filter " in line]
     assert filters and not any("parse_json" in line or "tryparse" in line.lower().replace("_", "") for line in filters)
     assert {r.g.split("/")[-1] for r in quads.collect()} == {"urn:0", "urn:2"}
+
+
+def test_levels_are_one_compiled_loop_without_the_table_in_its_rows(spark):
+    """No generator over variants between the levels, which copies every row, and no constant map in rows that need none."""
+    plan = triplify(docs_df(spark, lamp()))._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_explode" not in plan
+    assert "map(keys:" not in plan or "if (isnull(node" in plan
+
+
+def test_empty_and_scalar_members_keep_their_place(spark):
+    doc = {"id": "urn:a", "title": "t", "properties": {"p": {"forms": [], "enum": [], "const": {"a": [1, None]}}, "q": {}}}
+    rows = triplify(docs_df(spark, doc)).collect()
+    said = sorted((r.p.rsplit("#", 1)[-1], r.o_kind, r.o if r.o_kind == "literal" else "") for r in rows)
+    assert said == [
+        ("const", "literal", '{"a":[1,null]}'), ("hasPropertyAffordance", "bnode", ""), ("hasPropertyAffordance", "bnode", ""),
+        ("name", "literal", "p"), ("name", "literal", "q"), ("title", "literal", "t"),
+    ]
