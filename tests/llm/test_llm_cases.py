@@ -493,3 +493,12 @@ def test_stages(spark, docs, none, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).toPandas()
     assert set(pieces.doc_id) == set(kept)
+
+
+def test_the_models_vocabulary_takes_thousands_of_words():
+    import numpy as np
+
+    s = lm_score.Settings()
+    h = np.arange(1, 2001, dtype=np.uint64)
+    v = lm_score.Vocabulary.of(lm_score.Head(h, np.arange(2000) + 1, 2_001_000, 2000), s.classes, s.width)
+    assert len(v.h) == 2000 and len(set(v.number(h))) == 2000

@@ -326,9 +326,9 @@ class Settings:
     """Sizes of the model; none depends on the size of the corpus."""
 
     head: int = 1 << 18
-    classes: int = 24
-    width: int = 24
-    hidden: int = 12
+    classes: int = 48
+    width: int = 48
+    hidden: int = 16
     window: int = 48
     lanes: int = 512
     rate: float = 0.01
