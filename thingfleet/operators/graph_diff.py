@@ -21,32 +21,103 @@ def _blank(c: str) -> Column:
 
 def _value() -> Column:
     """A hash of all that a quad says but for its graph, subject and the name of a blank object."""
-    return F.xxhash64("p", "o_kind", F.when(~_blank("o"), F.col("o")), "o_dt", "o_lang")
+    # a hash passes over nulls, so a type and a language of the same text need a mark each
+    marked = [c for k in ("o_dt", "o_lang") for c in (F.col(k).isNull(), F.col(k))]
+    return F.xxhash64("p", "o_kind", F.when(~_blank("o"), F.col("o")), *marked)
 
 
-def colours(quads: DataFrame, by: list[str]) -> DataFrame:
-    """``*by, node, colour`` of every blank node: equal for nodes of equal content, within each group of ``by``.
+def _halves(h: Column) -> list[Column]:
+    """Two numbers whose sums stand for the sum of ``h`` and overflow only beyond 2**31 rows."""
+    return [F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))]
 
-    Colour refinement: a node's colour is a hash of its own last one and of the sum over its quads of what each says
-    and its object's colour. Rounds go on while they tell more nodes apart. Sums combine before the shuffle, so a
-    node of very many quads is spread. Rounds are cut with written tables.
+
+#: Bits of the filter of graphs; what it keeps by mistake costs time and changes nothing.
+FILTER_BITS = 1 << 25
+
+
+def unequal(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The quads of both sides of all graphs that may differ: equal ones are left out by a signature.
+
+    A blank node is signed by what it says and where it hangs, a graph by its nodes and its other quads. Where no
+    blank node leads to another one, equal signatures are equal graphs; the other graphs all stay. Only numbers are
+    shuffled. The graphs to keep become a bitmap of fixed size, so the quads themselves pass without a shuffle.
     """
-    said = quads.where(_blank("s")).select(*by, F.col("s").alias("node"), _value().alias("said"), F.when(_blank("o"), F.col("o")).alias("to"))
-    nodes = said.select(*by, "node").union(quads.where(_blank("o")).select(*by, F.col("o").alias("node"))).distinct()
-    said, now, told = _table(said), _table(nodes.withColumn("colour", F.lit(0).cast("long"))), 0
+    row = lambda node, h, deep: F.struct(node.alias("node"), h.alias("h"), deep.alias("deep"))
+    s, o, no = _blank("s"), _blank("o"), F.lit(False)
+    rows = F.array(
+        F.when(s, row(F.xxhash64("s"), F.xxhash64(F.lit("says"), _value()), o)),
+        F.when(o, row(F.xxhash64("o"), F.xxhash64(F.lit("hangs"), F.when(~s, F.col("s")), "p"), s)),
+        F.when(~s & ~o, row(F.lit(None).cast("long"), F.xxhash64(F.col("s"), _value()), no)),
+    )
+    signed = None
+    for sign, quads in ((1, old), (-1, new)):
+        told = quads.select(F.xxhash64("g").alias("g"), F.explode(rows).alias("r")).where("r is not null")
+        told = told.select("g", "r.node", "r.deep", *(x.alias(f"h{i}") for i, x in enumerate(_halves(F.col("r.h")))))
+        nodes = told.groupBy("g", "node").agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.max("deep").alias("deep"))
+        whole = _halves(F.xxhash64(F.col("node").isNull(), "h0", "h1"))
+        part = nodes.select("g", "deep", *((x * sign).alias(f"h{i}") for i, x in enumerate(whole)))
+        signed = part if signed is None else signed.unionByName(part)
+    differ = signed.groupBy("g").agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.max("deep").alias("deep")).where("deep or h0 <> 0 or h1 <> 0")
+    place = F.pmod("g", F.lit(FILTER_BITS))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = differ.select(word, place.alias("place")).groupBy("word").agg(F.bit_or(bit).alias("bits"))
+    words = F.broadcast(_table(words))
+
+    def kept_of(quads: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("g"), F.lit(FILTER_BITS))
+        asked = quads.select(*QUAD_COLS, place.alias("place")).withColumn("word", F.shiftright("place", 6))
+        return _table(asked.join(words, "word").where(F.col("bits").bitwiseAND(bit) != 0).select(*QUAD_COLS))
+
+    return kept_of(old), kept_of(new)
+
+
+def _coloured(quads: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """:func:`colours` with ``called``, a hash of the least value of the predicates ``names``."""
+    is_bnode = _blank("o")
+    named = F.when(F.col("p").isin(*names), F.struct("p", "o")) if names else F.lit(None).cast("struct<p:string,o:string>")
+    row = lambda node, said, deep, called: F.struct(node.alias("node"), said.alias("said"), deep.alias("deep"), called.alias("called"))
+    none, empty = F.lit(None).cast("long"), F.lit(None).cast("struct<p:string,o:string>")
+    rows = F.array(
+        F.when(_blank("s"), row(F.col("s"), F.when(~is_bnode, _value()), is_bnode, named)),
+        F.when(is_bnode, row(F.col("o"), none, F.lit(False), empty)),
+    )
+    told = quads.select(*by, F.explode(rows).alias("r")).where("r is not null").select(*by, "r.*")
+    total = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
+    flat = _table(
+        told.groupBy(*by, "node").agg(
+            F.xxhash64(total(F.col("said"))).alias("colour"),
+            F.max("deep").alias("deep"),
+            F.xxhash64(F.min("called")).alias("called"),
+        )
+    )
+    deep = flat.where("deep").select(*by, "node", "colour")
+    if deep.isEmpty():
+        return flat.drop("deep")
+    # only nodes above other blank nodes change their colour
+    said = _table(quads.where(_blank("s") & is_bnode).select(*by, F.col("s").alias("node"), _value().alias("said"), F.col("o").alias("to")))
+    still = flat.where("not deep").select(*by, "node", "colour")
+    now, seen = deep, deep.select(*by, "colour").distinct().count()
     while True:
-        other = now.select(*by, F.col("node").alias("to"), F.col("colour").alias("seen"))
-        parts = said.join(other, [*by, "to"], "left").select(*by, "node", F.xxhash64("said", "seen").alias("h"))
+        other = still.unionByName(now).select(*by, F.col("node").alias("to"), F.col("colour").alias("seen"))
+        parts = said.join(other, [*by, "to"]).select(*by, "node", F.xxhash64("said", "seen").alias("h"))
         own = now.select(*by, "node", F.xxhash64("colour", F.lit("own")).alias("h"))
-        now = _table(
-            parts.unionByName(own)
-            .groupBy(*by, "node")
-            .agg(F.xxhash64(F.sum(F.col("h").cast("decimal(20,0)")).cast("string")).alias("colour"))
-        )
+        now = _table(parts.unionByName(own).groupBy(*by, "node").agg(F.xxhash64(total(F.col("h"))).alias("colour")))
         apart = now.select(*by, "colour").distinct().count()
-        if apart <= told:
-            return now
-        told = apart
+        if apart <= seen:
+            break
+        seen = apart
+    return still.unionByName(now).join(flat.select(*by, "node", "called"), [*by, "node"])
+
+
+def colours(quads: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, node, colour`` of every blank node: equal for nodes of equal content, within each group of ``by``.
+
+    Colour refinement: a node's colour is a hash of its own last one and of the sum over its quads of what each says
+    and its object's colour. What it says itself is summed once; rounds over the quads between blank nodes go on
+    while they tell more nodes apart. Sums combine before the shuffle, so a node of very many quads is spread.
+    Rounds are cut with written tables.
+    """
+    return _coloured(quads, by, []).drop("called")
 
 
 def _paired(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,10 +137,7 @@ def matched(old: DataFrame, new: DataFrame, names: list[str]) -> DataFrame:
     colours. Blank nodes that no named node leads to are paired by colour alone. A node is paired once.
     """
     both = old.select(F.lit("old").alias("v"), *QUAD_COLS).unionByName(new.select(F.lit("new").alias("v"), *QUAD_COLS))
-    colour = colours(both, ["v", "g"])
-    named = F.min(F.when(F.col("p").isin(*names), F.struct("p", "o"))) if names else F.lit(None)
-    called = both.where(_blank("s")).groupBy("v", "g", F.col("s").alias("node")).agg(F.xxhash64(named).alias("called"))
-    known = _table(colour.join(called, ["v", "g", "node"], "left"))
+    known = _table(_coloured(both, ["v", "g"], names))
     links = both.where(_blank("o")).select("v", "g", F.col("s").alias("up"), "p", F.col("o").alias("node"))
     links = _table(links.join(known, ["v", "g", "node"]))
     pairs: DataFrame | None = None
@@ -108,6 +176,7 @@ def graph_diff(old: DataFrame, new: DataFrame, names: list[str] | None = None) -
     in a nested node is one quad removed and one added. Graphs that only one side has differ whole. Predicates of
     ``names`` tell sibling nodes apart whose content has changed.
     """
+    old, new = unequal(old, new)
     pairs = _table(matched(old, new, names or []))
     for c in ("s", "o"):
         by_new = pairs.select("g", F.col("new").alias(c), F.col("old").alias("__same"))
