@@ -421,6 +421,19 @@ def test_ids_by_chunks_are_those_of_whole_texts(name):
     assert ids.encode(texts) == ids._whole(texts)
 
 
+def test_new_chunks_are_encoded_many_at_a_time(monkeypatch):
+    from thingfleet.llm import token_ids
+
+    ids = token_ids.Ids(token_ids.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}{c}'s{k}" for k, (a, b, c) in enumerate(zip("añß漢é" * 200, "x<|endoftext|>\u200b" * 60, "#Zq-1" * 200))]
+    texts = [" ".join(words[k : k + 50]) + "\nend" for k in range(0, len(words), 50)] + ["a \n b", " c", "d\u2003e", "\n", "\x1cf", "g\x85"]
+    calls, whole = [], ids._whole
+    monkeypatch.setattr(ids, "_whole", lambda part: calls.append(len(part)) or whole(part))
+    assert ids.encode(texts) == whole(texts)
+    # chunks with white space inside and texts that go through whole are all that is encoded one by one
+    assert sum(calls) < 20
+
+
 def test_packing(docs, none, twice):
     for df, n in ((docs, len(DOCS)), (twice, 2 * len(DOCS) + 1)):
         rows = packing.pack(df, flush_tokens=20_000).toPandas()

@@ -26,6 +26,7 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#part": "false",
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
 }
 
 

@@ -10,6 +10,10 @@ import public_tokenizers
 
 #: White space that Python's patterns and the tokenizers' patterns may see differently: such texts go through whole.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+#: White space besides the space and the line end.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Chunks that a line end before and behind leaves as they are.
+PLAIN = re.compile(r" ?\S+")
 #: A byte-level pre-tokenizer keeps one space with the word behind it.
 BYTE_CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 #: Letters, then ASCII signs; what follows decides nothing about what stands before.
@@ -18,6 +22,17 @@ WORD_AND_SIGNS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)")
 BARE = "\0"
 
 
+#: Texts that look up their chunks together.
+BATCH = 32
+
+
+def _single_spaced(text: str) -> bool:
+    """Whether single spaces and line ends stand between words, and nothing else that is white space."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not OTHER_SPACE.search(text)
+
+
 class Ids:
     """``encode(texts)``: the ids of each text as little-endian unsigned 32-bit integers.
 
@@ -32,6 +47,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.keeps_space = self.tokenizer.normalizer is None
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.keeps_space else []
         self.limit, self.old = limit, {}
         self.new: dict[str, bytes] = {"": b""}
 
@@ -51,7 +67,7 @@ class Ids:
             return text.replace("\n", " ").split(" ")
         if BARE in text:
             return None
-        if text.replace("\n", " ").split(" ") == text.split():  # single spaces and line ends between words
+        if _single_spaced(text):
             return (BARE + text).replace("\n", f" {BARE}\n {BARE}").split(" ")
         return None if ODD.search(text) else [self._name(c) for c in BYTE_CHUNK.findall(text)]
 
@@ -59,6 +75,29 @@ class Ids:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in made]
 
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk: where the tokenizer keeps line ends as one id, of many chunks as lines of one text."""
+        if len(self.line_end) != 1:
+            return self._whole(chunks)
+        out: list[bytes] = [b""] * len(chunks)
+        plain = [k for k, c in enumerate(chunks) if PLAIN.fullmatch(c)]
+        groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        made = self.tokenizer.encode_batch_fast(["\n".join([chunks[k] for k in g]) for g in groups], add_special_tokens=False)
+        left = sorted(set(range(len(chunks))).difference(plain))
+        for g, x in zip(groups, made):
+            ids = np.array(x.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) != len(g) - 1:
+                left += g
+                continue
+            raw, at = ids.tobytes(), 0
+            for k, end in zip(g, [*(ends * 4).tolist(), len(raw)]):
+                out[k] = raw[at:end]
+                at = end + 4
+        for k, b in zip(left, self._whole([chunks[k] for k in left])):
+            out[k] = b
+        return out
+
     def _parts(self, chunk: str) -> tuple[str, str] | None:
         """A word and the ASCII signs behind it, between which the tokenizer always cuts; None for other chunks.
 
@@ -91,19 +130,21 @@ class Ids:
                 unknown.append(w)
         for at in range(0, len(unknown), 4096):
             part = unknown[at : at + 4096]
-            self.new.update(zip(part, self._whole([self._chunk(c) for c in part])))
+            self.new.update(zip(part, self._each([self._chunk(c) for c in part])))
         for c, (word, signs) in made_of.items():
             self.new[c] = self.new[word] + (self.new[signs] if signs else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
+        for at in range(0, len(texts), BATCH):
+            part = texts[at : at + BATCH]
             cut = [self._cut(t) for t in part]
             if len(self.new) > self.limit:
                 self.old, self.new = self.new, {"": b""}
-            self._learn(set().union(*(c for c in cut if c is not None)).difference(self.new))
-            get = self.new.__getitem__
+            met = set().union(*(c for c in cut if c is not None))
+            self._learn(met.difference(self.new))
+            # a small dictionary for the many look-ups, the large one only once a chunk
+            get = dict(zip(met, map(self.new.__getitem__, met))).__getitem__
             out += [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(part, cut)]
         return out
 
