@@ -269,3 +269,13 @@ def test_sinks(spark, tmp_path):
     assert choose_format("describe", "json") == "nt" and choose_format("select", None) == "json"
     with pytest.raises(ValueError):
         choose_format("select", "pdf")
+
+
+def test_operations_are_taken_in_once_for_events_and_rejects(spark):
+    ops = [("PUT", None, {"id": "a"}), ("PATCH", "a", {"x": 1}), ("PATCH", "b", {"x": 1}), ("PUT", None, "no")]
+    out = M.apply_ops(ops_df(spark, ops), spark.createDataFrame([], "id string, body string"))
+    # both come from one written table without documents
+    for df in (out.events, out.rejects):
+        assert any("batch-ops" in f for f in df.inputFiles())
+    assert sorted((r.seq, r.event) for r in out.events.collect()) == [(0, "thing_created"), (1, "thing_updated")]
+    assert sorted((r.seq, r.code) for r in out.rejects.collect()) == [(2, "not_found"), (3, "not_an_object")]

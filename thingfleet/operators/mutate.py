@@ -9,14 +9,16 @@ means at its own time (created or updated, patch of something that is gone) come
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..schema import QUAD_COLS
-from ..session import cut
+from ..session import cut, kept
 from ..sources.documents import intake, message_of, reject_rows
 from .ordered import carry_last
 
@@ -25,11 +27,26 @@ RESETS = ("CREATE", "PUT", "DELETE")
 
 @dataclass(frozen=True)
 class Outcome:
-    """``things`` (id, body), ``events`` and ``rejects`` of a batch."""
+    """``things`` (id, body), ``events`` and ``rejects`` of a batch, each worked out when asked for."""
 
-    things: DataFrame
-    events: DataFrame
-    rejects: DataFrame
+    after: Callable[[], DataFrame]
+    answers: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def things(self) -> DataFrame:
+        return self.after()
+
+    @cached_property
+    def _answers(self) -> tuple[DataFrame, DataFrame]:
+        return self.answers()
+
+    @property
+    def events(self) -> DataFrame:
+        return self._answers[0]
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self._answers[1]
 
 
 def name_based_id(*parts: Column) -> Column:
@@ -226,24 +243,40 @@ def apply_ops(
     :func:`documents_to_check`), so rejecting them first equals doing it one at a time.
     """
     taken_in = intake(ops)
-    bad = reject_rows(taken_in)
-    good = mint_ids(taken_in.where("code is null").drop("code"), things)
+    listed = None
     if invalid is not None:
         listed = invalid.select("seq", *[c for c in invalid.columns if c == "errors"])
         if "errors" not in listed.columns:
             listed = listed.withColumn(
                 "errors", F.array().cast("array<struct<field:string,description:string>>")
             )
-        failed = good.join(listed.dropDuplicates(["seq"]), "seq").withColumn("code", F.lit("validation"))
-        bad = bad.unionByName(
-            failed.select("seq", "id", "code", message_of(F.col("code")).alias("message"), "errors")
-        )
-        good = good.join(listed.select("seq"), "seq", "left_anti")
-    told = classify(good, things, block)
-    missing = told.where("op = 'PATCH' and not existed")
-    bad = bad.unionByName(reject_rows(missing.withColumn("code", F.lit("not_found"))))
-    kept = told.where("op <> 'PATCH' or existed")
-    return Outcome(fold(good, things, stamp), event_rows(kept), bad)
+
+    def named(rows: DataFrame) -> DataFrame:
+        return mint_ids(rows.where("code is null").drop("code"), things)
+
+    def after() -> DataFrame:
+        good = named(taken_in)
+        if listed is not None:
+            good = good.join(listed.select("seq"), "seq", "left_anti")
+        return fold(good, things, stamp)
+
+    def answers() -> tuple[DataFrame, DataFrame]:
+        # documents are parsed once; what follows is read several times and needs the text of creates at most
+        text = F.when(F.col("op") == "CREATE", F.col("body")).alias("body")
+        taken = kept(taken_in.select("seq", "op", "id", text, "ts", "code"), "batch-ops")
+        bad, good = reject_rows(taken), named(taken).drop("body")
+        if listed is not None:
+            failed = good.join(listed.dropDuplicates(["seq"]), "seq").withColumn("code", F.lit("validation"))
+            bad = bad.unionByName(
+                failed.select("seq", "id", "code", message_of(F.col("code")).alias("message"), "errors")
+            )
+            good = good.join(listed.select("seq"), "seq", "left_anti")
+        told = classify(good, things, block)
+        missing = told.where("op = 'PATCH' and not existed")
+        bad = bad.unionByName(reject_rows(missing.withColumn("code", F.lit("not_found"))))
+        return event_rows(told.where("op <> 'PATCH' or existed")), bad
+
+    return Outcome(after, answers)
 
 
 def documents_to_check(ops: DataFrame) -> DataFrame:
