@@ -231,6 +231,39 @@ def test_jaccard_join_gives_all_links(spark, monkeypatch):
     assert {q.node: q.n_links for q in counts.collect()} == {d: n for d, n in per.items() if n}
 
 
+def test_jaccard_join_reads_few_texts_of_a_group(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"v{r.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for d in range(240):  # copies with two words changed: some of the pairs are linked, most of them not
+        words = list(base)
+        for k in r.sample(range(150), 2):
+            words[k] = f"x{d}-{k}"
+        rows.append((d, " ".join(words)))
+    read, real = [], jaccard_join.verified
+
+    def counted(pairs, *a):
+        read.append(pairs.count())
+        return real(pairs, *a)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = {q["doc_id"]: (q["n_shingles"], q["component_id"]) for q in jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain.components(rows)
+    assert sum(read) < 12 * len(rows)
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, m in ((1, 9), (40, 60), (500, 530), (900, 2500)):
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n - n // 10], r.integers(0, 1 << 63, m - n, dtype=np.uint64)]))
+        a, b = jaccard_join.parities(x), jaccard_join.parities(y)
+        assert jaccard_join.odd_bits(a, b) == jaccard_join.odd_bits(b, a) <= len(np.setxor1d(x, y))
+        assert jaccard_join.odd_bits(a, a) == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from .common import bloom_of, by_batch, components, grams, is_empty, rows_of, st
 PERCENT = 85
 #: Classes, and shingles of them, in a block; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Neighbours a set is compared with in a round.
+NEIGHBOURS = 8
 
 
 def shingle_sets(texts: list[str | None], k: int = 4) -> list[np.ndarray]:
@@ -88,14 +91,33 @@ def prefix_lengths(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return probe, offer
 
 
+def parities(s: np.ndarray) -> bytes:
+    """For each of two to four bits a shingle, a power of two of them, whether an odd number of shingles falls on it."""
+    size = max(64, 2 << max(len(s) - 1, 0).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def odd_bits(a: bytes, b: bytes) -> int:
+    """In how many bits two parities differ, the longer one folded to the shorter: two sets differ in as many shingles at least."""
+    size, x, y = 8 * min(len(a), len(b)), int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    width = 8 * max(len(a), len(b))
+    if len(a) < len(b):
+        x, y = y, x
+    while width > size:
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return (x ^ y).bit_count()
+
+
 def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, set_key`` (128 bits of the set) and ``prefix``, rare shingles first."""
+    """``doc_id, n_shingles, set_key`` (128 bits of the set), ``prefix``, rare shingles first, and ``parities``."""
 
     keys, counts = order
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            n, set_keys, prefixes = [], [], []
+            n, set_keys, prefixes, odd = [], [], [], []
             sets = shingle_sets(rows_of(b, "text"), k)
             flat = np.concatenate(sets)
             if len(keys):
@@ -105,6 +127,7 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4
             for s in sets:
                 n.append(len(s))
                 set_keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                odd.append(parities(s))
                 own = seen[at : at + len(s)] if len(keys) else s
                 at += len(s)
                 if len(keys) and own.any():
@@ -113,14 +136,17 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             return pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(set_keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_key", "prefix"],
+                [
+                    *(b.column(0), pa.array(n, pa.int64()), pa.array(set_keys, pa.binary())),
+                    *(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(odd, pa.binary())),
+                ],
+                names=["doc_id", "n_shingles", "set_key", "prefix", "parities"],
             )
 
         return one
 
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    return by_batch(read, make, "doc_id long, n_shingles long, set_key binary, prefix array<long>")
+    return by_batch(read, make, "doc_id long, n_shingles long, set_key binary, prefix array<long>, parities binary")
 
 
 def _possible(nx: Column, i: Column, ny: Column, j: Column, percent: int) -> Column:
@@ -129,6 +155,21 @@ def _possible(nx: Column, i: Column, ny: Column, j: Column, percent: int) -> Col
     return (100 * nx >= percent * ny) & ((100 + percent) * most >= percent * (nx + ny))
 
 
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs(x, y)`` whose parities leave a link possible: no linked pair is lost, and few others are left."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            both = b.column(2).to_numpy()
+            odd = np.fromiter(map(odd_bits, rows_of(b, "px"), rows_of(b, "py")), dtype=np.int64, count=b.num_rows)
+            return b.select(["x", "y"]).filter(pa.array((100 + percent) * (both - odd) >= 2 * percent * both))
+
+        return one
+
+    x, y = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parities").alias(f"p{c}")) for c in ("x", "y"))
+    return by_batch(pairs.join(x, "x").join(y, "y").select("x", "y", (F.col("nx") + F.col("ny")).alias("both"), "px", "py"), make, "x long, y long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
     """The linked ones of ``pairs(x, y)`` of documents with ``common`` and ``union`` counts.
 
@@ -176,10 +217,12 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     * Shingles are looked up rare first; the index holds, for every shingle, the classes that offer it,
       dealt by blocks of size, with the position in the set. A probe reads only the blocks whose sizes can
       match and skips entries whose positions leave too few shingles for a link.
-    * Answers come in rounds. In each, a set is compared with one neighbour of another group in its lists, so
+    * Answers come in rounds. In each, a set is compared with a few neighbours of other groups in its lists, so
       linked sets grow together in few rounds however many there are. A set has the answers of the sets it is
       linked with: pairs whose link is known from them are not compared again. When a round finds few links,
       the last one compares every remaining pair the index gives, so no link between groups is lost.
+    * A pair is compared by the parities of its sets first (:func:`near_enough`), some bits a shingle; the texts
+      are read only of those that may still be linked.
     * All links lie inside the groups then. A group whose pairs are all answered has them; the others are
       compared block by block, each set as what it differs in from one of its block (:func:`overlaps`).
 
@@ -188,7 +231,7 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     """
     sets = stored(signatures(docs, frequent_shingles(docs, k), k, percent), "shingle-sets")
     usable = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("parities").alias("parities"))
     classes = stored(classes, "shingle-classes")
     members = sets.join(classes.select("set_key", "rep"), "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")
@@ -203,11 +246,11 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     )
     listed = stored(listed, "shingle-lists")
 
-    lists = stored(listed.drop("before").withColumn("g", F.col("rep")), "lists")
+    lists = listed.drop("before").withColumn("g", F.col("rep"))
     links = tried = known = None
-    while True:
-        near = stored(_neighbours(lists, percent, tried), "pairs")
-        got = stored(verified(near, docs, k, percent), "links")
+    for turn in itertools.count():
+        near = stored(_neighbours(lists, percent, tried, turn), "pairs")
+        got = stored(verified(stored(near_enough(near, classes, percent), "near-pairs"), docs, k, percent), "links")
         tried = near if tried is None else tried.unionByName(near)
         links = got if links is None else links.unionByName(got)
         known = stored(_groups(links), "groups")
@@ -234,7 +277,7 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
         .select("x", F.col("rep").alias("y"))
         .distinct()
     )
-    pairs = stored(pairs, "pairs")
+    pairs = stored(near_enough(pairs, classes, percent), "pairs")
     if not is_empty(pairs):
         links = links.unionByName(stored(verified(pairs, docs, k, percent), "links"))
         known = stored(_groups(links), "groups")
@@ -374,21 +417,22 @@ def _compared(pairs_of: DataFrame, k: int, percent: int, only_counts: bool = Fal
     return out.where("n_links > 0") if only_counts else out
 
 
-def _neighbours(lists: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
-    """``x, y``: for each class the one of another group that most often stands just before it in the lists,
-    among those that can be linked and were not compared yet. A list gives three candidates an entry at most."""
-    order = Window.partitionBy("token").orderBy("n", "rep")
+def _neighbours(lists: DataFrame, percent: int, tried: DataFrame | None, turn: int) -> DataFrame:
+    """``x, y``: for each class the ``NEIGHBOURS`` of other groups that most often stand just before it in the lists,
+    among those that can be linked and were not compared yet. A list gives four candidates an entry at most;
+    sets of one size stand in another order at each turn, so that all of a large group get to stand near each other."""
+    order = Window.partitionBy("token").orderBy("n", F.xxhash64("rep", F.lit(turn)))
     here = F.struct("rep", "n", "i", "g")
-    before = [F.lag(here, k).over(order).alias(f"b{k}") for k in (1, 2, 4)]
-    seen = lists.select("rep", "n", "i", "g", *before).select("rep", "n", "i", "g", F.explode(F.array("b1", "b2", "b4")).alias("b"))
+    before = [F.lag(here, k).over(order).alias(f"b{k}") for k in (1, 2, 4, 8)]
+    seen = lists.select("rep", "n", "i", "g", *before).select("rep", "n", "i", "g", F.explode(F.array("b1", "b2", "b4", "b8")).alias("b"))
     met = seen.where(
         F.col("b").isNotNull() & (F.col("b.g") != F.col("g")) & _possible(F.col("b.n"), F.col("b.i"), F.col("n"), F.col("i"), percent)
     )
-    best = F.max_by("x", F.struct("count", -F.col("x"))).alias("x")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "x")), asc=False), 1, NEIGHBOURS)
     counted = met.groupBy(F.col("b.rep").alias("x"), F.col("rep").alias("y")).count()
     if tried is not None:
         counted = counted.join(tried, ["x", "y"], "left_anti")
-    return counted.groupBy("y").agg(best).select("x", "y")
+    return counted.groupBy("y").agg(best.alias("best")).select(F.explode("best.x").alias("x"), "y")
 
 
 def _groups(links: DataFrame) -> DataFrame:
