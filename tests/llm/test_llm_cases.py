@@ -262,6 +262,8 @@ def test_parities_bound_the_difference():
         a, b = jaccard_join.parities(x), jaccard_join.parities(y)
         assert jaccard_join.odd_bits(a, b) == jaccard_join.odd_bits(b, a) <= len(np.setxor1d(x, y))
         assert jaccard_join.odd_bits(a, a) == 0
+        odd = jaccard_join.sketch(x) ^ jaccard_join.sketch(y)
+        assert len(odd) == jaccard_join.SKETCH and np.bitwise_count(odd.view(np.uint64)).sum() <= len(np.setxor1d(x, y))
 
 
 def test_components(spark):

@@ -20,6 +20,10 @@ PERCENT = 85
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Neighbours a set is compared with in a round.
 NEIGHBOURS = 8
+#: Lists of more entries carry the sketches of their sets, so that pairs that cannot be linked never leave the join.
+SHORT_LIST = 8
+#: 64-bit words of a sketch.
+SKETCH = 8
 
 
 def shingle_sets(texts: list[str | None], k: int = 4) -> list[np.ndarray]:
@@ -98,6 +102,12 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of a set in a fixed number of bits."""
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def odd_bits(a: bytes, b: bytes) -> int:
     """In how many bits two parities differ, the longer one folded to the shorter: two sets differ in as many shingles at least."""
     size, x, y = 8 * min(len(a), len(b)), int.from_bytes(a, "little"), int.from_bytes(b, "little")
@@ -111,13 +121,13 @@ def odd_bits(a: bytes, b: bytes) -> int:
 
 
 def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, set_key`` (128 bits of the set), ``prefix``, rare shingles first, and ``parities``."""
+    """``doc_id, n_shingles, set_key`` (128 bits of the set), ``prefix``, rare shingles first, ``parities`` and ``sketch``."""
 
     keys, counts = order
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            n, set_keys, prefixes, odd = [], [], [], []
+            n, set_keys, prefixes, odd, short = [], [], [], [], []
             sets = shingle_sets(rows_of(b, "text"), k)
             flat = np.concatenate(sets)
             if len(keys):
@@ -128,6 +138,7 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4
                 n.append(len(s))
                 set_keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 odd.append(parities(s))
+                short.append(sketch(s))
                 own = seen[at : at + len(s)] if len(keys) else s
                 at += len(s)
                 if len(keys) and own.any():
@@ -139,14 +150,15 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int = 4
                 [
                     *(b.column(0), pa.array(n, pa.int64()), pa.array(set_keys, pa.binary())),
                     *(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(odd, pa.binary())),
+                    pa.array(short, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "prefix", "parities"],
+                names=["doc_id", "n_shingles", "set_key", "prefix", "parities", "sketch"],
             )
 
         return one
 
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    return by_batch(read, make, "doc_id long, n_shingles long, set_key binary, prefix array<long>, parities binary")
+    return by_batch(read, make, "doc_id long, n_shingles long, set_key binary, prefix array<long>, parities binary, sketch array<long>")
 
 
 def _possible(nx: Column, i: Column, ny: Column, j: Column, percent: int) -> Column:
@@ -231,7 +243,7 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
     """
     sets = stored(signatures(docs, frequent_shingles(docs, k), k, percent), "shingle-sets")
     usable = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("parities").alias("parities"))
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("prefix", "parities", "sketch")))
     classes = stored(classes, "shingle-classes")
     members = sets.join(classes.select("set_key", "rep"), "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("class_id")
@@ -254,25 +266,29 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> tuple[D
         tried = near if tried is None else tried.unionByName(near)
         links = got if links is None else links.unionByName(got)
         known = stored(_groups(links), "groups")
-        placed = lists.drop("g").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        placed = lists.drop("g", "entries").join(known.withColumnRenamed("node", "rep"), "rep", "left")
         placed = stored(placed.withColumn("g", F.coalesce("component", "rep")).drop("component"), "placed-lists")
-        mixed = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
+        mixed = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("entries")).where("lo <> hi").select("token", "entries")
         lists = stored(placed.join(stored(mixed, "mixed-tokens"), "token"), "mixed-lists")
         # few new links: the rest is for the last round
         if 20 * got.count() <= near.count():
             break
     # sizes of a link differ by one block at most; the margin covers rounding of the logarithm
     size = F.log(F.col("n")) / F.log(F.lit(100 / percent))
+    # in a long list most sets cannot be linked with most others, and their sketches tell
+    lists = lists.join(classes.select("rep", "sketch"), "rep").withColumn("s", F.when(F.col("entries") > SHORT_LIST, F.col("sketch"))).drop("sketch", "entries")
     offers = lists.where((100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n")).select(
-        "token", F.floor(size).alias("block"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("g").alias("gx")
+        "token", F.floor(size).alias("block"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("g").alias("gx"), F.col("s").alias("sx")
     )
     probes = lists.withColumn("block", F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1e-6))))
+    odd = sum((F.bit_count(F.get("sx", F.lit(k)).bitwiseXOR(F.get("s", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("sx", F.lit(0)).bitwiseXOR(F.get("s", F.lit(0)))))
     pairs = (
         offers.join(probes, ["token", "block"])
         .where(
             ((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("rep"))))
             & (F.col("gx") != F.col("g"))
             & _possible(F.col("nx"), F.col("ix"), F.col("n"), F.col("i"), percent)
+            & (F.col("s").isNull() | ((100 + percent) * (F.col("nx") + F.col("n") - odd) >= 2 * percent * (F.col("nx") + F.col("n"))))
         )
         .select("x", F.col("rep").alias("y"))
         .distinct()
