@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thingfleet.operators import axes as X
+from thingfleet.session import kept_by
 
 DOCS = [
     {"id": "d0", "a": [1, {"b": "x<y & z", "c": [[1, 2], [True, None]]}, "t"], "b": {"a": {"b": {"b": "deep"}}}, "@type": "T"},
@@ -129,3 +130,27 @@ def test_elements_are_numbered_without_a_join(spark):
     plan = X.elements(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_steps_over_buckets_shuffle_nothing(spark, table):
+    docs = spark.createDataFrame([(d["id"], json.dumps(d)) for d in DOCS], "id string, body string")
+    docs = docs.select("id", F.parse_json("body").alias("doc"))
+    rows = kept_by(X.elements(docs, parts=3), "elements", "id", 3)
+    assert sorted(rows.collect()) == sorted(table.select(*rows.columns).collect())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("elements")]
+    cases = [(axis, None, None) for axis in AXES] + [(axis, "r", 1) for axis in X.COUNTED]
+    found = None
+    for axis, name, position in cases:
+        one = X.step(X.path(rows, ("descendant", "q")), rows, axis, name, position=position)
+        same = X.step(X.path(table, ("descendant", "q")), table, axis, name, position=position)
+        assert sorted((r.id, r.pre) for r in one.collect()) == sorted((r.id, r.pre) for r in same.collect()), axis
+        found = one if found is None else found.unionByName(one)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") > len(cases) and "Exchange" not in plan
+
+
+def test_rows_without_an_id_are_met_by_none(spark):
+    docs = spark.createDataFrame([("d", json.dumps(DOCS[0])), (None, json.dumps(DOCS[0]))], "id string, body string")
+    rows = X.elements(docs.select("id", F.parse_json("body").alias("doc"))).checkpoint()
+    for axis, position in [("child", None), ("self", None), ("descendant", None), ("child", 1), ("descendant", 1)]:
+        assert {r.id for r in X.step(X.roots(rows), rows, axis, position=position).collect()} == {"d"}

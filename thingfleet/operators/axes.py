@@ -34,14 +34,18 @@ def xml_name(key: Column) -> Column:
     return F.when(escaped.rlike(r"^[\p{L}_]"), escaped).otherwise(F.concat(F.lit("_"), escaped))
 
 
-def elements(docs: DataFrame, doc: str = "doc") -> DataFrame:
+def elements(docs: DataFrame, doc: str = "doc", parts: int | None = None) -> DataFrame:
     """One row per element of the documents in column ``doc``, keyed by the distinct ``id``.
 
     ``pre`` counts elements in document order (members in the order of their keys), ``last`` is the number of
     the last element inside, ``above`` that of the parent, ``value`` the text of an element without elements.
     Documents that are no objects have no elements. Numbers are given inside one document.
+
+    Only whole documents are shuffled, to ``parts`` parts by their ids; elements stay where they are made.
     """
-    nodes = flatten(docs.where(D.kind_of(F.col(doc)) == "object"), doc).where("kind <> 'array'")
+    objects = docs.where(D.kind_of(F.col(doc)) == "object").select("id", doc)
+    dealt = objects.repartition("id") if parts is None else objects.repartition(parts, "id")
+    nodes = flatten(dealt, doc).where("kind <> 'array'")
     key_at = F.array_max(F.transform("ord", lambda s, i: F.when(s["pos"] < 0, i).otherwise(-1)))
     level = F.size(F.filter("ord", lambda s: s["pos"] < 0))
     rows = nodes.select(
@@ -86,7 +90,8 @@ def step(
 
     ``name`` and ``test`` (over the columns of :func:`elements`) choose among them; ``position`` counts the
     chosen ones from each element of the context, backwards for ``preceding-sibling``. Every axis is a window
-    over the numbers of one document or a join on them: no pairs of elements are made.
+    over the numbers of one document: no pairs of elements are made. Over a table in buckets of ``id``
+    (``session.kept_by``) nothing shuffles.
     """
     if position is not None and (axis not in COUNTED or position < 1):
         raise ValueError(f"no position {position} along {axis}")
@@ -94,26 +99,23 @@ def step(
     if name is not None:
         chosen = chosen & (F.col("name") == name)
     if axis in ("self", "parent"):
-        at = "pre" if axis == "self" else "above"
-        wanted = context.select("id", F.col(at).alias("pre")).where("pre is not null").distinct()
-        out = table.where(chosen).join(wanted, ["id", "pre"], "left_semi")
+        wanted = context.select("id", F.col("pre" if axis == "self" else "above").alias("pre"))
+        out = _told(table.where(chosen), wanted, ["id", "pre"]).where("__c")
         return (out if position in (None, 1) else out.where("false")).select(*COLUMNS)
 
-    marked = table.select(*COLUMNS, chosen.alias("__t")).join(
-        context.select("id", "pre", F.lit(True).alias("__c")).distinct(), ["id", "pre"], "left"
-    )
     document, family = Window.partitionBy("id"), Window.partitionBy("id", "above")
-    here = lambda c: F.when(F.col("__c"), F.col(c))
-    before = document.orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    after = document.orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
     if axis == "child":
-        inside = context.select("id", F.col("pre").alias("above")).distinct()
-        found = table.where(chosen).join(inside, ["id", "above"], "left_semi")
+        found = _told(table.where(chosen), context.select("id", F.col("pre").alias("above")), ["id", "above"]).where("__c")
         if position is not None:
             found = found.withColumn("__k", F.row_number().over(family.orderBy("pre"))).where(F.col("__k") == position)
         return found.select(*COLUMNS)
+    # what is neither chosen nor in the context changes no answer
+    marked = _told(table.select(*COLUMNS, chosen.alias("__t")), context.select("id", "pre"), ["id", "pre"]).where("__t or __c")
     if position is not None:
         return _counted(marked, axis, position)
+    here = lambda c: F.when(F.col("__c"), F.col(c))
+    before = document.orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    after = document.orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
     if axis == "following-sibling":
         hit = F.col("pre") > F.min(here("pre")).over(family)
     elif axis == "preceding-sibling":
@@ -129,13 +131,27 @@ def step(
     else:
         raise ValueError(f"no axis {axis}")
     if axis.endswith("-or-self"):
-        hit = F.coalesce(hit, F.lit(False)) | F.coalesce("__c", F.lit(False))
+        hit = F.coalesce(hit, F.lit(False)) | F.col("__c")
     return marked.withColumn("__hit", hit).where("__hit and __t").select(*COLUMNS)
 
 
+def _told(rows: DataFrame, asked: DataFrame, keys: list[str], value: Column | None = None) -> DataFrame:
+    """``rows`` with ``__c``: whether ``asked`` has their ``keys`` (none NULL), or the greatest ``value`` it has there.
+
+    Both stand in one window. A join on more than ``id`` would shuffle rows that lie in buckets of ``id``, or broadcast
+    elements by the size of their files, which are many times larger in memory.
+    """
+    kept = rows.select("*", F.lit(True).alias("__own"))
+    said = (F.lit(True) if value is None else value).alias("__said")
+    known = asked.select(*keys, said, F.lit(False).alias("__own")).dropna(subset=keys)
+    found = F.max("__said").over(Window.partitionBy(*keys))
+    found = found if value is not None else F.coalesce(found, F.lit(False))
+    return kept.unionByName(known, allowMissingColumns=True).withColumn("__c", found).where("__own").drop("__own", "__said")
+
+
 def _counted(marked: DataFrame, axis: str, position: int) -> DataFrame:
     """The ``position``-th chosen element from each element of the context: running counts of the chosen ones say
-    which number it has, so contexts meet their elements in an equi-join."""
+    which number it has, so contexts meet their elements by equal numbers."""
     keys = ["id"] if axis == "descendant" else ["id", "above"]
     so_far = Window.partitionBy(*keys).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     counted = marked.withColumn("__k", F.sum(F.col("__t").cast("long")).over(so_far))
@@ -144,9 +160,8 @@ def _counted(marked: DataFrame, axis: str, position: int) -> DataFrame:
     else:
         wanted = F.col("__k") + position
     asked = counted.where("__c").select(*keys, wanted.alias("__k"), F.col("last").alias("__last")).where("__k > 0")
-    asked = asked.groupBy(*keys, "__k").agg(F.max("__last").alias("__last"))
-    found = counted.where("__t").join(asked, [*keys, "__k"])
-    return (found.where("pre <= __last") if axis == "descendant" else found).select(*COLUMNS)
+    found = _told(counted.where("__t").drop("__c"), asked, [*keys, "__k"], F.col("__last")).where("__c is not null")
+    return (found.where("pre <= __c") if axis == "descendant" else found).select(*COLUMNS)
 
 
 def path(table: DataFrame, *steps: tuple) -> DataFrame:

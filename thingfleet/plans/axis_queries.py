@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import axes as X
-from ..session import kept
+from ..session import kept_by, parts_of
 from ..sources.fleet import customer_documents
 from .registry import query
 
@@ -14,7 +14,8 @@ from .registry import query
 def _elements(spark: SparkSession, sf: str) -> DataFrame:
     """The element table of the customers' documents, written once for all steps."""
     docs = customer_documents(spark, sf).select("id", F.parse_json("body").alias("doc"))
-    return kept(X.elements(docs), "elements")
+    parts = parts_of(docs)
+    return kept_by(X.elements(docs, parts=parts), "elements", "id", parts)
 
 
 @query("""
