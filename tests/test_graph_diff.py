@@ -1,13 +1,16 @@
 """Differences of graphs with blank nodes."""
 
 import random
+from pathlib import Path
 
 from conftest import docs_df, lamp
 from pyspark.sql import functions as F
 
+from thingfleet.operators import graph_diff as module
 from thingfleet.operators.graph_diff import colours, graph_diff, unequal
 from thingfleet.operators.triples import triplify
 from thingfleet.schema import QUADS
+from thingfleet.session import shared_dir
 from thingfleet.sources.graphs import dedup
 from thingfleet.vocab import TD
 
@@ -109,3 +112,21 @@ def test_type_and_language_of_one_text(spark):
     q = quads(spark, [("g", "urn:g", "urn:has", "_:x"), ("g", "_:x", "urn:v", "text")])
     old, new = (q.withColumn(c, F.when(F.col("o") == "text", "en")) for c in ("o_dt", "o_lang"))
     assert sorted((r.change, r.o_dt, r.o_lang) for r in graph_diff(old, new).collect()) == [("added", None, "en"), ("removed", "en", None)]
+
+
+def test_turns_give_the_same_and_leave_only_differences(spark, monkeypatch):
+    flat = lambda g, v: [(g, f"urn:{g}", "urn:has", f"_:{g}{i}") for i in range(2)] + [(g, f"_:{g}{i}", "urn:v", str(v + i)) for i in range(2)]
+    a = [t for g in "abcdefgh" for t in flat(g, 0)] + tree("t", 1) + [("h", "urn:h", "urn:n", "1")] * 2
+    b = [t for g in "abcd" for t in flat(g, 0)] + [t for g in "efg" for t in flat(g, 9)] + tree("t", 7) + flat("x", 1)
+    old, new = quads(spark, a), quads(spark, b, other, 4)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    said = lambda d: sorted((r.change, r.g, r.p, r.o) for r in d.collect())
+    whole = said(graph_diff(old, new))
+    # a quad that comes twice is removed twice, as both rows are alone
+    assert whole.count(("removed", "h", "urn:n", "1")) == 2 and {g for _, g, _, _ in whole} == set("efghtx")
+    before = {p.name for p in folder.iterdir()}
+    monkeypatch.setattr(module, "QUADS_A_TURN", -(-max(len(a), len(b)) // 3))
+    found = graph_diff(old, new)
+    assert len({p.name for p in folder.iterdir()} - before) == 3
+    assert said(found) == whole
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import QUAD_COLS, QUAD_KEY
-from ..session import kept
+from ..session import kept, passing
 
 
 def _table(df: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _coloured(quads: DataFrame, by: list[str], names: list[str]) -> DataFrame:
         if apart <= seen:
             break
         seen = apart
-    return still.unionByName(now).join(flat.select(*by, "node", "called"), [*by, "node"])
+    return _table(still.unionByName(now).join(flat.select(*by, "node", "called"), [*by, "node"]))
 
 
 def colours(quads: DataFrame, by: list[str]) -> DataFrame:
@@ -137,7 +137,7 @@ def matched(old: DataFrame, new: DataFrame, names: list[str]) -> DataFrame:
     colours. Blank nodes that no named node leads to are paired by colour alone. A node is paired once.
     """
     both = old.select(F.lit("old").alias("v"), *QUAD_COLS).unionByName(new.select(F.lit("new").alias("v"), *QUAD_COLS))
-    known = _table(_coloured(both, ["v", "g"], names))
+    known = _coloured(both, ["v", "g"], names)
     links = both.where(_blank("o")).select("v", "g", F.col("s").alias("up"), "p", F.col("o").alias("node"))
     links = _table(links.join(known, ["v", "g", "node"]))
     pairs: DataFrame | None = None
@@ -157,34 +157,69 @@ def matched(old: DataFrame, new: DataFrame, names: list[str]) -> DataFrame:
         for keys in (["place", "p", "colour"], ["place", "p", "called"], ["place", "p"]):
             left = {v: d if found is None else d.join(found.select("g", F.col(v).alias("node")), ["g", "node"], "left_anti") for v, d in side.items()}
             more = _table(_paired(left["old"], left["new"], keys))
-            found = more if found is None else _table(found.unionByName(more))
+            found = more if found is None else found.unionByName(more)
         if found.isEmpty():
             break
         pairs, front = found if pairs is None else _table(pairs.unionByName(found)), found
     rest = {v: known.where(F.col("v") == v).drop("v") for v in ("old", "new")}
     if pairs is None:
-        return _paired(rest["old"], rest["new"], ["colour"])
+        return _table(_paired(rest["old"], rest["new"], ["colour"]))
     rest = {v: d.join(pairs.select("g", F.col(v).alias("node")), ["g", "node"], "left_anti") for v, d in rest.items()}
-    return pairs.unionByName(_paired(rest["old"], rest["new"], ["colour"]))
+    return pairs.unionByName(_table(_paired(rest["old"], rest["new"], ["colour"])))
 
 
-def graph_diff(old: DataFrame, new: DataFrame, names: list[str] | None = None) -> DataFrame:
+#: Quads of a side that are compared in one turn.
+QUADS_A_TURN = 50_000_000
+
+
+def graph_diff(old: DataFrame, new: DataFrame, names: list[str] | None = None, turns: int | None = None) -> DataFrame:
     """``change`` (``removed`` or ``added``) and the quad, for every quad of only one of two sets of quads.
 
     Blank nodes count by what they say and where they hang (:func:`matched`), not by their names; a removed quad
     bears the names of ``old``, an added one those of ``old`` where its nodes have a partner there. One changed value
     in a nested node is one quad removed and one added. Graphs that only one side has differ whole. Predicates of
     ``names`` tell sibling nodes apart whose content has changed.
+
+    Graphs are independent, so they are dealt into ``turns`` (by default one for every ``QUADS_A_TURN`` quads), each of
+    which reads both sides, writes its differences and leaves nothing else on disk. All graphs are compared.
     """
+    if turns is None:
+        turns = max(1, -(-max(old.count(), new.count()) // QUADS_A_TURN))
+    found = None
+    for turn in range(turns):
+        mine = F.pmod(F.hash("g"), F.lit(turns)) == turn
+        sides = (old, new) if turns == 1 else (old.where(mine), new.where(mine))
+        with passing(old.sparkSession):
+            part = kept(_difference(*sides, names or []), "graph-diff", stay=True)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _difference(old: DataFrame, new: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`graph_diff` in one turn."""
     old, new = unequal(old, new)
-    pairs = _table(matched(old, new, names or []))
-    for c in ("s", "o"):
+    pairs = matched(old, new, names)
+
+    def renamed(rows: DataFrame, c: str) -> DataFrame:
         by_new = pairs.select("g", F.col("new").alias(c), F.col("old").alias("__same"))
-        new = new.join(by_new, ["g", c], "left")
-        blank = _blank(c)
-        new = new.withColumn(c, F.when(blank, F.coalesce("__same", F.concat(F.lit("_:new-"), F.substr(F.col(c), F.lit(3))))).otherwise(F.col(c))).drop("__same")
-    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in QUAD_KEY))
-    new = _table(new.select(*QUAD_COLS))
-    removed = old.alias("a").join(new.alias("b"), same("a", "b"), "left_anti").select(F.lit("removed").alias("change"), *QUAD_COLS)
-    added = new.alias("b").join(old.alias("a"), same("b", "a"), "left_anti").select(F.lit("added").alias("change"), *QUAD_COLS)
-    return removed.unionByName(added)
+        own = F.concat(F.lit("_:new-"), F.substr(F.col(c), F.lit(3)))
+        return rows.join(by_new, ["g", c], "left").withColumn(c, F.coalesce("__same", own)).drop("__same")
+
+    # only what bears a blank node is shuffled to find its other name
+    at = [F.coalesce(_blank(c), F.lit(False)) for c in ("s", "o")]
+    told = None
+    for blank in ((False, False), (False, True), (True, False), (True, True)):
+        part = new.where((at[0] == blank[0]) & (at[1] == blank[1]))
+        for c in (c for c, b in zip(("s", "o"), blank) if b):
+            part = renamed(part, c)
+        told = part.select(*QUAD_COLS) if told is None else told.unionByName(part.select(*QUAD_COLS))
+    new = _table(told)
+    # one join finds both: what is met by nothing on the other side stands alone
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in QUAD_KEY))
+    here = lambda d, side: d.select(*QUAD_COLS, F.lit(True).alias("here")).alias(side)
+    alone = here(old, "a").join(here(new, "b"), same, "full").where("a.here IS NULL OR b.here IS NULL")
+    gone = F.col("a.here").isNotNull()
+    return alone.select(
+        F.when(gone, "removed").otherwise("added").alias("change"),
+        *[F.when(gone, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in QUAD_COLS],
+    )
